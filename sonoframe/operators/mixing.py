@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonoframe.functions.pitch import _list_parts
 from sonoframe.functions import series as S
@@ -178,7 +179,7 @@ def _reverb(x, room, *_):
 _KERNELS = {"clean": lambda x, *_: x, "white": _white, "background": _background, "voice": _voice, "reverb": _reverb}
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def _mixed(kinds: pa.Array, samples: pa.Array, others: pa.Array, levels: pa.Array, seeds: pa.Array) -> pa.Array:
     values, at = _list_parts(samples)
     second, at2 = _list_parts(others)
