@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,21 +99,25 @@ def throttle(df: DataFrame, key: str, ts_ms: str, interval_ms: int, *, segment_m
     if segment_ms <= interval_ms:
         raise ValueError("a segment must be longer than the interval")
     times = df.select(key, F.col(ts_ms).cast("long").alias("_t")).withColumn("_seg", F.expr(f"_t div {segment_ms}"))
+    # at most one segment of one key per array
+    packed = times.groupBy(key, "_seg").agg(F.sort_array(F.collect_set("_t")).alias("_times"))
     key_type = df.schema[key].dataType.simpleString()
 
-    def chain(t: np.ndarray, start: int):
-        i, out = int(np.searchsorted(t, start)), []
-        while i < len(t):
-            out.append(t[i])
-            i = int(np.searchsorted(t, t[i] + interval_ms))
-        return out
-
-    def ends(group: pd.DataFrame) -> pd.DataFrame:
-        t = np.unique(group["_t"].to_numpy())
-        floor = int(group["_seg"].iloc[0]) * segment_ms
-        possible = t[t < floor + interval_ms].tolist() + t[t >= floor + interval_ms][:1].tolist()
-        last = [chain(t, c)[-1] for c in possible]
-        return pd.DataFrame({"k": group[key].iloc[0], "_seg": group["_seg"].iloc[0], "first": [possible], "last": [last]})
+    @F.arrow_udf("struct<first:array<long>,last:array<long>>")
+    def ends(segments: pa.Array, times: pa.Array) -> pa.Array:
+        first, last = [], []
+        for segment, t in zip(segments.to_pylist(), times):
+            t = t.values.to_numpy()
+            following = np.searchsorted(t, t + interval_ms)
+            possible = min(int(np.searchsorted(t, segment * segment_ms + interval_ms)) + 1, len(t))
+            exits = np.arange(len(t))
+            for i in range(len(t) - 1, -1, -1):  # the later end of a chain is known first
+                if following[i] < len(t):
+                    exits[i] = exits[following[i]]
+            first.append(t[:possible])
+            last.append(t[exits[:possible]])
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, last)]
+        return pa.StructArray.from_arrays(lists, names=["first", "last"])
 
     def follow(group: pd.DataFrame) -> pd.DataFrame:
         ordered, last, chosen = group.sort_values("_seg"), None, []
@@ -120,16 +125,22 @@ def throttle(df: DataFrame, key: str, ts_ms: str, interval_ms: int, *, segment_m
             i = 0 if last is None else int(np.searchsorted(possible, last + interval_ms))
             chosen.append(possible[i] if i < len(possible) else None)
             last = exits[i] if i < len(possible) else last
-        return pd.DataFrame({"k": ordered["k"], "_seg": ordered["_seg"], "start": pd.array(chosen, dtype="Int64")})
-
-    def emit(group: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
-        start = plan["start"].iloc[0] if len(plan) else pd.NA
-        passed = [] if pd.isna(start) or group.empty else chain(np.unique(group["_t"].to_numpy()), int(start))
-        return pd.DataFrame({"k": group[key].iloc[0] if len(group) else None, "_t": passed})
-
-    options = times.groupBy(key, "_seg").applyInPandas(ends, f"k {key_type}, _seg long, first array<long>, last array<long>")
-    starts = options.groupBy("k").applyInPandas(follow, f"k {key_type}, _seg long, start long")
-    starts = starts.withColumnRenamed("k", key)
-    passed = times.groupBy(key, "_seg").cogroup(starts.groupBy(key, "_seg")).applyInPandas(emit, f"k {key_type}, _t long")
-    return df.join(
-        passed.select(F.col("k").alias(key), F.col("_t").alias(ts_ms)), [key, ts_ms], "left_semi")
+        return pd.DataFrame({"k": ordered[key], "_seg": ordered["_seg"], "_start": pd.array(chosen, dtype="Int64")})
+
+    @F.arrow_udf("array<long>")
+    def emit(times: pa.Array, starts: pa.Array) -> pa.Array:
+        out = []
+        for t, start in zip(times, starts.to_pylist()):
+            t, passed = t.values.to_numpy(), []
+            following = np.searchsorted(t, t + interval_ms)
+            i = len(t) if start is None else int(np.searchsorted(t, start))
+            while i < len(t):
+                passed.append(t[i])
+                i = int(following[i])
+            out.append(passed)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    options = packed.select(key, "_seg", ends("_seg", "_times").alias("_o")).select(key, "_seg", "_o.*")
+    starts = options.groupBy(key).applyInPandas(follow, f"k {key_type}, _seg long, _start long").withColumnRenamed("k", key)
+    passed = packed.join(starts, [key, "_seg"]).select(key, F.explode(emit("_times", "_start")).alias(ts_ms))
+    return df.join(passed, [key, ts_ms], "left_semi")
