@@ -4,9 +4,11 @@ A fitted model is a small document (a Python dict, stored as one JSON row); the
 tables it is fitted on and applied to stay distributed.
 """
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,63 +109,149 @@ def scale(df: DataFrame, features: Sequence[str], means: Sequence[float], scales
 
 
 # --- fitting --------------------------------------------------------------------------------
+def _summed(table: DataFrame, partial, size: int) -> np.ndarray:
+    """Element-wise sum of one ``size``-long vector per Arrow batch, added up on the cluster."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += partial(batch)
+        yield pd.DataFrame({"pos": np.arange(size), "value": total})
+
+    rows = table.mapInPandas(run, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(size)
+    for r in rows:
+        out[r["pos"]] = r["value"]
+    return out
+
+
+def fit_squared_hinge(
+    table: DataFrame, n_features: int, n_classes: int, *, c: float = 1.0, tol: float = 1e-8, max_rounds: int = 100
+) -> tuple[np.ndarray, np.ndarray]:
+    """One-vs-rest linear machines with squared hinge loss and a penalised intercept.
+
+    ``table`` has ``x ARRAY<DOUBLE>``, ``y`` (class index) and ``w`` (weight).  The
+    objective is strictly convex and smooth, so Newton steps reach the one optimum
+    in a few rounds; a round is one pass that sums a gradient and a (features + 1)
+    squared matrix per class, for all classes together.
+    """
+    d = n_features + 1
+    width = d * d + d + 1
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        def partial(batch: pd.DataFrame) -> np.ndarray:
+            x = np.column_stack([np.stack(batch["x"].to_numpy()), np.ones(len(batch))])
+            label, w = batch["y"].to_numpy(), batch["w"].to_numpy()
+            parts = []
+            for k in range(n_classes):
+                y = np.where(label == k, 1.0, -1.0)
+                gap = 1.0 - y * (x @ weights[k])
+                on = gap > 0.0
+                xs, ws = x[on], w[on]
+                parts.append(np.concatenate([
+                    ((xs * ws[:, None]).T @ xs).ravel(), -(xs * (ws * y[on] * gap[on])[:, None]).sum(axis=0), [(ws * gap[on] ** 2).sum()]]))
+            return np.concatenate(parts)
+
+        return _summed(table, partial, n_classes * width).reshape(n_classes, width)
+
+    weights, step = np.zeros((n_classes, d)), np.zeros((n_classes, d))
+    best, scale_by = np.full(n_classes, np.inf), np.ones(n_classes)
+    for _ in range(max_rounds):
+        trial = weights + scale_by[:, None] * step
+        totals = sums(trial)
+        loss = 0.5 * (trial ** 2).sum(axis=1) + c * totals[:, -1]
+        better = loss <= best + 1e-12 * np.abs(best)
+        settled = True
+        for k in range(n_classes):
+            if not better[k]:  # overshoot: halve this class's step and look again
+                scale_by[k] /= 2.0
+                settled = settled and scale_by[k] < 1e-6
+                continue
+            weights[k], best[k], scale_by[k] = trial[k], loss[k], 1.0
+            gradient = trial[k] + 2.0 * c * totals[k, d * d:-1]
+            hessian = np.eye(d) + 2.0 * c * totals[k, :d * d].reshape(d, d)
+            step[k] = -np.linalg.solve(hessian, gradient)
+            settled = settled and np.linalg.norm(gradient) <= tol * max(1.0, loss[k])
+        if settled:
+            break
+    return weights[:, :-1], weights[:, -1]
+
+
 def fit_linear(
     train: DataFrame, features: Sequence[str], classes: Sequence[str], *, kind: str = "LinearSVC",
     class_weight: Mapping[str, float] | None = None, c: float = 1.0, label: str = "label",
 ) -> tuple[list[list[float]], list[float]]:
     """(weights, intercepts) per class from scaled features.  Runs jobs.
 
-    ``LinearSVC`` fits one hinge-loss machine per class; ``LogisticRegression`` fits one
-    multinomial model.  The penalty equals the usual ``C`` over the summed weights.
+    ``LinearSVC`` fits one squared-hinge machine per class (see ``fit_squared_hinge``);
+    ``LogisticRegression`` fits one multinomial model with the penalty 1 / (C * weights).
     """
     if kind not in ("LinearSVC", "LogisticRegression"):
         raise ValueError("classifier must be LinearSVC or LogisticRegression")
     weight = F.lit(1.0)
     for name, w in (class_weight or {}).items():
         weight = F.when(F.col(label) == name, F.lit(float(w))).otherwise(weight)
-    index = F.lit(-1.0)
+    index = F.lit(-1)
     for i, name in enumerate(classes):
-        index = F.when(F.col(label) == name, F.lit(float(i))).otherwise(index)
-    table = train.select(
-        array_to_vector(F.array(*[F.col(f) for f in features])).alias("features"), index.alias("y"), weight.alias("w")).persist()
+        index = F.when(F.col(label) == name, F.lit(i)).otherwise(index)
+    table = train.select(F.array(*[F.col(f) for f in features]).alias("x"), index.alias("y"), weight.alias("w")).persist()
     try:
-        penalty = 1.0 / (c * table.agg(F.sum("w")).first()[0])
-        if kind == "LogisticRegression":
-            fitted = LogisticRegression(
-                labelCol="y", weightCol="w", family="multinomial", regParam=penalty, standardization=False, maxIter=1000, tol=1e-8,
-            ).fit(table)
-            return fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist()
-        weights, intercepts = [], []
-        for i in range(len(classes)):  # one binary fit per class, each distributed
-            fitted = LinearSVC(labelCol="b", weightCol="w", regParam=penalty, standardization=False, maxIter=200, tol=1e-6).fit(
-                table.withColumn("b", (F.col("y") == i).cast("double")))
-            weights.append(fitted.coefficients.toArray().tolist())
-            intercepts.append(float(fitted.intercept))
-        return weights, intercepts
+        if kind == "LinearSVC":
+            weights, intercepts = fit_squared_hinge(table, len(features), len(classes), c=c)
+            return weights.tolist(), intercepts.tolist()
+        total = table.agg(F.sum("w")).first()[0]
+        fitted = LogisticRegression(
+            labelCol="y", weightCol="w", family="multinomial", regParam=1.0 / (c * total), standardization=False, maxIter=200, tol=1e-7,
+        ).fit(table.select(array_to_vector("x").alias("features"), "y", "w"))
+        return fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist()
     finally:
         table.unpersist()
 
 
 def fit_calibrator(
-    validation: DataFrame, classes: Sequence[str], *, margins: str = "margins", label: str = "label", c: float = 1e6
+    validation: DataFrame, classes: Sequence[str], *, margins: str = "margins", label: str = "label", c: float = 1e6,
+    tol: float = 1e-7, max_rounds: int = 60,
 ) -> tuple[list[float], list[float]]:
-    """(slopes, intercepts) of one sigmoid per class on validation margins.  Runs jobs."""
-    table = validation.select(F.col(margins).alias("m"), F.col(label).alias("t")).persist()
-    try:
-        rows = table.count()
-        counts = {r["t"]: r["n"] for r in table.filter(F.col("t").isin(*classes)).groupBy("t").agg(F.count("*").alias("n")).collect()}
-        slopes, intercepts = [], []
+    """(slopes, intercepts) of one sigmoid per class on validation margins.  Runs jobs.
+
+    Newton steps on the penalised log loss.  A round is one aggregation with six plain
+    sums per class, for all classes together.
+    """
+    counts = {r[label]: r["n"] for r in validation.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    rows = sum(counts.values())
+    for name in classes:
+        if not 0 < counts.get(name, 0) < rows:
+            raise ValueError(f"validation needs positive and negative examples of {name!r}")
+    k = len(classes)
+    values, step, best, scale_by = np.zeros((k, 2)), np.zeros((k, 2)), np.full(k, np.inf), np.ones(k)
+    for _ in range(max_rounds):
+        trial = values + scale_by[:, None] * step
+        sums = []
         for i, name in enumerate(classes):
-            if not 0 < counts.get(name, 0) < rows:
-                raise ValueError(f"validation needs positive and negative examples of {name!r}")
-            fitted = LogisticRegression(
-                labelCol="b", featuresCol="x", family="binomial", regParam=1.0 / (c * rows), standardization=False, maxIter=500, tol=1e-9,
-            ).fit(table.select(array_to_vector(F.array(F.col("m")[i])).alias("x"), (F.col("t") == name).cast("double").alias("b")))
-            slopes.append(float(fitted.coefficients[0]))
-            intercepts.append(float(fitted.intercept))
-        return slopes, intercepts
-    finally:
-        table.unpersist()
+            m, y = F.col(margins)[i], (F.col(label) == name).cast("double")
+            z = m * F.lit(float(trial[i, 0])) + F.lit(float(trial[i, 1]))
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+            # log(1 + exp(z)) without overflow
+            loss = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
+            q = p * (F.lit(1.0) - p)
+            sums += [F.sum(e).alias(f"s{i}_{j}") for j, e in enumerate(((p - y) * m, p - y, q * m * m, q * m, q, loss))]
+        totals = np.array(validation.agg(*sums).first(), dtype=np.float64).reshape(k, 6)
+        loss = totals[:, 5] + 0.5 / c * trial[:, 0] ** 2
+        settled = True
+        for i in range(k):
+            if loss[i] > best[i] + 1e-12 * abs(best[i]):
+                scale_by[i] /= 2.0
+                settled = settled and scale_by[i] < 1e-6
+                continue
+            values[i], best[i], scale_by[i] = trial[i], loss[i], 1.0
+            g0, g1, h00, h01, h11, _ = totals[i]
+            gradient = np.array([g0 + trial[i, 0] / c, g1])
+            hessian = np.array([[h00 + 1.0 / c, h01], [h01, h11]]) + 1e-12 * np.eye(2)
+            step[i] = -np.linalg.solve(hessian, gradient)
+            settled = settled and np.abs(gradient).max() <= tol * rows
+        if settled:
+            break
+    return values[:, 0].tolist(), values[:, 1].tolist()
 
 
 # --- scoring ---------------------------------------------------------------------------------
