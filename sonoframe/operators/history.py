@@ -23,7 +23,7 @@ def epoch_ms(df: DataFrame, column: str) -> Column:
     return F.unix_millis(column)
 
 
-def smooth_labels(df: DataFrame, key: str, order: Sequence[str] | str, label: str, *, segment: str) -> DataFrame:
+def smooth_labels(df: DataFrame, key: Sequence[str] | str, order: Sequence[str] | str, label: str, *, segment: str) -> DataFrame:
     """Hysteresis over accepted labels; a NULL label is a rejection and resets.
 
     The first accepted label shows at once; another one takes over when it fills

@@ -66,3 +66,73 @@ def slice_delay(df: DataFrame, slices: int = 3) -> str:
     """A watermark delay that covers one slice of ``as_stream``."""
     span = df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     return f"{int((span['b'] - span['a']).total_seconds() / slices) + 2} seconds"
+
+
+RESULT_COLUMNS = (
+    "ts_ms", "candidate_emotion", "confidence", "scores", "rejection_reason", "active_frame_count", "activity_ratio",
+    "audio_quality", "quality_status", "calibration_status", "decision_threshold", "model_version",
+)
+
+
+def live_columns(scored: DataFrame, classes) -> DataFrame:
+    """Scored updates without samples; class scores become a map."""
+    names = F.array(*[F.lit(c) for c in classes])
+    return scored.withColumn("scores", F.map_from_arrays(names, F.coalesce("scores", F.array_repeat(F.lit(0.0), len(classes))))).select(
+        "stream_id", "session_id", *RESULT_COLUMNS)
+
+
+def to_results(scored: DataFrame, smoothed: DataFrame) -> DataFrame:
+    """Result payloads of updates joined with their smoothed labels."""
+    from sonoframe.functions.checks import payload
+
+    joined = scored.join(smoothed.select("stream_id", "session_id", "ts_ms", F.col("smoothed").alias("emotion")), ["stream_id", "session_id", "ts_ms"])
+    ready = (
+        joined.withColumnRenamed("ts_ms", "timestamp_ms").withColumnRenamed("quality_status", "audio_quality_status")
+        .withColumnRenamed("decision_threshold", "rejection_threshold").withColumn("audio_active", F.col("active_frame_count") > 0))
+    return ready.select("stream_id", "session_id", *payload())
+
+
+def run_replay(series: DataFrame, model: dict, folder: str, *, frame_ms: int = 20, slices: int = 3) -> DataFrame:
+    """Replay stored series through the streaming path and return result payloads.
+
+    Two chained stream jobs: frames become scored updates (rolling window and throttle
+    are stateful, scoring is not), then updates are smoothed.  ``series`` carries
+    ``stream_id, sample_rate, samples``.
+    """
+    from sonoframe.plans.live import score_updates
+    from sonoframe.streaming.rolling import rolling_windows, smooth_stream
+
+    spark = series.sparkSession
+    rate = int(model["sample_rate"])
+    frames = frames_with_end(series.filter(F.col("sample_rate") == rate), frame_ms).drop("sample_rate")
+    body, ends = frames.filter(~F.col("is_end")), frames.filter("is_end")
+    windows = rolling_windows(
+        as_stream(body, f"{folder}/frames", closing=ends, slices=slices), round(rate * model["window_s"]),
+        round(model["update_interval_s"] * 1000), delay=slice_delay(body, slices))
+    scored = live_columns(score_updates(windows.withColumn("sample_rate", F.lit(rate)), model), model["classes"])
+    run_available(scored, f"{folder}/updates", f"{folder}/updates-state")
+    updates = spark.read.schema(scored.schema).parquet(f"{folder}/updates")
+    timed = updates.select("stream_id", "session_id", F.timestamp_millis("ts_ms").alias("ts"), "ts_ms", "candidate_emotion", F.lit(False).alias("is_end"))
+    closing = ends.select("stream_id", "session_id", "ts", "ts_ms", F.lit(None).cast("string").alias("candidate_emotion"), "is_end")
+    labels = smooth_stream(as_stream(timed, f"{folder}/labels", closing=closing, slices=1), delay=slice_delay(body, 1))
+    run_available(labels, f"{folder}/smoothed", f"{folder}/smoothed-state")
+    return to_results(updates, spark.read.schema(labels.schema).parquet(f"{folder}/smoothed"))
+
+
+def replay_in_batch(series: DataFrame, model: dict, *, frame_ms: int = 20) -> DataFrame:
+    """The same results without streams: emission points and labels folded in batch."""
+    from sonoframe.operators.history import smooth_labels
+    from sonoframe.plans.live import score_updates, series_updates
+
+    rate = int(model["sample_rate"])
+    stored = series.filter(F.col("sample_rate") == rate).withColumn("stream_id", F.col("stream_id").cast("string"))
+    if "session_id" not in stored.columns:
+        stored = stored.withColumn("session_id", F.lit("0"))
+    updates = series_updates(
+        stored.select("stream_id", "session_id", "sample_rate", "samples"), model["window_s"], model["update_interval_s"], frame_ms=frame_ms)
+    scored = live_columns(score_updates(updates, model), model["classes"])
+    segmented = scored.withColumn("segment", F.expr("ts_ms div 600000"))
+    smoothed = smooth_labels(
+        segmented.select("stream_id", "session_id", "segment", "ts_ms", "candidate_emotion"), ["stream_id", "session_id"], "ts_ms",
+        "candidate_emotion", segment="segment")
+    return to_results(scored, smoothed)
