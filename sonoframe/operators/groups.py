@@ -48,10 +48,15 @@ def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     reaches the driver.
     """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    directed = edges.filter("a <> b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    directed, before = checkpoint(directed), None
+    directed = checkpoint(edges.filter("a <> b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
+        # settled: every node has one target, and no target points further
+        ends = directed.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            directed.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        unsettled = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out = 1 and into = 1)")
+        if not unsettled.limit(1).count():
+            break
         both = directed.unionByName(directed.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -62,10 +67,6 @@ def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         directed = checkpoint(small)
-        state = directed.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("connected groups did not settle; raise max_rounds")
     return nodes.join(directed.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
@@ -76,16 +77,22 @@ def connected_groups(df: DataFrame, *, dense: bool = True) -> DataFrame:
     """Add ``group_key`` (smallest key of the component) and dense ``group_id``.
 
     Records belong together when they share a speaker, recording, source
-    recording, augmentation group, path or content hash.  Runs jobs.
+    recording, augmentation group, path or content hash.  Keys seen with one speaker
+    only cannot connect anything and leave before the iteration, which then runs on
+    speakers alone: each shared key ties its speakers to the smallest of them, so a
+    key of a million records adds a star and no pairs.  Runs jobs.
     """
     keyed = record_keys(df)
-    edges = keyed.select(F.col("_anchor").alias("a"), F.explode("_keys").alias("b")).distinct()
-    roots = smallest_reachable(edges)
-    anchors = keyed.select(F.col("_anchor").alias("node")).distinct()
-    owners = anchors.join(roots, "node", "left").select(
-        F.col("node").alias("_anchor"), F.coalesce("root", "node").alias("group_key"))
+    edges = checkpoint(keyed.select(F.col("_anchor").alias("a"), F.explode("_keys").alias("b")).distinct())
+    shared = checkpoint(edges.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("low")).filter("n > 1").select("b", "low"))
+    ties = sized_join(edges, shared, "b").filter("a <> low").select("a", F.col("low").alias("b")).distinct()
+    roots = smallest_reachable(ties)
+    smallest = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+    anchors = smallest.join(roots, "node", "left").select("node", "m", F.coalesce("root", "node").alias("root"))
+    names = anchors.groupBy("root").agg(F.min("m").alias("group_key"))
     if dense:
-        owners = dense_group_id(owners)
+        names = dense_group_id(names)
+    owners = anchors.join(names, "root").drop("root", "m").withColumnRenamed("node", "_anchor")
     # one row per speaker on the right: measured, then broadcast or salted
     return sized_join(keyed, checkpoint(owners), "_anchor").drop("_anchor", "_keys")
 
