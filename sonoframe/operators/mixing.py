@@ -147,7 +147,7 @@ def _sound(*parts: np.ndarray) -> bool:
 def _white(x, _, db, seed):
     if not _sound(x) or _power(x) <= 1e-12 or not SNR_RANGE_DB[0] <= db <= SNR_RANGE_DB[1]:
         return None
-    noise = np.random.default_rng(int(seed)).normal(0.0, 1.0, size=x.size)
+    noise = np.random.default_rng(int(seed) & (2**63 - 1)).normal(0.0, 1.0, size=x.size)
     return x + noise * np.sqrt(_power(x) / 10.0 ** (db / 10.0) / _power(noise))
 
 

@@ -75,7 +75,7 @@ SELECT doc_id, CASE WHEN split = 'dev' THEN 'bad_split' WHEN trim(path) = '' THE
 def row_validation(spark, sf_dir):
     df = prepared(spark, sf_dir)
     present = load(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("file_exists")).distinct()
-    clash = M.content_conflicts(df).select("file_sha256", F.lit(True).alias("content_conflict"))
+    clash = M.content_conflicts(df).select("file_sha256", F.lit(True).alias("content_conflict"))  # over all labelled rows
     df = df.join(present, "doc_id", "left").join(clash, "file_sha256", "left").fillna(False, ["file_exists", "content_conflict"])
     return M.validate_rows(df).select("doc_id", "violation")
 

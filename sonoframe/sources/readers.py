@@ -59,6 +59,7 @@ def scan_audio(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFr
     """``path, sample_rate, samples, file_sha256, error`` of every PCM file below a folder.
 
     A file that cannot be decoded keeps its row with ``error`` set; it never fails the job.
+    Files of zero bytes give no row, because Spark's file scan leaves them out.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -116,7 +117,9 @@ def scan_manifest(
         table = table.withColumn("_uri", full_path("path", base or ""))
         listing = files.select(F.col("path").alias("_uri"), "file_sha256", F.lit(True).alias("file_exists"))
         table = table.join(listing, "_uri", "left").withColumn("file_exists", F.coalesce("file_exists", F.lit(False)))
-        clash = M.content_conflicts(table.filter(F.col("file_exists"))).select("file_sha256", F.lit(True).alias("content_conflict"))
+        # only rows that pass every earlier rule can be in conflict
+        sound = M.validate_rows(table).filter(F.col("violation").isNull())
+        clash = M.content_conflicts(sound).select("file_sha256", F.lit(True).alias("content_conflict"))
         table = sized_join(table, clash, "file_sha256", "left").withColumn(
             "content_conflict", F.coalesce("content_conflict", F.lit(False))).drop("_uri")
     return M.validate_rows(table)

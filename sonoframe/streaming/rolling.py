@@ -78,8 +78,9 @@ def rolling_windows(
             yield pd.DataFrame({**{k: [v] * len(out) for k, v in _keys(keys, key).items()},
                                 "ts_ms": [o[0] for o in out], "samples": [o[1] for o in out]})
 
+    # the filter makes Spark hand compact rows to whatever Arrow step follows
     return stream.withWatermark(ts, delay).groupBy(*keys).applyInPandasWithState(
-        fold, output, kept, "append", GroupStateTimeout.EventTimeTimeout)
+        fold, output, kept, "append", GroupStateTimeout.EventTimeTimeout).filter(F.size("samples") == window)
 
 
 def smooth_stream(
