@@ -71,12 +71,22 @@ def running_totals(df: DataFrame, order: Sequence[str] | str, sums: dict[str, st
 
 
 # --- per-key positions and carried state -------------------------------------
-def _inside(keys, segment, order):
-    return Window.partitionBy(*keys, segment).orderBy(*order)
+# Keys travel as never-null structs: NULL keys form a stream of their own, and no
+# NOT NULL filter makes the two sides of a carry join differ, so Spark shuffles the
+# rows once and reuses that shuffle for their segment summaries.
+_BACK = (Window.unboundedPreceding, -1)
 
 
-def _across(keys, segment):
-    return Window.partitionBy(*keys).orderBy(segment)
+def _grouped(df: DataFrame, keys, segment: str) -> DataFrame:
+    return df.withColumn("_key", F.struct(*keys)).withColumn("_grp", F.struct(*keys, segment))
+
+
+def _inside(order, *, newest_first: bool = False):
+    return Window.partitionBy("_grp").orderBy(*[F.col(c).desc() if newest_first else F.col(c).asc() for c in order])
+
+
+def _across(*, newest_first: bool = False):
+    return Window.partitionBy("_key").orderBy(F.col("_grp").desc() if newest_first else F.col("_grp").asc())
 
 
 def carry_last(
@@ -85,83 +95,69 @@ def carry_last(
     """Last non-null ``value`` of the key up to (or before) each row."""
     keys, order = _names(keys), _names(order)
     end = 0 if include_current else -1
-    df = df.withColumn("_value", value)
+    df = _grouped(df.withColumn("_value", value), keys, segment)
     seen = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    tails = df.groupBy(*keys, segment).agg(F.max_by("_value", seen).alias("_tail"))
-    carried = tails.select(
-        *keys, segment,
-        F.last("_tail", ignorenulls=True)
-        .over(_across(keys, segment).rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
-    )
-    local = F.last("_value", ignorenulls=True).over(
-        _inside(keys, segment, order).rowsBetween(Window.unboundedPreceding, end)
-    )
+    tails = df.groupBy("_key", "_grp").agg(F.max_by("_value", seen).alias("_tail"))
+    carried = tails.select("_grp", F.last("_tail", ignorenulls=True).over(_across().rowsBetween(*_BACK)).alias("_carried"))
+    local = F.last("_value", ignorenulls=True).over(_inside(order).rowsBetween(Window.unboundedPreceding, end))
     return (
-        df.withColumn("_local", local)
-        .join(carried, [*keys, segment], "left")
+        df.withColumn("_local", local).join(carried, "_grp", "left")
         .withColumn(name, F.coalesce("_local", "_carried"))
-        .drop("_local", "_carried", "_value")
+        .drop("_local", "_carried", "_value", "_key", "_grp")
     )
 
 
 def carry_max(df: DataFrame, keys, segment: str, order, value: str, name: str) -> DataFrame:
     """Largest ``value`` of the key strictly before each row (NULL on the first)."""
     keys, order = _names(keys), _names(order)
-    peaks = df.groupBy(*keys, segment).agg(F.max(value).alias("_peak"))
-    carried = peaks.select(
-        *keys, segment,
-        F.max("_peak").over(_across(keys, segment).rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"),
-    )
-    local = F.max(value).over(_inside(keys, segment, order).rowsBetween(Window.unboundedPreceding, -1))
+    df = _grouped(df, keys, segment)
+    peaks = df.groupBy("_key", "_grp").agg(F.max(value).alias("_peak"))
+    carried = peaks.select("_grp", F.max("_peak").over(_across().rowsBetween(*_BACK)).alias("_carried"))
+    local = F.max(value).over(_inside(order).rowsBetween(*_BACK))
     return (
-        df.withColumn("_local", local)
-        .join(carried, [*keys, segment], "left")
+        df.withColumn("_local", local).join(carried, "_grp", "left")
         .withColumn(name, F.greatest("_local", "_carried"))
-        .drop("_local", "_carried")
+        .drop("_local", "_carried", "_key", "_grp")
     )
 
 
 def previous_rows(df: DataFrame, keys, segment: str, order, value: Column, n: int, name: str) -> DataFrame:
     """Array of the ``n`` preceding values of the key, nearest first."""
     keys, order = _names(keys), _names(order)
-    df = df.withColumn("_value", F.struct(value.alias("v")))
-    inside = _inside(keys, segment, order)
-    newest = Window.partitionBy(*keys, segment).orderBy(*[F.col(c).desc() for c in order])
+    df = _grouped(df.withColumn("_value", F.struct(value.alias("v"))), keys, segment)
+    inside = _inside(order)
     tails = (
-        df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= n)
-        .groupBy(*keys, segment)
+        df.withColumn("_rn", F.row_number().over(_inside(order, newest_first=True))).filter(F.col("_rn") <= n)
+        .groupBy("_key", "_grp")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_value"))), lambda s: s["_value"]).alias("_tail"))
     )
-    across = _across(keys, segment)
-    earlier = F.flatten(F.filter(F.array(*[F.lag("_tail", i).over(across) for i in range(1, n + 1)]), lambda a: a.isNotNull()))
-    carried = tails.select(*keys, segment, earlier.alias("_carried"))
+    earlier = F.flatten(F.filter(F.array(*[F.lag("_tail", i).over(_across()) for i in range(1, n + 1)]), lambda a: a.isNotNull()))
+    carried = tails.select("_grp", earlier.alias("_carried"))
     nothing = F.filter(F.array(F.col("_value")), lambda _: F.lit(False))
     local = F.filter(F.array(*[F.lag("_value", i).over(inside) for i in range(1, n + 1)]), lambda s: s.isNotNull())
     return (
-        df.withColumn("_local", local)
-        .join(carried, [*keys, segment], "left")
+        df.withColumn("_local", local).join(carried, "_grp", "left")
         .withColumn(name, F.transform(
             F.slice(F.concat("_local", F.coalesce("_carried", nothing)), 1, n), lambda s: s["v"]
         ))
-        .drop("_local", "_carried", "_value")
+        .drop("_local", "_carried", "_value", "_key", "_grp")
     )
 
 
 def keyed_rank(df: DataFrame, keys, segment: str, order, name: str, *, newest_first: bool = False) -> DataFrame:
     """Exact 1-based row number inside the key without a per-key task."""
     keys, order = _names(keys), _names(order)
-    direction = (lambda c: F.col(c).desc()) if newest_first else (lambda c: F.col(c).asc())
-    inside = Window.partitionBy(*keys, segment).orderBy(*[direction(c) for c in order])
-    across = Window.partitionBy(*keys).orderBy(direction(segment)).rowsBetween(Window.unboundedPreceding, -1)
+    df = _grouped(df, keys, segment)
+    before = _across(newest_first=newest_first).rowsBetween(*_BACK)
     offsets = (
-        df.groupBy(*keys, segment).agg(F.count("*").alias("_n"))
-        .select(*keys, segment, F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+        df.groupBy("_key", "_grp").agg(F.count("*").alias("_n"))
+        .select("_grp", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
     return (
-        df.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, segment])
+        df.withColumn("_rn", F.row_number().over(_inside(order, newest_first=newest_first)))
+        .join(offsets, "_grp", "left")
         .withColumn(name, F.col("_before") + F.col("_rn"))
-        .drop("_rn", "_before")
+        .drop("_rn", "_before", "_key", "_grp")
     )
 
 
