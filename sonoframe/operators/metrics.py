@@ -131,12 +131,57 @@ def ece(df: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFr
 def classification_metrics(
     df: DataFrame, classes: Sequence[str], threshold: float, by: Sequence[str] = ("condition",)
 ) -> DataFrame:
-    """All scalar metrics, one row per group (``by`` needs at least one column)."""
+    """All scalar metrics, one row per group, from a single pass over the predictions.
+
+    The pass leaves counted cells (truth, predicted, accepted, calibration bin); a
+    group's cells are bounded by labels x classes x 40, so the metrics are folds over
+    one short array per group.
+    """
     by = list(by)
-    out = selective_metrics(df, classes, threshold, by)
-    for part in (macro_scores(df, classes, threshold, by), brier(df, classes, by), ece(df, classes, by)):
-        out = out.join(part, by, "left")
-    return out.withColumn("calibration_count", F.coalesce("calibration_count", F.lit(0)))
+    usable = F.col("eligible") & F.col("label").isin(*classes)
+    table = (
+        judged(df, classes, threshold).withColumn("_usable", F.coalesce(usable, F.lit(False)))
+        .groupBy(*by, "label", "predicted", "accepted", "_usable", ece_bin(F.col("confidence")).alias("_bin"))
+        .agg(F.count("*").alias("n"), F.sum("confidence").alias("conf"),
+             F.sum(F.when(F.col("_usable"), P.brier_row("scores", "label", classes))).alias("brier"))
+        .groupBy(*by)
+        .agg(F.collect_list(F.struct("label", "predicted", "accepted", "_usable", "_bin", "n", "conf", "brier")).alias("_cells"))
+    )
+
+    def total(condition, value=lambda c: c["n"].cast("double")):
+        return F.aggregate(F.filter("_cells", condition), F.lit(0.0), lambda acc, c: acc + value(c))
+
+    accepted, right = lambda c: c["accepted"], lambda c: c["label"] == c["predicted"]
+    everything = lambda c: F.lit(True)
+    ratio = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    support = lambda name: total(lambda c: accepted(c) & (c["label"] == name))
+    guesses = lambda name: total(lambda c: accepted(c) & (c["predicted"] == name))
+    hits = lambda name: total(lambda c: accepted(c) & right(c) & (c["label"] == name))
+    per_label = F.transform("_observed", lambda name: F.struct(
+        ratio(hits(name), support(name)).alias("recall"), ratio(2.0 * hits(name), support(name) + guesses(name)).alias("f1")))
+    mean_of = lambda field: F.when(F.col("_accepted") > 0, F.aggregate(
+        "_per_label", F.lit(0.0), lambda acc, x: acc + x[field]) / F.size("_per_label"))
+    in_bin = lambda i: lambda c: c["_usable"] & (c["_bin"] == i)
+    hits_in = lambda i: lambda c: in_bin(i)(c) & right(c)
+    gap_sum = F.lit(0.0)
+    for i in range(10):
+        gap_sum = gap_sum + F.abs(total(hits_in(i)) - total(in_bin(i), lambda c: c["conf"]))
+    calibrated, count = F.col("_calibrated"), F.col("_rows")
+    return (
+        table.withColumn("_observed", F.array_distinct(F.transform("_cells", lambda c: c["label"])))
+        .withColumn("_rows", total(everything)).withColumn("_accepted", total(accepted))
+        .withColumn("_errors", total(lambda c: accepted(c) & ~right(c)))
+        .withColumn("_calibrated", total(lambda c: c["_usable"])).withColumn("_per_label", per_label)
+        .select(
+            *by, count.cast("long").alias("sample_count"), F.col("_accepted").cast("long").alias("accepted_count"),
+            (F.col("_accepted") / count).alias("coverage"), (1.0 - F.col("_accepted") / count).alias("rejection_rate"),
+            F.col("_errors").cast("long").alias("accepted_error_count"),
+            F.when(F.col("_accepted") > 0, F.col("_errors") / F.col("_accepted")).alias("accepted_error_rate"),
+            total(lambda c: ~c["label"].isin(*classes)).cast("long").alias("unsupported_truth_count"),
+            mean_of("f1").alias("macro_f1"), mean_of("recall").alias("uar"), calibrated.cast("long").alias("calibration_count"),
+            F.when(calibrated > 0, total(lambda c: c["_usable"], lambda c: c["brier"]) / calibrated).alias("brier_score"),
+            F.when(calibrated > 0, gap_sum / calibrated).alias("expected_calibration_error"))
+    )
 
 
 def reason_counts(df: DataFrame, reason: str = "reason", by: Sequence[str] = ()) -> DataFrame:
