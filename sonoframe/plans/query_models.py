@@ -86,7 +86,8 @@ def condition_rows(spark, sf_dir):
 @query("augmented_rows", """SELECT label, augmentation, count(*) AS "rows", sum(64)::BIGINT AS samples FROM embeddings, (SELECT unnest(['original', '20dB', '5dB', 'fan@10dB', 'reverb']) AS augmentation) GROUP BY ALL""")
 def augmented_rows(spark, sf_dir):
     e = load(spark, sf_dir, "embeddings")
-    pick = e.filter(F.col("vec_id") < 3).select(F.col("vec_id").cast("int").alias("source_idx"), F.slice("embedding", 1, 20).alias("source_samples"))
+    wave = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.sin(i * (F.col("n_nationkey") + 1) + 1).cast("float"))
+    pick = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source_idx"), wave.alias("source_samples"))
     train = e.select("vec_id", "label", F.col("embedding").alias("samples"))
     out = X.augment(train, order="vec_id", snr_db=(20.0, 5.0), backgrounds=pick.withColumn("noise_type", F.lit("fan")), background_snr_db=(10.0,), rooms=pick)
     return out.groupBy("label", "augmentation").agg(F.count("*").alias("rows"), F.sum(F.size("samples").cast("long")).alias("samples"))
