@@ -23,7 +23,6 @@ def found_sql(lines: str, scope: str = "current", extra: str = "") -> str:
         for k, p in _SQL_PATTERN.items())
 
 
-PAGES = found_sql("pl").replace("FROM pl", "FROM pl")
 DOCS = f"dl AS MATERIALIZED {lines_sql('documents', 'doc_id')}"
 
 

@@ -35,19 +35,19 @@ def _weighted(samples="samples"):
 WEIGHTED = "list_sum(list_transform({0}, lambda v, i: v::FLOAT::DOUBLE * i))"
 
 
-@query("background_mix", f"WITH {PAIR}, m AS (SELECT vec_id, list_transform(range(1, 65), lambda i: x[i] + t[i] * sqrt(px / pow(10, db / 10) / pt)) AS z FROM lv) SELECT vec_id, {s6(WEIGHTED.format('z'), 4)} AS total, {s6(RMS.format('z'))} AS rms FROM m")
+@query("background_mix", f"WITH {PAIR}, m AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (x[i] + t[i] * sqrt(px / pow(10, db / 10) / pt))::FLOAT) AS z FROM lv) SELECT vec_id, {s6(WEIGHTED.format('z'), 4)} AS total, {s6(RMS.format('z'))} AS rms FROM m")
 def background_mix(spark, sf_dir):
     return X.mix_background(pairs(spark, sf_dir), "other", "level_db").select("vec_id", r6(_weighted(), 4).alias("total"), r6(S.rms("samples")).alias("rms"))
 
 
-@query("interferer_mix", f"WITH {PAIR}, m AS (SELECT vec_id, list_transform(range(1, 65), lambda i: x[i] + t[i] * sqrt(px) / (sqrt(pt) * pow(10, (db - 9) / 20))) AS z FROM lv) SELECT vec_id, {s6(WEIGHTED.format('z'), 4)} AS total, {s6(RMS.format('z'), 5)} AS rms FROM m")
+@query("interferer_mix", f"WITH {PAIR}, m AS (SELECT vec_id, list_transform(range(1, 65), lambda i: (x[i] + t[i] * sqrt(px) / (sqrt(pt) * pow(10, (db - 9) / 20)))::FLOAT) AS z FROM lv) SELECT vec_id, {s6(WEIGHTED.format('z'), 4)} AS total, {s6(RMS.format('z'))} AS rms FROM m")
 def interferer_mix(spark, sf_dir):
     df = pairs(spark, sf_dir).withColumn("level_db", F.col("level_db") - 9)
-    return X.mix_interferer(df, "other", "level_db").select("vec_id", r6(_weighted(), 4).alias("total"), r6(S.rms("samples"), 5).alias("rms"))
+    return X.mix_interferer(df, "other", "level_db").select("vec_id", r6(_weighted(), 4).alias("total"), r6(S.rms("samples")).alias("rms"))
 
 
 @query("reverb_mix", f"""WITH {PAIR}, w AS (SELECT *, list_transform(range(1, 65), lambda i: list_sum(list_transform(range(1, least(i, 24) + 1), lambda k: y[k] * x[i - k + 1]))) AS c FROM lv),
- m AS (SELECT vec_id, list_transform(c, lambda v: v * sqrt(px) / sqrt(list_avg(list_transform(c, lambda u: u * u)))) AS z FROM w) SELECT vec_id, {s6(WEIGHTED.format('z'), 4)} AS total, {s6(RMS.format('z'))} AS rms FROM m""")
+ m AS (SELECT vec_id, list_transform(c, lambda v: (v * sqrt(px) / sqrt(list_avg(list_transform(c, lambda u: u * u))))::FLOAT) AS z FROM w) SELECT vec_id, {s6(WEIGHTED.format('z'), 4)} AS total, {s6(RMS.format('z'))} AS rms FROM m""")
 def reverb_mix(spark, sf_dir):
     return X.apply_reverb(pairs(spark, sf_dir), "other").select("vec_id", r6(_weighted(), 4).alias("total"), r6(S.rms("samples")).alias("rms"))
 
