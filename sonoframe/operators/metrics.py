@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from sonoframe import settings
 from sonoframe.functions import scores as P
 from sonoframe.operators.ordering import exact_quantiles, running_totals
-from sonoframe.session import checkpoint
 
 
 def judged(df: DataFrame, classes: Sequence[str], threshold: float) -> DataFrame:

@@ -6,9 +6,8 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sonoframe import settings
 from sonoframe.functions import checks as C
@@ -139,8 +138,6 @@ def scan_noise_manifest(spark: SparkSession, path: str, audio: DataFrame, base:
         .when(F.coalesce(F.col("listed_path"), F.lit("")) == "", "empty_path")
         .when(F.col("source_sha256").isNull(), "missing_file"))
     # at most a few sources per type: a source list is a hand-made table
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("noise_type").orderBy("_row")) - 1
     return joined.withColumn("violation", bad).withColumn("source_idx", place.cast("int")).drop("_row", "listed_path")
 

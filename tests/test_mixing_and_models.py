@@ -3,7 +3,6 @@ import pytest
 from helpers import series_frame, spoken, tone
 from pyspark.sql import functions as F
 
-from sonoframe import settings
 from sonoframe.functions import scores as P
 from sonoframe.operators import metrics as MT
 from sonoframe.operators import mixing as X
