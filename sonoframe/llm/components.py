@@ -29,7 +29,7 @@ def _contract(batches):
     def stars():
         children = [x for x in above if above[x] != x]
         parents = [top(x) for x in children]
-        moved = len(children) != rows or any(direct[x] != p for x, p in zip(children, parents))
+        moved = len(children) != rows or any(direct.get(x) != p for x, p in zip(children, parents))
         return pa.RecordBatch.from_pydict({
             "child": pa.array(children, pa.int64()), "parent": pa.array(parents, pa.int64()),
             "moved": pa.array([moved] * len(children), pa.bool_())})
