@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonoframe.llm import extraction, lines, mixing, neighbours, packing, quality, simhash, topk, toxicity
+from sonoframe.llm import extraction, licences, lines, mixing, neighbours, packing, quality, simhash, topk, toxicity
 from sonoframe.llm.supervised import id_remainder
 
 QUERIES: dict = {}
@@ -89,3 +89,9 @@ def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     found = extraction.extract(pages, extraction.fit_extractor(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licences.find_licences(docs, licences.fit_licences(docs))
