@@ -202,7 +202,7 @@ def _lines_at(min_words: int):
         for batch in batches:
             names, texts = [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = text.split("\n")
+                lines = (text or "").split("\n")
                 for w in wanted:
                     line = comparable(lines[w["pos"]], min_words) if w["pos"] < len(lines) else None
                     if line is not None and _identity(line) == np.array([w["h1"], w["h2"]], np.int64).tobytes():
