@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.llm.components import components
-from sonoframe.llm.shared import attach, checked_columns, stored
+from sonoframe.llm.shared import attach, checked_columns, pieces, stored
 
 SHINGLE = 8          # characters
 SIMILARITY = 0.8     # exact Jaccard similarity of the shingle sets
 MIN_WORDS = 8        # shorter lines are ordinary language, not boilerplate, and stay
 BANDS, ROWS = 12, 4  # at similarity 0.8 all bands miss 0.2 % of the pairs, at 0.85 0.01 %
-AGREEING = 30        # of one bit from each of the 48 minima: pairs at similarity 0.8 have 43 in the mean, six deviations more; unlike lines have 24
+AGREEING = 34        # of one bit from each of the 48 minima: pairs at similarity 0.8 have 43 in the mean, over four deviations more; unlike lines have 24
+HELD_SHINGLES = 400_000
 PIECE = 1 << 16      # characters hashed at a time; keeps the working arrays in cache
 
 _RANDOM = np.random.default_rng(20_240_607)
@@ -81,7 +82,7 @@ def _occurrences(min_words: int, with_bands: bool):
     """Kernel: a row per line that takes part, with its 128-bit identity and, on request, its band keys."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids, places, digests, which, known, lines = [], [], [], [], {}, []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if doc is None or text is None:
@@ -131,18 +132,34 @@ def _bucket_rows(batches, rows_of):
         yield from rows_of(held)
 
 
+def _centres(bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Index of the row of each bucket whose bits are nearest to the bucket's majority, the first of several."""
+    votes = np.add.reduceat((bits[:, None] >> np.arange(BANDS * ROWS)) & 1, starts, axis=0) * 2 > sizes[:, None]
+    majority = (votes.astype(np.int64) << np.arange(BANDS * ROWS)).sum(axis=1)
+    away = np.bitwise_count((bits ^ np.repeat(majority, sizes)).view(np.uint64)).astype(np.int64)
+    return np.minimum.reduceat((away << 40) | np.arange(len(bits)), starts) & ((1 << 40) - 1)
+
+
 def _star_pairs(batches):
-    """Pairs of each bucket's smallest line with its others; with key set, the members of buckets of three and more."""
+    """Pairs of each bucket's centre with its others; with key set, the members of buckets of three and more.
+
+    The centre is the line that is likest to the bucket as a whole, so that variants of one line mostly link to it.
+    """
 
     def rows_of(columns):
         keys, lines, bits = columns
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(starts, len(keys)))
-        first, size = np.repeat(lines[starts], sizes), np.repeat(sizes, sizes)
-        other = (first != lines) & _alike(np.repeat(bits[starts], sizes), bits)
+        centre, many = starts.copy(), np.flatnonzero(sizes > 2)
+        if len(many):
+            rows, own = np.flatnonzero(np.repeat(sizes > 2, sizes)), sizes[many]
+            centre[many] = rows[_centres(bits[rows], np.cumsum(own) - own, own)]
+        first, size = np.repeat(lines[centre], sizes), np.repeat(sizes, sizes)
+        other = (first != lines) & _alike(np.repeat(bits[centre], sizes), bits)
         none = np.zeros(int(other.sum()), np.int64)
         names = ["a", "b", "key", "bits"]
-        yield pa.RecordBatch.from_arrays([pa.array(first[other]), pa.array(lines[other]), *[pa.array(none, mask=none == 0)] * 2], names)
+        ends = [pa.array(pick(first[other], lines[other])) for pick in (np.minimum, np.maximum)]
+        yield pa.RecordBatch.from_arrays([*ends, *[pa.array(none, mask=none == 0)] * 2], names)
         more = size > 2
         yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (first, lines, keys, bits)], names)
 
@@ -150,7 +167,7 @@ def _star_pairs(batches):
 
 
 def _cross_pairs(batches):
-    """Pairs within a bucket between different components, but for those with its smallest line."""
+    """Pairs within a bucket between different components, but for those with its centre."""
 
     def rows_of(columns):
         keys, firsts, lines, groups, bits = columns
@@ -179,14 +196,18 @@ def _similar(threshold: float):
     """Kernel: keep the pairs (a, b, text_a, text_b) whose shingle sets reach the threshold."""
 
     def run(batches):
-        last = {}
-        for batch in batches:
+        known, held = {}, 0  # shingle sets of lines that are likely to come again
+        for batch in pieces(batches):
             a, b = [], []
             for x, y, s, t in zip(*[c.to_pylist() for c in batch.columns]):
-                short, long = sorted((max(1, len(s) - SHINGLE + 1), max(1, len(t) - SHINGLE + 1)))
-                if x not in last:
-                    last = {x: shingles(s)}
-                one, two = last[x], shingles(t)
+                if held > HELD_SHINGLES:
+                    known.clear()
+                    held = 0
+                for line, text in ((x, s), (y, t)):
+                    if line not in known:
+                        known[line] = shingles(text)
+                        held += len(known[line])
+                one, two = known[x], known[y]
                 both = len(one & two)
                 if both >= threshold * (len(one) + len(two) - both):
                     a.append(x), b.append(y)
@@ -199,7 +220,7 @@ def _lines_at(min_words: int):
     """Kernel: the comparable text of wanted lines, from (text, list of (pos, line id))."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             names, texts = [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lines = (text or "").split("\n")
@@ -266,7 +287,7 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def _without(batches):
-    for batch in batches:
+    for batch in pieces(batches):
         texts = []
         for text, removed in zip(batch.column("text").to_pylist(), batch.column("_removed").to_pylist()):
             if removed:

@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,14 @@ def attach(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFram
     return left.join(F.broadcast(right) if stored_bytes(right) <= BROADCAST_BYTES else right, on, how)
 
 
+def pieces(batches, rows: int = 512):
+    """Batches in slices of few rows, so that what a kernel makes of one stays small; gives unused memory back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def share(id_column: str, salt: str, part: float) -> Column:
     """A repeatable sample of about ``part`` of the ids."""
     return F.pmod(F.xxhash64(F.lit(salt), F.col(id_column)), F.lit(1_000_000)) < int(part * 1_000_000)
