@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.llm.html_tree import TOKEN_GROUPS, features, joined, parse
-from sonoframe.llm.shared import share, stored
+from sonoframe.llm.shared import pieces, share, stored
 
 MAX_PAGES = 400        # pages learned from, at most about
 LAYOUTS = 3            # layouts drawn around the texts of each of them
@@ -88,7 +88,7 @@ def _labelled(nodes, region=None):
 
 def _training_rows(batches):
     """Kernel: node features and labels of pages with a semantic article, and of layouts drawn around their texts."""
-    for batch in batches:
+    for batch in pieces(batches, 64):
         xs, ys = [], []
 
         def learn(nodes, region=None):
@@ -99,11 +99,11 @@ def _training_rows(batches):
         for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text:
                 continue
-            nodes, pieces = parse(text)
+            nodes, parts = parse(text)
             region = next((n for tag in ROOTS for n in nodes if n.tag == tag), None)
             inside = {n: y for n, y in _labelled(nodes, region)} if region else {}
             blocks, other, words, last = [], [], "", None
-            for node, piece in [*pieces, (None, None)]:
+            for node, piece in [*parts, (None, None)]:
                 if piece is not None:
                     words, last = words + piece, node
                 elif words.strip():
@@ -171,17 +171,19 @@ def decode(nodes, odds) -> set:
     return kept
 
 
-def _extracted(trees: Trees):
-    """Kernel: append the main text to rows (``_html``, ``_row``)."""
+def _extracted(trees: Trees, html_column: str):
+    """Kernel: append the main text of a page column of ``_row``; the nodes of several pages are scored at once."""
 
     def run(batches):
-        for batch in batches:
-            texts = []
-            for page in batch.column("_html").to_pylist():
-                nodes, pieces = parse(page or "")
-                kept = decode(nodes, trees.log_odds(np.array([features(n, nodes[0].chars) for n in nodes]))) if pieces else set()
-                texts.append(joined(pieces, kept.__contains__))
-            yield batch.append_column("_text", pa.array(texts, pa.string())).drop_columns(["_html"])
+        for batch in pieces(batches, 64):
+            parsed = [parse(page or "") for page in batch.column(0).field(html_column).to_pylist()]
+            odds = trees.log_odds(np.array([features(n, nodes[0].chars) for nodes, _ in parsed for n in nodes]))
+            texts, at = [], 0
+            for nodes, found in parsed:
+                kept = decode(nodes, odds[at:at + len(nodes)])
+                at += len(nodes)
+                texts.append(joined(found, kept.__contains__))
+            yield batch.append_column("_text", pa.array(texts, pa.string()))
 
     return run
 
@@ -212,6 +214,6 @@ def extract(pages: DataFrame, trees: Trees | None, html_column: str = "html", to
     names = [F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c != to]
     if trees is None:
         return pages.withColumn(to, F.lit(""))
-    rows = pages.select(F.col(f"`{html_column}`").cast("string").alias("_html"), F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"))
-    found = rows.mapInArrow(_extracted(trees), f"_row {rows.schema['_row'].dataType.simpleString()}, _text string")
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("_row"))
+    found = rows.mapInArrow(_extracted(trees, html_column), f"_row {rows.schema['_row'].dataType.simpleString()}, _text string")
     return found.select(*names, F.col("_text").alias(to))

@@ -6,13 +6,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.shared import checked_columns
+from sonoframe.llm.shared import checked_columns, pieces
 
 LENGTH = 2048
 END = 1                       # id closing every document
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 512                  # remainders that compete for a sequence; bounds a task's memory, drops nothing
-CACHED_WORDS = 400_000        # encoded words kept per task
+CACHED_WORDS = 200_000        # encoded words kept per task
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -126,29 +126,27 @@ def _packed(path: str | None, capacity: int, end: int, window: int):
 
         def place(filled):
             nonlocal sequence
-            for pieces in filled:
+            for filling in filled:
                 offset = 0
-                for doc, start, ids, total in pieces:
+                for doc, start, ids, total in filling:
                     length = len(ids) // 4
                     rows.append((doc, start, length, ids, total, sequence, offset))
                     offset += length
                 sequence += 1
 
         closing = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
-                    ids += closing
-                    total = len(ids) // 4
-                    whole = total // capacity * capacity
-                    place([(doc, s, ids[4 * s:4 * (s + capacity)], total)] for s in range(0, whole, capacity))
-                    if total > whole:
-                        remainders.add(total - whole, (doc, whole, ids[4 * whole:], total))
-                place(remainders.filled(window))
-                if len(rows) >= 2000:
-                    yield batch_of()
+        for part in pieces(batches, 64):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
+                ids += closing
+                total = len(ids) // 4
+                whole = total // capacity * capacity
+                place([(doc, s, ids[4 * s:4 * (s + capacity)], total)] for s in range(0, whole, capacity))
+                if total > whole:
+                    remainders.add(total - whole, (doc, whole, ids[4 * whole:], total))
+            place(remainders.filled(window))
+            if len(rows) >= 500:
+                yield batch_of()
         place(remainders.filled(0))
         if rows:
             yield batch_of()

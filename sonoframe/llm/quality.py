@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.shared import stored
+from sonoframe.llm.shared import pieces, stored
 from sonoframe.llm.supervised import calibrated, fit_isotonic, id_remainder, labelled_sample
 
 MAX_LABELLED = 20_000   # labelled rows learned from, at most about
@@ -49,7 +49,7 @@ def describe(text: str | None) -> list[float]:
 
 def _described(batches):
     """Kernel: (text, label, calibrates) to the statistics of the text."""
-    for batch in batches:
+    for batch in pieces(batches):
         found = [describe(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "label", "calibrates"])
 
@@ -90,13 +90,13 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": rows["i"].iloc[:1], "sums": [np.sum(np.stack(rows["sums"].to_list()), axis=0)]})
 
 
-def _scored(model: QualityModel):
-    """Kernel: append the ridge score of ``_text`` to rows (``_text``, ``_row``)."""
+def _scored(model: QualityModel, text_column: str):
+    """Kernel: append the ridge score of a text column of ``_row``."""
 
     def run(batches):
-        for batch in batches:
-            x = np.array([describe(t.as_py()) for t in batch.column("_text")]).reshape(-1, len(STATISTICS))
-            yield batch.append_column("_score", pa.array(model.features(x) @ model.weights)).drop_columns(["_text"])
+        for batch in pieces(batches):
+            x = np.array([describe(t.as_py()) for t in batch.column(0).field(text_column)]).reshape(-1, len(STATISTICS))
+            yield batch.append_column("_score", pa.array(model.features(x) @ model.weights))
 
     return run
 
@@ -143,9 +143,9 @@ def score_quality(docs: DataFrame, model: QualityModel, text_column: str = "text
     """
     if model.weights is None:
         return docs.withColumn(to, F.lit(float(model.prior)))
-    rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     frozen = QualityModel(model.mean, model.spread, model.weights)
-    scored = rows.mapInArrow(_scored(frozen), f"_row {rows.schema['_row'].dataType.simpleString()}, _score double")
+    scored = rows.mapInArrow(_scored(frozen, text_column), f"_row {rows.schema['_row'].dataType.simpleString()}, _score double")
     names = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != to]
     return calibrated(scored, model.calibration).select(*names, F.col("_calibrated").alias(to))
 

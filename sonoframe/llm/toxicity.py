@@ -11,14 +11,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.shared import stored
+from sonoframe.llm.shared import pieces, stored
 from sonoframe.llm.supervised import calibrated, fit_isotonic, id_remainder, labelled_sample
 
 MAX_LABELLED = 20_000      # labelled rows learned from, at most about
 LEXICON_TERMS = 2_000      # learned words and word beginnings, at most
 PREFIXES = (4, 5)
 MIN_ODDS, MIN_Z = math.log(8), 2.8
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 # Words that address the reader, in the languages of the corpus.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
@@ -43,7 +43,7 @@ def _terms(words):
 
 def _term_counts(batches):
     """Kernel: documents per term and label, pre-aggregated over each batch."""
-    for batch in batches:
+    for batch in pieces(batches, 2_048):
         counts = (Counter(), Counter())
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             counts[1 if label else 0].update(_terms({bare(w) for w in (text or "").lower().split()}))
@@ -128,16 +128,16 @@ def describe(text: str | None, codes: _Codes) -> list[float]:
             *_rates(text), count(MIXED) / n, math.log1p(disguised), count(STRETCHED) / n, math.log1p(len(hits))]
 
 
-def _described(lexicon: dict[str, float]):
-    """Kernel: append the features of ``_row.text`` to rows (``_text``, ``_row``)."""
+def _described(lexicon: dict[str, float], text_column: str):
+    """Kernel: append the features of a text column of ``_row``."""
 
     def run(batches):
         codes = _Codes(lexicon)
-        for batch in batches:
+        for batch in pieces(batches):
             if len(codes) > CACHED_WORDS:
                 codes.clear(), codes.strength.clear()
-            features = [describe(t.as_py(), codes) for t in batch.column("_text")]
-            yield batch.append_column("_features", pa.array(features, pa.list_(pa.float64()))).drop_columns(["_text"])
+            features = [describe(t.as_py(), codes) for t in batch.column(0).field(text_column)]
+            yield batch.append_column("_features", pa.array(features, pa.list_(pa.float64())))
 
     return run
 
@@ -151,9 +151,9 @@ class ToxicityModel:
 
 
 def _with_features(docs: DataFrame, lexicon: dict, text_column: str) -> DataFrame:
-    rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     schema = f"_row {rows.schema['_row'].dataType.simpleString()}, _features array<double>"
-    return rows.mapInArrow(_described(lexicon), schema).withColumn("_vector", array_to_vector("_features"))
+    return rows.mapInArrow(_described(lexicon, text_column), schema).withColumn("_vector", array_to_vector("_features"))
 
 
 def _raw(model: ToxicityModel, rows: DataFrame) -> DataFrame:
