@@ -66,9 +66,9 @@ def recent_n(df: DataFrame, key: str, order: Sequence[str] | str, n: int = 12, *
 def keep_newest(df: DataFrame, key: str, order: Sequence[str] | str, n: int, *, segment: str) -> DataFrame:
     """The newest ``n`` rows per key and how many older rows the key dropped."""
     ranked = keyed_rank(df, key, segment, order, "_recency", newest_first=True)
-    totals = df.groupBy(key).agg(F.count("*").alias("_total"))
+    totals = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_total"))
     kept = ranked.filter(F.col("_recency") <= n).drop("_recency")
-    return kept.join(totals, key).withColumn(
+    return kept.join(totals, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn(
         "dropped_count", F.greatest(F.col("_total") - F.lit(n), F.lit(0).cast("long"))).drop("_total")
 
 
@@ -80,10 +80,11 @@ def rolling_summary(
         raise ValueError("the capacity must be positive")
     ranked = keyed_rank(df, key, segment, order, "_recency", newest_first=True).filter(F.col("_recency") <= n)
     # at most n rows per key reach the percentile
-    kept = ranked.groupBy(key).agg(
+    kept = ranked.groupBy(F.col(key).alias("_key")).agg(
         F.count("*").alias("retained_count"), F.percentile(value, F.lit(0.5)).alias("median"),
         F.percentile(value, F.lit(0.95)).alias("p95"))
-    return df.groupBy(key).agg(F.count("*").alias("sample_count")).join(kept, key)
+    return df.groupBy(key).agg(F.count("*").alias("sample_count")).join(
+        kept, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def throttle(df: DataFrame, key: str, ts_ms: str, interval_ms: int, *, segment_ms: int = 3_600_000) -> DataFrame:

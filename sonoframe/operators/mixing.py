@@ -25,9 +25,13 @@ def assign_round_robin(df: DataFrame, sources: DataFrame, order: Sequence[str] |
     source side is broadcast when measured small and salted otherwise.
     """
     order = [order] if isinstance(order, str) else list(order)
-    n = sources.count() if count is None else count
+    found, lowest, highest, different = sources.agg(
+        F.count("source_idx"), F.min("source_idx"), F.max("source_idx"), F.count_distinct("source_idx")).first()
+    n = found if count is None else count
     if not n:
         raise ValueError("there is no source to assign")
+    if (found, lowest, highest, different) != (n, 0, n - 1, n):
+        raise ValueError(f"source_idx must be 0..{n - 1}, each once; found {found} from {lowest} to {highest}")
     positions = global_index(df.select(*order), order, "row_index").withColumn(
         "source_idx", F.pmod("row_index", F.lit(n)).cast("int"))
     return sized_join(df.join(positions, order), sources, "source_idx")

@@ -53,10 +53,10 @@ MODEL_SCHEMA = T.StructType([
 
 # --- gate before fitting -------------------------------------------------------------
 def accept_windows(df: DataFrame) -> DataFrame:
-    """Add ``reason``: why a window may not train or be scored, NULL when it may."""
+    """Add ``reason``: why a window may not train or be scored, NULL when it may; an unknown status is rejected."""
     status = F.col("quality_status")
     return df.withColumn(
-        "reason", F.when(status != "ACCEPTABLE", status).when(
+        "reason", F.when(~status.eqNullSafe("ACCEPTABLE"), F.coalesce(status, F.lit("UNKNOWN_QUALITY"))).when(
             F.coalesce(F.col("valid_frame_fraction"), F.lit(0.0)) < settings.MIN_VALID_FRAME_FRACTION, "INVALID_FRAME_CONTENT"))
 
 

@@ -50,8 +50,8 @@ def _gate_reason(gates: settings.QualityGates, low_activity: str, uncertain: str
         .when((F.col("activity_ratio") < gates.min_activity_ratio)
               | (F.col("longest_active_run") < gates.min_contiguous_active_frames), low_activity)
         .when(status == "LOW_QUALITY", "LOW_QUALITY")
-        .when(status != "ACCEPTABLE", uncertain)
-        .when(F.col("audio_quality") < settings.LIVE_MIN_AUDIO_QUALITY, "LOW_QUALITY")
+        .when(~status.eqNullSafe("ACCEPTABLE"), uncertain)
+        .when(F.coalesce(F.col("audio_quality") < settings.LIVE_MIN_AUDIO_QUALITY, F.lit(True)), "LOW_QUALITY")
     )
 
 
