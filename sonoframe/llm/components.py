@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoframe.llm.shared import forget, stored
+from sonoframe.llm.shared import attach, forget, stored
 
 # Links held at once by one task; a partition with more is contracted piece by piece.
 CHUNK = 500_000
@@ -65,11 +65,12 @@ def components(links: DataFrame) -> DataFrame:
     current = stored(ends.mapInArrow(_contract, _FIELDS))
     while True:
         hooked = stored(current.select("child", "parent").repartition("child").mapInArrow(_contract, _FIELDS))
-        up = hooked.select(F.col("child").alias("parent"), F.col("parent").alias("above"))
-        jumped = stored(hooked.select("child", "parent").join(up, "parent", "left").select(
+        # one parent is enough to move up; links to the others stay in the table themselves
+        up = stored(hooked.groupBy(F.col("child").alias("parent")).agg(F.min("parent").alias("above")))
+        jumped = stored(attach(hooked.select("child", "parent"), up, "parent").select(
             "child", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
         done = hooked.filter("moved").isEmpty() and jumped.filter("moved").isEmpty()
-        forget(current), forget(hooked)
+        forget(current), forget(hooked), forget(up)
         current = jumped
         if done:
             return current.select(F.col("child").alias("node"), F.col("parent").alias("root"))
