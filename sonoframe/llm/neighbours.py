@@ -40,7 +40,8 @@ class Tree:
     def search(self, queries: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, best: Best, factor: float) -> None:
         """Put what may be among the nearest of each query into ``best``."""
 
-        def visit(node, active):
+        def visit(node, active, home):
+            """Take the queries down a node together, so that it is visited once; ``home`` stays on each query's own side."""
             if not len(active):
                 return
             if isinstance(node, np.ndarray):
@@ -50,12 +51,14 @@ class Tree:
             point, middle, inner, outer = node
             away = np.linalg.norm(queries[active] - self.vectors[point], axis=1)
             near = away <= middle
-            visit(inner, active[near])
-            visit(outer, active[~near])
+            if home:
+                visit(inner, active[near], True)
+                visit(outer, active[~near], True)
+                return
             # the other side is as far as the query is from the border, at least
-            reach = np.abs(away - middle) * factor <= best.bound[active] * (1 + 1e-9)
-            visit(outer, active[near & reach])
-            visit(inner, active[~near & reach])
+            across = lambda: np.abs(away - middle) * factor <= best.bound[active] * (1 + 1e-9)
+            visit(inner, active[near | across()], False)
+            visit(outer, active[~near | across()], False)  # bounds may have fallen since
 
         def leaf(rows, active):
             rough = distances(queries[active], self.vectors[rows])
@@ -63,7 +66,9 @@ class Tree:
             exact = np.sqrt(((queries[active[i]] - self.vectors[rows[j]]) ** 2).sum(axis=1))
             best.add(active[i], ids[rows[j]], exact)
 
-        visit(self.root, np.arange(len(queries)))
+        everyone = np.arange(len(queries))
+        visit(self.root, everyone, True)   # first the leaf that each query falls into, for a bound
+        visit(self.root, everyone, False)
 
 
 def _search(block, k: int, factor: float):
@@ -97,8 +102,8 @@ def _search(block, k: int, factor: float):
 def nearest(rows: DataFrame, is_query: Column, k: int = 10, factor: float = FACTOR, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: about the k nearest rows of each query, without its own, by Euclidean distance.
 
-    Every row is indexed.  A partition's vectors form vantage-point trees; a query block of bounded size goes down them, nearer side
-    first, and leaves out a branch whose border is further than its k-th nearest so far divided by ``factor``.  Factor 1 is exact; larger
+    Every row is indexed.  A partition's vectors form vantage-point trees; a query block of bounded size goes down them, first each
+    to its own leaf, then to all others, and leaves out a branch whose border is further than its k-th nearest so far divided by ``factor``.  Factor 1 is exact; larger
     ones leave out more.  First bounds are distances to a bounded sample of about ``SEEDS`` rows.  Scores are computed on the original vectors in double precision.
 
     Null, empty and zero vectors and those with null or non-finite components take no part, nor do rows with a null id.  Vectors only

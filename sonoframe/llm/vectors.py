@@ -39,16 +39,21 @@ def query_blocks(rows: DataFrame, is_query: Column):
 
 
 class Best:
-    """The k best (query, id, score) so far, small scores first; an id counts once for a query."""
+    """The k best (score, id) of every query so far, small scores first; an id counts once for a query."""
 
     def __init__(self, n: int, k: int, bound: np.ndarray):
         self.k, self.bound = k, bound.copy()
-        self.q, self.ids, self.s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.ids, self.s, self.n = np.zeros((n, k), np.int64), np.zeros((n, k)), np.zeros(n, np.int64)
+
+    def _held(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        there = np.arange(self.k) < self.n[rows][:, None]
+        return np.repeat(rows, self.n[rows]), self.ids[rows][there], self.s[rows][there]
 
     def add(self, q, ids, s) -> None:
+        """Merge new pairs; only the queries that they belong to are sorted again."""
         if not len(q):
             return
-        q, ids, s = np.concatenate([self.q, q]), np.concatenate([self.ids, ids]), np.concatenate([self.s, s])
+        q, ids, s = [np.concatenate(x) for x in zip(self._held(np.unique(q)), (q, ids, s))]
         order = np.lexsort((s, ids, q))
         q, ids, s = q[order], ids[order], s[order]
         first = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])])
@@ -56,14 +61,17 @@ class Best:
         order = np.lexsort((ids, s, q))
         q, ids, s = q[order], ids[order], s[order]
         starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-        rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        sizes = np.diff(np.append(starts, len(q)))
+        rank = np.arange(len(q)) - np.repeat(starts, sizes)
+        self.n[q[starts]] = np.minimum(sizes, self.k)
+        kept = rank < self.k
+        self.ids[q[kept], rank[kept]], self.s[q[kept], rank[kept]] = ids[kept], s[kept]
         full = rank == self.k - 1
         self.bound[q[full]] = np.minimum(self.bound[q[full]], s[full])
-        kept = rank < self.k
-        self.q, self.ids, self.s = q[kept], ids[kept], s[kept]
 
     def batch(self, query_ids, sign: float) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(query_ids[self.q]), pa.array(self.ids), pa.array(sign * self.s)], ["query_id", "vec_id", "score"])
+        q, ids, s = self._held(np.arange(len(self.n)))
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(sign * s)], ["query_id", "vec_id", "score"])
 
 
 FOUND = "query_id long, vec_id long, score double"
