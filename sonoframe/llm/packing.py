@@ -12,7 +12,7 @@ LENGTH = 2048
 END = 1                       # id closing every document
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 512                  # remainders that compete for a sequence; bounds a task's memory, drops nothing
-CACHED_WORDS = 200_000        # encoded words kept per task
+CACHED_WORDS = 400_000        # encoded words kept per task, in two halves
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -20,7 +20,9 @@ class Encoder:
     """Token ids of texts as little-endian uint32 bytes, from a byte-level tokenizer file.
 
     The tokenizer splits before each space and at a single line end, so texts whose white space is single spaces and line
-    ends are encoded word by word through a cache; other texts go to the tokenizer whole.
+    ends are put together from cached words; other texts go to the tokenizer whole.  New words are encoded in one text and cut apart
+    where a token begins with the space or is the line end.  The cache has two halves: when the younger one is full it
+    becomes the older one, and words met again move up, so that frequent words stay.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
@@ -31,28 +33,49 @@ class Encoder:
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.tokenizer, self.half = Tokenizer.from_file(path), max(1, cached // 2)
         self.other_space = re.compile(r"[^\S \n]")
         self.words: dict[str, bytes] = {}
-        self.line_end = self._encode(["\n"])[0]
+        self.older: dict[str, bytes] = {}
+        self.line_end = self._encode(["\n"])[0].tobytes()
+        space = self.tokenizer.id_to_token(int(self._encode([" "])[0][0]))
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _by_word(self, text: str) -> bool:
         return not (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
                     or self.other_space.search(text))
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that all begin with the space, or of which none does."""
+        if not words:
+            return
+        spaced = words[0][0] == " "
+        ids = self._encode([("" if spaced else "\n").join(words)])[0]
+        cuts = np.flatnonzero(self.begins[ids] if spaced else ids == np.frombuffer(self.line_end, "<u4")[0])
+        starts, ends = (cuts, np.append(cuts[1:], len(ids))) if spaced else (np.append(0, cuts + 1), np.append(cuts, len(ids)))
+        if len(starts) == len(words):
+            data = ids.tobytes()
+            self.words.update((w, data[4 * a:4 * b]) for w, a, b in zip(words, starts.tolist(), ends.tolist()))
+        else:                       # a tokenizer that joins or cuts words otherwise
+            self.words.update((w, x.tobytes()) for w, x in zip(words, self._encode(words)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[line.replace(" ", "\0 ").split("\0") for line in t.split("\n")] if "\0" not in t and self._by_word(t) else None for t in texts]
-        if len(self.words) > self.cached:
-            self.words.clear()
-        words = self.words
-        unseen = list({w for lines in split if lines for line in lines for w in line if w not in words})
-        if unseen:
-            words.update(zip(unseen, self._encode(unseen)))
+        if len(self.words) > self.half:
+            self.words, self.older = {}, self.words
+        unseen = set().union(*(line for lines in split if lines for line in lines)).difference(self.words)
+        new = unseen.difference(self.older)
+        self.words.update((w, self.older[w]) for w in unseen - new)
+        self._learn([w for w in new if w[0] == " "])
+        self._learn([w for w in new if w[0] != " "])
+        word = self.words.__getitem__
         whole = iter(self._encode([t for t, lines in zip(texts, split) if lines is None]))
-        return [next(whole) if lines is None else self.line_end.join([b"".join([words[w] for w in line]) for line in lines]) for lines in split]
+        return [next(whole).tobytes() if lines is None else self.line_end.join([b"".join(map(word, line)) for line in lines]) for lines in split]
 
 
 def fill(counts: np.ndarray, capacity: int) -> list[int]:
