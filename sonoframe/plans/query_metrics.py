@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sonoframe import settings
 from sonoframe.functions import scores as P
 from sonoframe.operators import metrics as MT
-from sonoframe.plans.registry import load, query, r6, rounded, s6
+from sonoframe.plans.registry import block_total, block_total_sql, load, query, r6, rounded, s6
 
 CLASSES = settings.EMOTIONS
 TRUTHS = (*CLASSES, "fear")
@@ -14,11 +14,11 @@ THRESHOLD = 0.3
 
 
 def margins(spark, sf_dir):
-    """First four values of each row as raw margins, plus a truth label per four rows."""
+    """Scaled means of four blocks of each row's values as raw margins, plus a truth label per four rows."""
     block = F.expr("vec_id div 4")
     names = F.array(*[F.lit(t) for t in TRUTHS])
     return load(spark, sf_dir, "embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("margins"),
+        "vec_id", F.array(*[block_total("embedding", b, 16) / 4 for b in range(4)]).alias("margins"),
         F.element_at(names, (F.pmod(block, F.lit(5)) + 1).cast("int")).alias("label"),
         F.concat(F.lit("s"), F.pmod(block, F.lit(11)).cast("string")).alias("speaker_id"),
         block.alias("recording_id"), F.lit("d").alias("dataset_id"),
@@ -30,9 +30,10 @@ def predictions(spark, sf_dir):
     return margins(spark, sf_dir).withColumn("scores", P.calibrated_scores("margins", SLOPES, INTERCEPTS)).drop("margins")
 
 
+BLOCKS = "[" + ", ".join(f"{block_total_sql('embedding', b, 16)} / 4" for b in range(4)) + "]"
 SCORED = f"""e AS (SELECT vec_id, ['neutral','happy','angry','sad','fear'][(vec_id // 4) % 5 + 1] AS label, 's' || (vec_id // 4) % 11 AS speaker_id,
   vec_id // 4 AS recording_id, 'c' || vec_id % 3 AS condition, vec_id % 7 <> 0 AS eligible,
-  list_transform(embedding[1:4], lambda x, i: 1 / (1 + exp(-(x::DOUBLE * ({list(SLOPES)}::DOUBLE[])[i] + ({list(INTERCEPTS)}::DOUBLE[])[i])))) AS raw FROM embeddings),
+  list_transform({BLOCKS}, lambda x, i: 1 / (1 + exp(-(x * ({list(SLOPES)}::DOUBLE[])[i] + ({list(INTERCEPTS)}::DOUBLE[])[i])))) AS raw FROM embeddings),
 s AS (SELECT *, list_transform(raw, lambda x: x / list_sum(raw)) AS p FROM e)"""
 JUDGED = "['neutral','happy','angry','sad'][list_position(p, list_max(p))]"
 PRED = f"""{SCORED}, j AS (SELECT *, list_max(p) AS confidence, {JUDGED} AS predicted, eligible AND list_max(p) >= {THRESHOLD} AS accepted FROM s)"""

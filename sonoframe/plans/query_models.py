@@ -9,22 +9,23 @@ from sonoframe.operators import model as ML
 from sonoframe.plans import evaluate as EV
 from sonoframe.plans import train as TR
 from sonoframe.plans.query_series import RMS, audio_length, half_quiet, series
-from sonoframe.plans.registry import load, query, r6, rounded, s6, spread
+from sonoframe.plans.registry import block_total, block_total_sql, load, query, r6, rounded, s6, spread
 
 # --- mixing ---------------------------------------------------------------------------
-PAIR = """pr AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: x::DOUBLE) AS x, list_transform(b.embedding[1:24], lambda y: y::DOUBLE) AS y, (a.vec_id % 4 * 5)::DOUBLE AS db
- FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 2),
-tl AS (SELECT *, list_transform(range(0, 64), lambda i: y[i % 24 + 1]) AS t, list_avg(list_transform(x, lambda v: v * v)) AS px FROM pr),
+PAIR = """pr AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: x::DOUBLE) AS x, list_transform(range(1, 33), lambda k: ((b.embedding[2 * k - 1]::DOUBLE + b.embedding[2 * k]::DOUBLE) / 2)::FLOAT::DOUBLE) AS y, (a.vec_id % 4 * 5)::DOUBLE AS db
+ FROM embeddings a JOIN embeddings b ON b.vec_id = CASE WHEN xor(a.vec_id, 1) IN (SELECT vec_id FROM embeddings) THEN xor(a.vec_id, 1) ELSE a.vec_id END),
+tl AS (SELECT *, list_transform(range(0, 64), lambda i: y[i % 32 + 1]) AS t, list_avg(list_transform(x, lambda v: v * v)) AS px FROM pr),
 lv AS (SELECT *, list_avg(list_transform(t, lambda v: v * v)) AS pt FROM tl)"""
 
 
 def pairs(spark, sf_dir):
-    """Each series with a shorter partner series and a level."""
-    e = load(spark, sf_dir, "embeddings")
-    other = e.select(F.col("vec_id").alias("partner"), F.slice("embedding", 1, 24).alias("other"))
-    df = e.select("vec_id", F.col("embedding").alias("samples"), F.expr("vec_id div 2").alias("partner"),
-                  (F.pmod("vec_id", F.lit(4)) * 5).cast("double").alias("level_db"))
-    return df.join(other, "partner").drop("partner")
+    """Each series with a level and a shorter partner: the pair means of its neighbour, or of itself where it has none."""
+    halved = lambda e: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: (
+        (F.get(e, 2 * k).cast("double") + F.get(e, 2 * k + 1).cast("double")) / 2).cast("float"))
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("samples"), halved(F.col("embedding")).alias("own"))
+    other = e.select(F.col("vec_id").bitwiseXOR(F.lit(1)).alias("vec_id"), F.col("own").alias("other"))
+    return e.join(other, "vec_id", "left").select(
+        "vec_id", "samples", F.coalesce("other", "own").alias("other"), (F.pmod("vec_id", F.lit(4)) * 5).cast("double").alias("level_db"))
 
 
 def _weighted(samples="samples"):
@@ -46,7 +47,7 @@ def interferer_mix(spark, sf_dir):
     return X.mix_interferer(df, "other", "level_db").select("vec_id", r6(_weighted(), 4).alias("total"), r6(S.rms("samples")).alias("rms"))
 
 
-@query("reverb_mix", f"""WITH {PAIR}, w AS (SELECT *, list_transform(range(1, 65), lambda i: list_sum(list_transform(range(1, least(i, 24) + 1), lambda k: y[k] * x[i - k + 1]))) AS c FROM lv),
+@query("reverb_mix", f"""WITH {PAIR}, w AS (SELECT *, list_transform(range(1, 65), lambda i: list_sum(list_transform(range(1, least(i, 32) + 1), lambda k: y[k] * x[i - k + 1]))) AS c FROM lv),
  m AS (SELECT vec_id, list_transform(c, lambda v: (v * sqrt(px) / sqrt(list_avg(list_transform(c, lambda u: u * u))))::FLOAT) AS z FROM w) SELECT vec_id, {s6(WEIGHTED.format('z'), 4)} AS total, {s6(RMS.format('z'))} AS rms FROM m""")
 def reverb_mix(spark, sf_dir):
     return X.apply_reverb(pairs(spark, sf_dir), "other").select("vec_id", r6(_weighted(), 4).alias("total"), r6(S.rms("samples")).alias("rms"))
@@ -98,12 +99,12 @@ NAMES = [f"e{i}" for i in range(8)]
 
 
 def features(spark, sf_dir):
-    """The first eight values as features, some missing."""
+    """Scaled means of eight blocks of values as features, some missing."""
     return load(spark, sf_dir, "embeddings").select("vec_id", "label", *[
-        F.when(F.pmod(F.col("vec_id") + i, F.lit(9)) != 0, F.col("embedding")[i].cast("double")).alias(f"e{i}") for i in range(8)])
+        F.when(F.pmod(F.col("vec_id") + i, F.lit(9)) != 0, block_total("embedding", i, 8) / 3).alias(f"e{i}") for i in range(8)])
 
 
-FEATURES = "f AS (SELECT vec_id, label, " + ", ".join(f"CASE WHEN (vec_id + {i}) % 9 <> 0 THEN embedding[{i + 1}]::DOUBLE END AS e{i}" for i in range(8)) + " FROM embeddings)"
+FEATURES = "f AS (SELECT vec_id, label, " + ", ".join(f"CASE WHEN (vec_id + {i}) % 9 <> 0 THEN {block_total_sql('embedding', i, 8)} / 3 END AS e{i}" for i in range(8)) + " FROM embeddings)"
 FILLED = f"{FEATURES}, md AS (SELECT {', '.join(f'median(e{i}) AS m{i}' for i in range(8))} FROM f), z AS (SELECT vec_id, label, {', '.join(f'coalesce(e{i}, m{i}) AS e{i}' for i in range(8))} FROM f, md)"
 
 

@@ -115,15 +115,15 @@ def hopping_frames(spark, sf_dir):
 
 
 @query("fixed_windows", f"""
-WITH v AS (SELECT vec_id, embedding[1:10 + vec_id % 55] AS s FROM embeddings),
-p AS (SELECT vec_id, len(s) AS n, list_concat(list_transform(range(0, greatest(24 - len(s), 0)), lambda i: 0::FLOAT), s) AS s FROM v),
-st AS (SELECT vec_id, s, CASE WHEN n <= 24 THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, n - 23, 16), [n - 24]))) END AS starts FROM p),
-w AS (SELECT vec_id, (j - 1)::INTEGER AS window_index, starts[j]::INTEGER AS start_sample, s[starts[j] + 1:starts[j] + 24] AS w FROM st, range(1, len(starts) + 1) t(j))
+WITH v AS (SELECT vec_id, k, t, embedding AS s FROM embeddings, (VALUES (24, 16), (80, 40)) sizes(k, t)),
+p AS (SELECT vec_id, k, t, len(s) AS n, list_concat(list_transform(range(0, greatest(k - len(s), 0)), lambda i: 0::FLOAT), s) AS s FROM v),
+st AS (SELECT vec_id, k, s, CASE WHEN n <= k THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, n - k + 1, t), [n - k]))) END AS starts FROM p),
+w AS (SELECT vec_id, (j - 1)::INTEGER AS window_index, starts[j]::INTEGER AS start_sample, s[starts[j] + 1:starts[j] + k] AS w FROM st, range(1, len(starts) + 1) t(j))
 SELECT vec_id, window_index, start_sample, len(w)::INTEGER AS window_size, {s6(RMS.format('w'))} AS rms, {s6('w[1]::DOUBLE')} AS first_sample FROM w""")
 def fixed_windows(spark, sf_dir):
-    length = (F.lit(10) + F.pmod("vec_id", F.lit(55))).cast("int")
-    df = series(spark, sf_dir).withColumn("samples", F.slice("samples", F.lit(1), length))
-    return FR.fixed_windows(df, 24, 16).select(
+    """Windows shorter and longer than the series, so that both overlap and padding show."""
+    df = series(spark, sf_dir)
+    return FR.fixed_windows(df, 24, 16).unionByName(FR.fixed_windows(df, 80, 40)).select(
         "vec_id", "window_index", "start_sample", F.size("samples").alias("window_size"),
         r6(S.rms("samples")).alias("rms"), r6(F.get("samples", F.lit(0)).cast("double")).alias("first_sample"))
 

@@ -33,6 +33,15 @@ def r6(c, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def block_total(series: str, block: int, width: int) -> Column:
+    """Total of the ``block``-th run of ``width`` values of a series."""
+    return F.aggregate(F.slice(series, block * width + 1, width), F.lit(0.0), lambda total, x: total + x.cast("double"))
+
+
+def block_total_sql(series: str, block: int, width: int) -> str:
+    return f"list_sum(list_transform({series}[{block * width + 1}:{(block + 1) * width}], lambda x: x::DOUBLE))"
+
+
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: r6(n, digits) for n in names})
 
