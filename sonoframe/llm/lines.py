@@ -11,7 +11,7 @@ from sonoframe.llm.shared import attach, checked_columns, pieces, stored
 
 SHINGLE = 8          # characters
 SIMILARITY = 0.8     # exact Jaccard similarity of the shingle sets
-MIN_WORDS = 8        # shorter lines are ordinary language, not boilerplate, and stay
+MIN_WORDS = 1        # every line with a word takes part
 BANDS, ROWS = 12, 4  # at similarity 0.8 all bands miss 0.2 % of the pairs, at 0.85 0.01 %
 AGREEING = 34        # of one bit from each of the 48 minima: pairs at similarity 0.8 have 43 in the mean, over four deviations more; unlike lines have 24
 HELD_SHINGLES = 400_000
@@ -79,7 +79,10 @@ def _alike(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(min_words: int, with_bands: bool):
-    """Kernel: a row per line that takes part, with its 128-bit identity and, on request, its band keys."""
+    """Kernel: a row per line that takes part, with its 128-bit identity and, on request, its band keys.
+
+    A line under ``SHINGLE`` characters is its own only shingle, which no other line has: it needs no keys, they are null.
+    """
 
     def run(batches):
         for batch in pieces(batches):
@@ -94,16 +97,18 @@ def _occurrences(min_words: int, with_bands: bool):
                         ids.append(doc), places.append(pos), digests.append(digest)
                         if with_bands:
                             if digest not in known:
-                                known[digest] = len(lines)
-                                lines.append(line)
+                                known[digest] = len(lines) if len(line) >= SHINGLE else -1
+                                if len(line) >= SHINGLE:
+                                    lines.append(line)
                             which.append(known[digest])
             if not ids:
                 continue
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             arrays = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
             if with_bands:
-                keys = band_keys(lines)[which].view(np.int64)
-                arrays += [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(BANDS + 1)]
+                which = np.array(which)
+                keys = np.concatenate([band_keys(lines), np.zeros((1, BANDS + 1), np.uint64)])[which].view(np.int64)  # -1 takes the last
+                arrays += [pa.array(np.ascontiguousarray(keys[:, b]), mask=which < 0) for b in range(BANDS + 1)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "pos", "h1", "h2", *(_SKETCH if with_bands else [])])
 
     return run
@@ -258,7 +263,8 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     sketched = rows.mapInArrow(_occurrences(min_words, True), _LINE + "".join(f", {b} long" for b in _SKETCH))
     classes = stored(sketched.groupBy("h1", "h2").agg(F.min(place_of()).alias("first"), F.count("*").alias("n"), *[F.min(b).alias(b) for b in _SKETCH])
                      .withColumn("line", F.monotonically_increasing_id()))
-    buckets = classes.select(F.explode(F.array(*_BANDS)).alias("key"), "line", "bits").repartition("key").sortWithinPartitions("key", "line")
+    keyed = classes.filter(F.col("bits").isNotNull())
+    buckets = keyed.select(F.explode(F.array(*_BANDS)).alias("key"), "line", "bits").repartition("key").sortWithinPartitions("key", "line")
     star = stored(buckets.mapInArrow(_star_pairs, "a long, b long, key long, bits long"))
     pairs = stored(star.filter("key is null").select("a", "b").distinct())
     links = _verified(pairs, rows, classes, min_words, threshold)
@@ -303,7 +309,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     Of lines that are equal or similar, directly or through others, the first in the corpus stays, by document id and
     position.  Similarity is the exact Jaccard similarity of 8-character shingle sets of the lower-cased line with single spaces;
-    MinHash banding proposes the pairs.  Lines under ``min_words`` words always stay.
+    MinHash banding proposes the pairs.  Every line that is not blank takes part, however short; ``min_words`` can raise that.
 
     Null and empty texts stay as they are, and rows with a null id neither lose lines nor stand for others.  Rows that
     repeat id and text count as one document, so they keep and lose the same lines; where one id has several texts, positions

@@ -130,6 +130,14 @@ def test_line_dedup_edge_cases(spark):
     assert lines.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_takes_short_lines(spark):
+    short = "Licensed under the Apache License, Version 2.0."
+    other = "本软件按原样提供，不附带任何明示或暗示的保证，包括适销性。"
+    rows = [(1, f"ok\n{short}\n{other}"), (2, f"{short.upper()}\nown\nOK"), (3, f"{other[:-1]}！\n\n  \nok then")]
+    got = {r["doc_id"]: (r["text"], r["_removed"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], None), 2: ("own", [0, 2]), 3: ("\n  \nok then", [0])}
+
+
 def test_buckets_verify_across_components():
     keys, first = np.array([5, 5, 5, 6]), np.array([1, 1, 1, 9])
     batch = __import__("pyarrow").RecordBatch.from_arrays([np.array(x) for x in (keys, first, [1, 2, 3, 9], [1, 1, 3, 9], [0, 0, 0, 0])], list("kflgb"))
