@@ -1,5 +1,8 @@
 """Licence families of paragraphs by a trained n-gram classifier, in DataFrame operations only (operator 7)."""
 
+import json
+from pathlib import Path
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IndexToString, NGram, StringIndexer, VectorAssembler
@@ -55,6 +58,8 @@ TEXTS = {
     "CC0": ("The person who associated a work with this deed has dedicated the work to the public domain by waiving all of their rights to the work worldwide under copyright law.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+# Paragraphs of six and more words of the published texts, by family; where a family has none, NAMES and TEXTS are all there is.
+PUBLISHED = json.loads(Path(__file__).with_name("licence_texts.json").read_text("utf-8"))
 # Ordinary sentences with words of the trade, for the unknown class.
 ORDINARY = ("He lost his driving license last year.", "The city council issued a license to the new restaurant.", "A public hearing about version 3 of the plan is on Monday.",
             "Students study at the institute of technology.", "The software was distributed to all offices.", "Copyright law was changed by the parliament.",
@@ -69,20 +74,40 @@ def _words(text: Column) -> Column:
 
 
 def _literal_rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(family).alias("family"), F.lit(text).alias("text")) for family, text in rows])
+    entries = F.from_json(F.lit(json.dumps([{"family": family, "text": text} for family, text in rows])), "array<struct<family:string,text:string>>")
     return spark.range(1).select(F.explode(entries).alias("r")).select("r.family", "r.text")
 
 
-def _templates() -> list[tuple[str, str]]:
+def _notices() -> list[tuple[str, str]]:
     return [(f, n.format(name)) for f, names in NAMES.items() for name in names for n in NOTICES] + [(f, t) for f, texts in TEXTS.items() for t in texts]
 
 
+def _windows(words: Column) -> Column:
+    """Starts of the overlapping windows of at most ``WINDOW`` words, from 0."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(words) - WINDOW) / F.lit(STEP)).cast("int")))
+
+
+def _published(spark: SparkSession) -> DataFrame:
+    """``family, words``: the published paragraphs, cut as the paragraphs of a corpus are."""
+    rows = _literal_rows(spark, [(f, t) for f, texts in PUBLISHED.items() for t in texts]).select("family", _words(F.col("text")).alias("w"))
+    return rows.select("family", "w", F.explode(_windows(F.col("w"))).alias("part")).select("family", F.slice("w", F.col("part") * STEP + 1, F.lit(WINDOW)).alias("words"))
+
+
+def _inline(notices: DataFrame, corpus: DataFrame, n: int) -> DataFrame:
+    """``family, words``: each corpus row with one of the ``n`` notices set into it, in a window of at most ``WINDOW`` words."""
+    own = notices.select("family", F.col("words").alias("notice"), "at")
+    around = corpus.select(F.col("words").alias("w"), F.pmod("h", F.lit(n)).cast("int").alias("at"), F.pmod(F.xxhash64("h"), F.size("words") + 1).cast("int").alias("cut"))
+    room = F.greatest(F.lit(0), F.lit(WINDOW) - F.size("notice"))
+    before = F.least("cut", room)
+    parts = F.concat(F.slice("w", F.col("cut") - before + 1, before), "notice", F.slice("w", F.col("cut") + 1, room - before))
+    return around.join(F.broadcast(own), "at").select("family", parts.alias("words"))
+
+
 def paragraphs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, paragraph, part, words``: lines of the whole texts from 0, cut into overlapping windows of at most ``WINDOW`` words."""
     lines = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.posexplode(F.split(F.col(f"`{text_column}`").cast("string"), "\n")).alias("paragraph", "line"))
     words = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - WINDOW) / F.lit(STEP)).cast("int")))
-    return words.select("doc_id", "paragraph", "w", F.explode(starts).alias("part")).select(
+    return words.select("doc_id", "paragraph", "w", F.explode(_windows(F.col("w"))).alias("part")).select(
         "doc_id", "paragraph", "part", F.slice("w", F.col("part") * STEP + 1, F.lit(WINDOW)).alias("words"))
 
 
@@ -100,20 +125,27 @@ class LicenceModel:
 
 
 def fit_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", background: int = BACKGROUND) -> LicenceModel:
-    """Learn families from notices and licence sentences, and the unknown class from ordinary sentences and about ``background`` corpus paragraphs.
+    """Learn families from notices, alone and set into corpus paragraphs, and the published texts, and the unknown class from ordinary
+    sentences and about ``background`` corpus paragraphs.
 
-    Corpus paragraphs that name a licence word are not taken as unknown.  A fifth of the rows is set aside to calibrate the chance that a
-    paragraph is of a known family.
+    Corpus paragraphs that name a licence word are not taken as unknown.  A fifth of the rows, of the published texts none, is set aside to
+    calibrate the chance that a paragraph is of a known family.
     """
     spark = docs.sparkSession
-    known = _literal_rows(spark, _templates())
+    notices = _notices()
+    known = _literal_rows(spark, notices)
     ordinary = _literal_rows(spark, [(UNKNOWN, t) for t in ORDINARY])
     n = max(1, docs.count())
     drawn = docs.filter(share(id_column, "background", min(1.0, background / n))).select(F.col(f"`{id_column}`").alias("d"), F.col(f"`{text_column}`").cast("string").alias("t"))
     line = F.element_at(F.split("t", "\n"), (F.pmod(F.xxhash64("d"), F.size(F.split("t", "\n"))) + 1).cast("int"))  # one of its lines
     corpus = drawn.filter("t is not null").select(F.lit(UNKNOWN).alias("family"), line.alias("text")).filter(~F.col("text").rlike("(?i)licen[sc]|copyright|warrant|redistribut|permission"))
-    rows = known.unionByName(ordinary).unionByName(corpus).select("family", _words(F.col("text")).alias("words"), F.xxhash64("family", "text").alias("h")).filter(F.size("words") > 0)
-    rows = stored(rows.select("family", "words", (F.pmod("h", F.lit(5)) == 0).alias("aside")).coalesce(4))
+    drawn = stored(corpus.select("family", _words(F.col("text")).alias("words"), F.xxhash64("text").alias("h")).filter(F.size("words") > 0))
+    short = known.unionByName(ordinary).select("family", _words(F.col("text")).alias("words"))
+    numbered = F.from_json(F.lit(json.dumps([{"at": i, "family": f, "text": t} for i, (f, t) in enumerate(notices)])), "array<struct<at:int,family:string,text:string>>")
+    numbered = spark.range(1).select(F.explode(numbered).alias("r")).select("r.at", "r.family", _words(F.col("r.text")).alias("words"))
+    mixed = short.unionByName(drawn.select("family", F.slice("words", 1, WINDOW).alias("words"))).unionByName(_inline(numbered, drawn, len(notices)))
+    rows = mixed.withColumn("aside", F.pmod(F.xxhash64("family", "words"), F.lit(5)) == 0).unionByName(_published(spark).withColumn("aside", F.lit(False)))
+    rows = stored(rows.coalesce(4))
     indexer = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     regression = LogisticRegression(featuresCol="x", labelCol="label", predictionCol="class", regParam=1e-3, maxIter=40, family="multinomial")
     pipeline = Pipeline(stages=[*_features(), indexer, regression]).fit(rows.filter("not aside"))
@@ -122,8 +154,8 @@ def fit_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     chance = (1 - vector_to_array("probability")[unknown]).alias("chance")
     aside = pipeline.transform(rows.filter("aside").withColumnRenamed("family", "truth")).select(chance, (F.col("truth") != UNKNOWN).cast("double").alias("known"))
     calibration = IsotonicRegression(featuresCol="chance", labelCol="known", predictionCol="score").fit(aside)
-    pairs = known.select("family", _pairs(_words(F.col("text"))).alias("pairs"))
-    templates = pairs.groupBy("family").agg(F.collect_set("pairs").alias("templates"))
+    texts = known.select("family", _words(F.col("text")).alias("words")).unionByName(_published(spark))
+    templates = stored(texts.select("family", _pairs(F.col("words")).alias("pairs")).groupBy("family").agg(F.collect_set("pairs").alias("templates")))
     model = LicenceModel(pipeline, calibration, templates)
     model.unknown = unknown
     return model

@@ -312,6 +312,17 @@ def test_licences(spark):
     assert "Python" not in (plan := licences.find_licences(docs, model)._jdf.queryExecution().toString()) and "Arrow" not in plan
 
 
+def test_licences_finds_whole_texts_and_inline_notices(spark):
+    docs = documents(spark)
+    model = licences.fit_licences(docs)
+    around = next(x for r in docs.orderBy("doc_id").collect() for x in (r["text"] or "").split("\n") if len(x.split()) > 40 and "icen" not in x).split()[:40]
+    inline = " ".join([*around[:20], "This project is licensed under the MIT License.", *around[20:]])
+    names = ["MIT", "BSD", "Apache-2.0"]
+    rows = [(i, "\n".join(licences.PUBLISHED[f])) for i, f in enumerate(names)] + [(9, inline), (10, " ".join(around))]
+    got = {(r["doc_id"], r["paragraph"]): r["family"] for r in licences.find_licences(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {(i, p): f for i, f in enumerate(names) for p in range(len(licences.PUBLISHED[f]))} | {(9, 0): "MIT"}
+
+
 def vectors(spark):
     random = np.random.default_rng(4)
     rows = [(i, [float(x) for x in random.normal(0, 1 + i % 3, 8)], i, "x") for i in range(300)]
