@@ -95,7 +95,7 @@ def throttle(df: DataFrame, key: str, ts_ms: str, interval_ms: int, *, segment_m
     passing row, which can only lie in its first interval; (2) one small fold per key
     over segments picks the first passing row of each; (3) the segments emit.
     Several rows of one instant pass or wait together with the first of them only:
-    ties must be broken by the caller through distinct timestamps.
+    ties must be broken by the caller through distinct timestamps.  Rows without a key are one key.
     """
     if segment_ms <= interval_ms:
         raise ValueError("a segment must be longer than the interval")
@@ -142,6 +142,8 @@ def throttle(df: DataFrame, key: str, ts_ms: str, interval_ms: int, *, segment_m
         return pa.array(out, pa.list_(pa.int64()))
 
     options = packed.select(key, "_seg", ends("_seg", "_times").alias("_o")).select(key, "_seg", "_o.*")
-    starts = options.groupBy(key).applyInPandas(follow, f"k {key_type}, _seg long, _start long").withColumnRenamed("k", key)
-    passed = packed.join(starts, [key, "_seg"]).select(key, F.explode(emit("_times", "_start")).alias(ts_ms))
-    return df.join(passed, [key, ts_ms], "left_semi")
+    starts = options.groupBy(key).applyInPandas(follow, f"k {key_type}, _seg long, _start long")
+    starts = starts.select(F.col("k").alias("_key"), F.col("_seg").alias("_of"), "_start")
+    both = packed.join(starts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_seg") == F.col("_of")))
+    passed = both.select("_key", F.explode(emit("_times", "_start")).alias("_passed"))
+    return df.join(passed, F.col(key).eqNullSafe(F.col("_key")) & (F.col(ts_ms) == F.col("_passed")), "left_semi")

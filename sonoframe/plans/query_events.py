@@ -76,7 +76,8 @@ TWO_HOURS = 7_200_000
  r AS (SELECT user_id, min(ts_ms) AS ts_ms FROM ev GROUP BY user_id UNION SELECT n.user_id, n.nxt FROM r JOIN n ON n.user_id = r.user_id AND n.ts_ms = r.ts_ms WHERE n.nxt IS NOT NULL)
 SELECT ev.event_id FROM ev JOIN r ON ev.user_id = r.user_id AND ev.ts_ms = r.ts_ms""")
 def throttled_events(spark, sf_dir):
-    return H.throttle(events(spark, sf_dir), "user_id", "ts_ms", TWO_HOURS, segment_ms=DAY).select("event_id")
+    known = events(spark, sf_dir).filter("user_id is not null")  # the SQL joins on equal keys
+    return H.throttle(known, "user_id", "ts_ms", TWO_HOURS, segment_ms=DAY).select("event_id")
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -127,10 +128,10 @@ SLIDING = f"""SELECT user_id, (w.s)::BIGINT AS window_start_ms, count(*) AS fram
 FROM (SELECT *, epoch_us(ts) // 1000 AS t FROM events), LATERAL (SELECT unnest([t - t % 43200000, t - t % 43200000 - 43200000]) AS s) w GROUP BY ALL"""
 
 
-def _sliding(df, delay="1 second"):
-    out = K.sliding_activity(df, level="value", threshold=50.0, window="24 hours", slide="12 hours", key="user_id", delay=delay)
+def _sliding(df, delay="1 second", keys=("user_id",)):
+    out = K.sliding_activity(df, level="value", threshold=50.0, window="24 hours", slide="12 hours", key=list(keys), delay=delay)
     return rounded(out.select(
-        "user_id", F.unix_millis("window_start").alias("window_start_ms"), "frames", "active_frames", "activity_ratio", "peak"), "activity_ratio")
+        *keys, F.unix_millis("window_start").alias("window_start_ms"), "frames", "active_frames", "activity_ratio", "peak"), "activity_ratio")
 
 
 @query("sliding_activity", SLIDING)
@@ -141,13 +142,13 @@ def sliding_activity(spark, sf_dir):
 @query("stream_sliding_activity", SLIDING)
 def stream_sliding_activity(spark, sf_dir):
     """The same sliding windows over a file stream; a late marker row closes the last ones."""
-    df = events(spark, sf_dir).select("user_id", F.timestamp_millis("ts_ms").alias("ts"), "value")
+    df = events(spark, sf_dir).select("user_id", F.timestamp_millis("ts_ms").alias("ts"), "value", F.lit(False).alias("closing"))
     far = df.agg(F.max("ts").alias("ts")).select(
-        F.lit(-1).cast("long").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(0.0).alias("value"))
+        F.lit(None).cast("long").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.lit(0.0).alias("value"), F.lit(True).alias("closing"))
     folder = R.shared_folder(spark, "sliding")
     stream = R.as_stream(df, folder + "/in", closing=far)
-    R.run_available(_sliding(stream, R.slice_delay(df)), folder + "/out", folder + "/state")
-    return spark.read.parquet(folder + "/out").filter(F.col("user_id") >= 0)
+    R.run_available(_sliding(stream, R.slice_delay(df), ("user_id", "closing")), folder + "/out", folder + "/state")
+    return spark.read.parquet(folder + "/out").filter(~F.col("closing")).drop("closing")
 
 
 # --- gate cascades on synthetic measures derived from events --------------------------------------
@@ -194,7 +195,7 @@ def target_events(spark, sf_dir):
 def current_sessions(spark, sf_dir):
     df = events(spark, sf_dir).select("event_id", "user_id", F.expr("event_id div 500").alias("session_id"))
     current = df.groupBy("user_id").agg(F.max("session_id").alias("session_id"))
-    return K.drop_stale_sessions(df, current, "user_id").select("event_id")
+    return K.drop_stale_sessions(df, current, "user_id").filter("user_id is not null").select("event_id")  # the SQL joins on equal keys
 
 
 @query("result_payloads", f"""WITH {UPDATES}, g AS (SELECT event_id, emo, q, ar, CASE WHEN rej THEN NULL ELSE emo END AS cand FROM u)

@@ -1,5 +1,7 @@
 """Running stored rows through the stream operators."""
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +49,14 @@ def as_stream(df: DataFrame, folder: str, *, closing: DataFrame | None = None, s
     Slices are written one after the other, so the file source lists them in time
     order, and the closing rows come last.  Files of one slice may be read in any
     order: use a watermark delay of at least one slice length, as returned by
-    ``slice_delay``.
+    ``slice_delay``.  Rows without a time have no place in a stream: they go to
+    ``<folder>-untimed`` as Parquet, and a warning tells how many they are.
     """
     spark = df.sparkSession
-    span = df.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    span = df.agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count_if(F.col("ts").isNull()).alias("untimed")).first()
+    if span["untimed"]:
+        df.filter(F.col("ts").isNull()).write.mode("append").parquet(f"{folder}-untimed")
+        warnings.warn(f"{span['untimed']} rows without a time are not streamed; they are in {folder}-untimed", stacklevel=2)
     step = (span["b"] - span["a"]) / slices
     for i in range(slices):
         part = F.col("ts") >= F.lit(span["a"] + i * step)

@@ -135,21 +135,23 @@ def smooth_stream(
 def drop_stale_sessions(df: DataFrame, sessions: DataFrame, key: str = "stream_id") -> DataFrame:
     """Rows of the session that is current for their stream; older sessions are ignored.
 
-    Works for a batch and for a stream joined to a small table of open sessions.
+    Works for a batch and for a stream joined to a small table of open sessions.  Rows without a key are one stream.
     """
-    return df.join(sessions.select(key, F.col("session_id").alias("_current")), key).filter(
-        F.col("session_id") == F.col("_current")).drop("_current")
+    current = sessions.select(F.col(key).alias("_key"), F.col("session_id").alias("_current"))
+    return df.join(current, F.col(key).eqNullSafe(F.col("_key"))).filter(
+        F.col("session_id") == F.col("_current")).drop("_key", "_current")
 
 
 def sliding_activity(
-    stream: DataFrame, *, key: str = "stream_id", ts: str = "ts", level: str = "energy_rms", threshold: float = 0.01,
+    stream: DataFrame, *, key: str | list[str] = "stream_id", ts: str = "ts", level: str = "energy_rms", threshold: float = 0.01,
     window: str = "1500 milliseconds", slide: str = "500 milliseconds", delay: str = "2 seconds",
 ) -> DataFrame:
     """Clock-aligned sliding activity per key with a watermark (built-in window aggregation)."""
+    keys = [key] if isinstance(key, str) else key
     return (
-        stream.withWatermark(ts, delay).groupBy(F.window(ts, window, slide).alias("w"), key)
+        stream.withWatermark(ts, delay).groupBy(F.window(ts, window, slide).alias("w"), *keys)
         .agg(F.count("*").alias("frames"), F.count_if(F.col(level) >= threshold).alias("active_frames"), F.max(level).alias("peak"))
-        .select(key, F.col("w.start").alias("window_start"), "frames", "active_frames",
+        .select(*keys, F.col("w.start").alias("window_start"), "frames", "active_frames",
                 (F.col("active_frames") / F.col("frames")).alias("activity_ratio"), "peak")
     )
 

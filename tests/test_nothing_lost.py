@@ -1,10 +1,13 @@
 """Rows that used to vanish or pass: NULL keys, gaps in source numbers, unknown quality."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from sonoframe.operators.history import keep_newest, rolling_summary
+from sonoframe.operators.history import keep_newest, rolling_summary, throttle
 from sonoframe.operators.mixing import assign_round_robin
 from sonoframe.operators.model import accept_windows
+from sonoframe.plans import query_events
+from sonoframe.streaming import replay, rolling
 
 
 def test_null_keys_stay(spark):
@@ -25,3 +28,27 @@ def test_gaps_in_source_numbers_fail(spark):
 def test_unknown_quality_is_rejected(spark):
     df = spark.createDataFrame([(None, 1.0), ("ACCEPTABLE", 1.0), ("LOW_QUALITY", 1.0)], "quality_status string, valid_frame_fraction double")
     assert [r["reason"] for r in accept_windows(df).collect()] == ["UNKNOWN_QUALITY", None, "LOW_QUALITY"]
+
+
+def test_throttle_and_sessions_keep_null_keys(spark):
+    df = spark.createDataFrame([(None, 0), (None, 100), (None, 600), (None, 1700), (5, 50), (5, 60)], "k long, t long")
+    assert {tuple(r) for r in throttle(df, "k", "t", 500, segment_ms=1000).collect()} == {(None, 0), (None, 600), (None, 1700), (5, 50)}
+    rows = spark.createDataFrame([(None, "1", 1), (None, "2", 2), ("a", "1", 3)], "stream_id string, session_id string, v int")
+    current = spark.createDataFrame([(None, "2"), ("a", "1")], "stream_id string, session_id string")
+    assert {r["v"] for r in rolling.drop_stale_sessions(rows, current).collect()} == {2, 3}
+
+
+def test_sliding_stream_keeps_null_and_negative_keys(spark, tmp_path):
+    rows = [(i, u, 3_600_000 * i, float(i)) for i, u in enumerate([None, -1, 3, -1, None])]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ms long, value double")
+    df.select("event_id", "user_id", F.timestamp_millis("ms").alias("ts"), "value").write.parquet(str(tmp_path / "events.parquet"))
+    batch, stream = ({tuple(r) for r in q(spark, str(tmp_path)).collect()} for q in (query_events.sliding_activity, query_events.stream_sliding_activity))
+    assert stream == batch and {r[0] for r in stream} == {None, -1, 3}
+
+
+def test_rows_without_a_time_are_counted(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0), (2, None), (3, 9_000)], "v int, ms long").select("v", F.timestamp_millis("ms").alias("ts"))
+    with pytest.warns(UserWarning, match="1 rows without a time"):
+        replay.as_stream(df, str(tmp_path / "in"))
+    assert [r["v"] for r in spark.read.parquet(f"{tmp_path}/in-untimed").collect()] == [2]
+    assert {r["v"] for r in spark.read.parquet(f"{tmp_path}/in").collect()} == {1, 3}
