@@ -138,6 +138,11 @@ def test_line_dedup_takes_short_lines(spark):
     assert got == {1: (rows[0][1], None), 2: ("own", [0, 2]), 3: ("\n  \nok then", [0])}
 
 
+def test_bits_let_pairs_through():
+    one, two = np.array([0], np.int64), np.array([(1 << 18) - 1], np.int64)  # 30 of the 48 bits agree
+    assert lines._alike(one, two).all()
+
+
 def test_buckets_verify_across_components():
     keys, first = np.array([5, 5, 5, 6]), np.array([1, 1, 1, 9])
     batch = __import__("pyarrow").RecordBatch.from_arrays([np.array(x) for x in (keys, first, [1, 2, 3, 9], [1, 1, 3, 9], [0, 0, 0, 0])], list("kflgb"))
