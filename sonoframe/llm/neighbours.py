@@ -19,6 +19,11 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)))
 
 
+def slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What ``distances`` may be off by, and more: its rounding grows with the lengths of both vectors."""
+    return 1e-6 * (1 + np.linalg.norm(a, axis=1)[:, None] + np.linalg.norm(b, axis=1)[None, :])
+
+
 class Tree:
     """A vantage-point tree over the rows of a matrix; each node splits its rows at the median distance from one of them."""
 
@@ -56,13 +61,13 @@ class Tree:
                 visit(outer, active[~near], True)
                 return
             # the other side is as far as the query is from the border, at least
-            across = lambda: np.abs(away - middle) * factor <= best.bound[active] * (1 + 1e-9)
+            across = lambda: np.abs(away - middle) * factor <= best.bound[active] * (1 + 1e-9) + 1e-12 * (away + middle)
             visit(inner, active[near | across()], False)
             visit(outer, active[~near | across()], False)  # bounds may have fallen since
 
         def leaf(rows, active):
             rough = distances(queries[active], self.vectors[rows])
-            i, j = np.nonzero((rough <= best.bound[active][:, None] + 1e-6 * (1 + rough)) & (ids[rows][None, :] != query_ids[active][:, None]))
+            i, j = np.nonzero((rough <= best.bound[active][:, None] + slack(queries[active], self.vectors[rows])) & (ids[rows][None, :] != query_ids[active][:, None]))
             exact = np.sqrt(((queries[active[i]] - self.vectors[rows[j]]) ** 2).sum(axis=1))
             best.add(active[i], ids[rows[j]], exact)
 
@@ -123,7 +128,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, factor: float = FACT
                 if len(seeds):
                     away = distances(queries[at:at + 512], seeds)
                     i, j = np.nonzero(seed_ids[None, :] != query_ids[at:at + 512][:, None])
-                    start.add(at + i, seed_ids[j], away[i, j] * (1 + 1e-6) + 1e-6)
+                    start.add(at + i, seed_ids[j], (away + slack(queries[at:at + 512], seeds))[i, j])
             block = spark.sparkContext.broadcast((query_ids, queries, start.bound))
             found.append(index.mapInArrow(_search(block, k, factor), FOUND))
     return ranked(reduce(DataFrame.unionByName, found), k, F.min("score"))

@@ -377,3 +377,15 @@ def test_pipeline_stage_by_stage(spark):
     mixed = [r["doc_id"] for r in steps["mixing"](spark, rows, SF).collect()]
     assert {d: mixed.count(d) for d in times} == times
     assert corpus_pipeline.run(spark, SF).select("doc_id", "start", "ids").count() > 0
+
+
+def test_neighbours_of_long_copies_are_exact(spark):
+    random = np.random.default_rng(8)
+    centre = random.normal(0, 30_000, 24)
+    rows = [(i, centre if i % 7 == 0 else centre + random.normal(0, 1e-5, 24) if i % 7 == 1 else random.normal(0, 30_000, 24)) for i in range(600)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1)
+    got = neighbours.nearest(df, F.col("vec_id").isin(0, 1, 301, 595), factor=1.0).orderBy("query_id", "rank").collect()
+    of = dict(rows)
+    for q in (0, 1, 301, 595):
+        want = [i for _, i in sorted((float(np.sqrt(((of[q] - v) ** 2).sum())), i) for i, v in rows if i != q)[:10]]
+        assert [r["vec_id"] for r in got if r["query_id"] == q] == want
