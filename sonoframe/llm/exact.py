@@ -118,7 +118,7 @@ def _chains(batches):
 
 def _prefix(key: Column, bits: int, of: int = 64) -> Column:
     """The first ``bits`` bits of a number of ``of`` bits."""
-    return F.shiftrightunsigned(key, of - bits) if bits else F.lit(0).cast("long")
+    return F.shiftrightunsigned(key, of - bits)
 
 
 def directory(entries: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -> tuple[DataFrame, int]:
@@ -126,11 +126,13 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH)
 
     One pass counts the entries by their first ``depth`` bits.  Then the directory doubles from a single bucket on: each
     round looks at one bit more and splits the buckets that hold more than ``capacity`` entries, until none does or
-    ``depth`` is reached.  ``bucket`` is the first slot of a bucket, counted in slots of ``depth`` bits.
+    ``depth`` is reached.  ``bucket`` is the first slot of a bucket, counted in slots of ``depth`` bits.  The directory has two slots at least.
     """
     counted = stored(entries.groupBy(_prefix(F.col("key"), depth).alias("fine")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
-    left, closed, bits = counted, [], 0
-    while True:
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    whole = F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("local_depth")
+    left, closed, bits = counted, [counted.select("fine", *whole, "n", "bytes").filter(F.lit(total <= capacity))], 1
+    while total > capacity:
         at = _prefix(F.col("fine"), bits, depth)
         full = stored(left.groupBy(at.alias("prefix")).agg(F.sum("n").alias("all")).filter((F.col("all") > capacity) & F.lit(bits < depth)))
         beside = attach(left.withColumn("prefix", at), full, "prefix")
