@@ -4,11 +4,11 @@ Two ideas are used everywhere in this package:
 
 * a *global* position comes from a range partitioning plus one offset per
   partition (``global_index``, ``running_totals``);
-* a *per-key* ordered computation runs inside ``(key, segment)`` groups, where a
-  segment is a coarse step of the ordering column (an hour, a day, 100k event
-  ids).  One summary row per segment carries state to the later segments of
-  the key, so a key that holds a third of the table is spread over all its
-  segments.
+* a *per-key* ordered computation uses a range partitioning by key and order
+  (``keyed_runs``).  The rows of a key in one partition form a run; a key that holds
+  a third of the table is cut into as many runs as its rows need, whatever its
+  times look like.  Windows work inside a run, and one summary row per run carries
+  state to the later runs of the key: a key has at most as many as there are partitions.
 """
 
 from collections.abc import Sequence
@@ -26,9 +26,9 @@ def _names(columns: Sequence[str] | str) -> list[str]:
 
 
 # --- global positions ---------------------------------------------------------
-def _ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return checkpoint(ranged.withColumn("_mid", F.monotonically_increasing_id())).withColumn(
+def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    dealt = df.repartitionByRange(*order) if partitions is None else df.repartitionByRange(partitions, *order)
+    return checkpoint(dealt.sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())).withColumn(
         "_part", F.shiftright("_mid", _ROW_BITS)
     )
 
@@ -73,92 +73,111 @@ def running_totals(df: DataFrame, order: Sequence[str] | str, sums: dict[str, st
 # --- per-key positions and carried state -------------------------------------
 # Keys travel as never-null structs: NULL keys form a stream of their own, and no
 # NOT NULL filter makes the two sides of a carry join differ, so Spark shuffles the
-# rows once and reuses that shuffle for their segment summaries.
+# rows once and reuses that shuffle for their run summaries.
 _BACK = (Window.unboundedPreceding, -1)
 
 
-def _grouped(df: DataFrame, keys, segment: str) -> DataFrame:
-    return df.withColumn("_key", F.struct(*keys)).withColumn("_grp", F.struct(*keys, segment))
+def _inside():
+    return Window.partitionBy("_grp").orderBy("_mid")
 
 
-def _inside(order, *, newest_first: bool = False):
-    return Window.partitionBy("_grp").orderBy(*[F.col(c).desc() if newest_first else F.col(c).asc() for c in order])
+def _across():
+    return Window.partitionBy("_key").orderBy("_grp")
 
 
-def _across(*, newest_first: bool = False):
-    return Window.partitionBy("_key").orderBy(F.col("_grp").desc() if newest_first else F.col("_grp").asc())
+def keyed_runs(df: DataFrame, keys, order, partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned by key and order and stored, with the position ``_mid`` and the run ``_grp`` of each.
 
+    Spark chooses the number of partitions by size unless it is given; results do not depend on it.
+    """
+    keys = _names(keys)
+    ranged = _ranged(df, [*keys, *_names(order)], partitions)
+    return ranged.withColumn("_key", F.struct(*keys)).withColumn("_grp", F.struct(*keys, "_part"))
 
-def carry_last(
-    df: DataFrame, keys, segment: str, order, value: Column, name: str, *, include_current: bool = True
-) -> DataFrame:
-    """Last non-null ``value`` of the key up to (or before) each row."""
-    keys, order = _names(keys), _names(order)
-    end = 0 if include_current else -1
-    df = _grouped(df.withColumn("_value", value), keys, segment)
-    seen = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    tails = df.groupBy("_key", "_grp").agg(F.max_by("_value", seen).alias("_tail"))
-    carried = tails.select("_grp", F.last("_tail", ignorenulls=True).over(_across().rowsBetween(*_BACK)).alias("_carried"))
-    local = F.last("_value", ignorenulls=True).over(_inside(order).rowsBetween(Window.unboundedPreceding, end))
-    return (
-        df.withColumn("_local", local).join(carried, "_grp", "left")
-        .withColumn(name, F.coalesce("_local", "_carried"))
-        .drop("_local", "_carried", "_value", "_key", "_grp")
-    )
 
+def without_runs(df: DataFrame) -> DataFrame:
+    return df.drop("_key", "_grp", "_mid", "_part")
 
-def carry_max(df: DataFrame, keys, segment: str, order, value: str, name: str) -> DataFrame:
-    """Largest ``value`` of the key strictly before each row (NULL on the first)."""
-    keys, order = _names(keys), _names(order)
-    df = _grouped(df, keys, segment)
-    peaks = df.groupBy("_key", "_grp").agg(F.max(value).alias("_peak"))
-    carried = peaks.select("_grp", F.max("_peak").over(_across().rowsBetween(*_BACK)).alias("_carried"))
-    local = F.max(value).over(_inside(order).rowsBetween(*_BACK))
+
+def last_in_runs(runs: DataFrame, value: Column, name: str, *, include_current: bool = True) -> DataFrame:
+    """Last non-null ``value`` of the key up to (or before) each row of ``keyed_runs``."""
+    runs = runs.withColumn("_value", value)
+    tails = runs.groupBy("_key", "_grp").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_mid"))).alias("_tail"))
+    carried = tails.select("_grp", F.last("_tail", ignorenulls=True).over(_across().rowsBetween(*_BACK)).alias("_carried"))
+    local = F.last("_value", ignorenulls=True).over(_inside().rowsBetween(Window.unboundedPreceding, 0 if include_current else -1))
     return (
-        df.withColumn("_local", local).join(carried, "_grp", "left")
-        .withColumn(name, F.greatest("_local", "_carried"))
-        .drop("_local", "_carried", "_key", "_grp")
+        runs.withColumn("_local", local).join(carried, "_grp", "left")
+        .withColumn(name, F.coalesce("_local", "_carried")).drop("_local", "_carried", "_value")
     )
 
 
-def previous_rows(df: DataFrame, keys, segment: str, order, value: Column, n: int, name: str) -> DataFrame:
-    """Array of the ``n`` preceding values of the key, nearest first."""
-    keys, order = _names(keys), _names(order)
-    df = _grouped(df.withColumn("_value", F.struct(value.alias("v"))), keys, segment)
-    inside = _inside(order)
+def previous_in_runs(runs: DataFrame, value: Column, n: int, name: str) -> DataFrame:
+    """Array of the ``n`` preceding values of the key, nearest first, on rows of ``keyed_runs``."""
+    runs = runs.withColumn("_value", F.struct(value.alias("v")))
+    last_first = F.row_number().over(Window.partitionBy("_grp").orderBy(F.desc("_mid")))
     tails = (
-        df.withColumn("_rn", F.row_number().over(_inside(order, newest_first=True))).filter(F.col("_rn") <= n)
-        .groupBy("_key", "_grp")
+        runs.withColumn("_rn", last_first).filter(F.col("_rn") <= n).groupBy("_key", "_grp")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "_value"))), lambda s: s["_value"]).alias("_tail"))
     )
     earlier = F.flatten(F.filter(F.array(*[F.lag("_tail", i).over(_across()) for i in range(1, n + 1)]), lambda a: a.isNotNull()))
     carried = tails.select("_grp", earlier.alias("_carried"))
     nothing = F.filter(F.array(F.col("_value")), lambda _: F.lit(False))
-    local = F.filter(F.array(*[F.lag("_value", i).over(inside) for i in range(1, n + 1)]), lambda s: s.isNotNull())
+    local = F.filter(F.array(*[F.lag("_value", i).over(_inside()) for i in range(1, n + 1)]), lambda s: s.isNotNull())
     return (
-        df.withColumn("_local", local).join(carried, "_grp", "left")
-        .withColumn(name, F.transform(
-            F.slice(F.concat("_local", F.coalesce("_carried", nothing)), 1, n), lambda s: s["v"]
-        ))
-        .drop("_local", "_carried", "_value", "_key", "_grp")
+        runs.withColumn("_local", local).join(carried, "_grp", "left")
+        .withColumn(name, F.transform(F.slice(F.concat("_local", F.coalesce("_carried", nothing)), 1, n), lambda s: s["v"]))
+        .drop("_local", "_carried", "_value")
     )
 
 
-def keyed_rank(df: DataFrame, keys, segment: str, order, name: str, *, newest_first: bool = False) -> DataFrame:
+def carry_last(df: DataFrame, keys, order, value: Column, name: str, *, include_current: bool = True, partitions: int | None = None) -> DataFrame:
+    """Last non-null ``value`` of the key up to (or before) each row."""
+    return without_runs(last_in_runs(keyed_runs(df, keys, order, partitions), value, name, include_current=include_current))
+
+
+def carry_max(df: DataFrame, keys, order, value: str, name: str, *, partitions: int | None = None) -> DataFrame:
+    """Largest ``value`` of the key strictly before each row (NULL on the first)."""
+    runs = keyed_runs(df, keys, order, partitions)
+    peaks = runs.groupBy("_key", "_grp").agg(F.max(value).alias("_peak"))
+    carried = peaks.select("_grp", F.max("_peak").over(_across().rowsBetween(*_BACK)).alias("_carried"))
+    local = F.max(value).over(_inside().rowsBetween(*_BACK))
+    return without_runs(
+        runs.withColumn("_local", local).join(carried, "_grp", "left")
+        .withColumn(name, F.greatest("_local", "_carried")).drop("_local", "_carried"))
+
+
+def previous_rows(df: DataFrame, keys, order, value: Column, n: int, name: str, *, partitions: int | None = None) -> DataFrame:
+    """Array of the ``n`` preceding values of the key, nearest first."""
+    return without_runs(previous_in_runs(keyed_runs(df, keys, order, partitions), value, n, name))
+
+
+def keyed_rank(df: DataFrame, keys, order, name: str, *, newest_first: bool = False, partitions: int | None = None) -> DataFrame:
     """Exact 1-based row number inside the key without a per-key task."""
-    keys, order = _names(keys), _names(order)
-    df = _grouped(df, keys, segment)
-    before = _across(newest_first=newest_first).rowsBetween(*_BACK)
+    runs = keyed_runs(df, keys, order, partitions)
+    across = Window.partitionBy("_key").orderBy(F.desc("_grp") if newest_first else F.asc("_grp")).rowsBetween(*_BACK)
     offsets = (
-        df.groupBy("_key", "_grp").agg(F.count("*").alias("_n"))
-        .select("_grp", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    return (
-        df.withColumn("_rn", F.row_number().over(_inside(order, newest_first=newest_first)))
-        .join(offsets, "_grp", "left")
-        .withColumn(name, F.col("_before") + F.col("_rn"))
-        .drop("_rn", "_before", "_key", "_grp")
+        runs.groupBy("_key", "_grp").agg(F.count("*").alias("_n"))
+        .select("_grp", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
     )
+    inside = Window.partitionBy("_grp").orderBy(F.desc("_mid") if newest_first else F.asc("_mid"))
+    return without_runs(
+        runs.withColumn("_rn", F.row_number().over(inside)).join(offsets, "_grp", "left")
+        .withColumn(name, F.col("_before") + F.col("_rn")).drop("_rn", "_before"))
+
+
+GROUP_LIMIT = 1_000  # up to here Spark cuts every key to its first rows in each task before it shuffles
+
+
+def newest_rows(df: DataFrame, keys, order, n: int, name: str, *, partitions: int | None = None) -> DataFrame:
+    """The newest ``n`` rows of each key with their rank, 1 for the newest.
+
+    For small ``n`` the rank filter reaches the tasks before the shuffle, so a frequent key sends ``n`` rows per task at most;
+    beyond that the rank comes from ``keyed_rank``.
+    """
+    if n > GROUP_LIMIT:
+        return keyed_rank(df, keys, order, name, newest_first=True, partitions=partitions).filter(F.col(name) <= n)
+    newest = Window.partitionBy(*_names(keys)).orderBy(*[F.desc(c) for c in _names(order)])
+    return df.withColumn(name, F.row_number().over(newest)).filter(F.col(name) <= n)
 
 
 # --- exact quantiles ---------------------------------------------------------------

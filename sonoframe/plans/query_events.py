@@ -11,13 +11,10 @@ from sonoframe.plans.registry import load, query, r6, rounded, s6
 from sonoframe.streaming import replay as R
 from sonoframe.streaming import rolling as K
 
-DAY = 86_400_000
-
 
 def events(spark, sf_dir):
     df = load(spark, sf_dir, "events")
-    df = df.withColumn("ts_ms", H.epoch_ms(df, "ts"))
-    return df.withColumn("day", F.expr(f"ts_ms div {DAY}")).withColumn("block", F.expr("event_id div 1000"))
+    return df.withColumn("ts_ms", H.epoch_ms(df, "ts"))
 
 
 EV = "ev AS (SELECT *, epoch_us(ts) // 1000 AS ts_ms FROM events)"
@@ -35,12 +32,12 @@ def accepted_label():
 SELECT a.event_id, a.label, d.smoothed FROM a LEFT JOIN d USING (event_id)""")
 def smoothed_labels(spark, sf_dir):
     df = events(spark, sf_dir).withColumn("label", accepted_label())
-    return H.smooth_labels(df, "user_id", ["ts_ms", "event_id"], "label", segment="day").select("event_id", "label", "smoothed")
+    return H.smooth_labels(df, "user_id", ["ts_ms", "event_id"], "label").select("event_id", "label", "smoothed")
 
 
 @query("monotonic_events", """SELECT event_id FROM (SELECT event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR value > m""")
 def monotonic_events(spark, sf_dir):
-    return H.monotonic_only(events(spark, sf_dir), "user_id", "event_id", "value", segment="block").select("event_id")
+    return H.monotonic_only(events(spark, sf_dir), "user_id", "event_id", "value").select("event_id")
 
 
 @query("latest_events", """SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type, count(*) - 1 AS replaced_count FROM events GROUP BY user_id""")
@@ -54,18 +51,18 @@ RECENT = "SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_
 
 @query("recent_events", f"SELECT user_id, event_id, recency FROM ({RECENT}) WHERE recency <= 12")
 def recent_events(spark, sf_dir):
-    return H.recent_n(events(spark, sf_dir), "user_id", ["ts_ms", "event_id"], segment="day").select("user_id", "event_id", "recency")
+    return H.recent_n(events(spark, sf_dir), "user_id", ["ts_ms", "event_id"]).select("user_id", "event_id", "recency")
 
 
 @query("kept_events", f"SELECT user_id, event_id, greatest(count(*) OVER (PARTITION BY user_id) - 16, 0) AS dropped_count FROM ({RECENT}) QUALIFY recency <= 16")
 def kept_events(spark, sf_dir):
-    return H.keep_newest(events(spark, sf_dir), "user_id", ["ts_ms", "event_id"], 16, segment="day").select("user_id", "event_id", "dropped_count")
+    return H.keep_newest(events(spark, sf_dir), "user_id", ["ts_ms", "event_id"], 16).select("user_id", "event_id", "dropped_count")
 
 
 @query("rolling_values", f"""SELECT user_id, any_value(n) AS sample_count, count(*) AS retained_count, {s6('median(value)')} AS median, {s6('quantile_cont(value, 0.95)')} AS p95
  FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({RECENT})) WHERE recency <= 40 GROUP BY user_id""")
 def rolling_values(spark, sf_dir):
-    df = H.rolling_summary(events(spark, sf_dir), "user_id", ["ts_ms", "event_id"], "value", 40, segment="day")
+    df = H.rolling_summary(events(spark, sf_dir), "user_id", ["ts_ms", "event_id"], "value", 40)
     return rounded(df, "median", "p95")
 
 
@@ -73,11 +70,10 @@ TWO_HOURS = 7_200_000
 
 
 @query("throttled_events", f"""WITH RECURSIVE {EV}, n AS (SELECT user_id, ts_ms, min(ts_ms) OVER (PARTITION BY user_id ORDER BY ts_ms RANGE BETWEEN {TWO_HOURS} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM ev),
- r AS (SELECT user_id, min(ts_ms) AS ts_ms FROM ev GROUP BY user_id UNION SELECT n.user_id, n.nxt FROM r JOIN n ON n.user_id = r.user_id AND n.ts_ms = r.ts_ms WHERE n.nxt IS NOT NULL)
-SELECT ev.event_id FROM ev JOIN r ON ev.user_id = r.user_id AND ev.ts_ms = r.ts_ms""")
+ r AS (SELECT user_id, min(ts_ms) AS ts_ms FROM ev GROUP BY user_id UNION SELECT n.user_id, n.nxt FROM r JOIN n ON n.user_id IS NOT DISTINCT FROM r.user_id AND n.ts_ms = r.ts_ms WHERE n.nxt IS NOT NULL)
+SELECT min(ev.event_id) AS event_id FROM ev JOIN r ON ev.user_id IS NOT DISTINCT FROM r.user_id AND ev.ts_ms = r.ts_ms GROUP BY ev.user_id, ev.ts_ms""")
 def throttled_events(spark, sf_dir):
-    known = events(spark, sf_dir).filter("user_id is not null")  # the SQL joins on equal keys
-    return H.throttle(known, "user_id", "ts_ms", TWO_HOURS, segment_ms=DAY).select("event_id")
+    return H.throttle(events(spark, sf_dir), "user_id", "ts_ms", TWO_HOURS, order="event_id").select("event_id")
 
 
 # --- streams ---------------------------------------------------------------------------------
@@ -191,11 +187,11 @@ def target_events(spark, sf_dir):
     return rounded(df.select("event_id", "status", "emotion", "emotion_confidence", "speaker_confidence"), "emotion_confidence", "speaker_confidence")
 
 
-@query("current_sessions", """WITH s AS (SELECT user_id, max(event_id // 500) AS cur FROM events GROUP BY user_id) SELECT event_id FROM events JOIN s USING (user_id) WHERE event_id // 500 = cur""")
+@query("current_sessions", """WITH s AS (SELECT user_id, max(event_id // 500) AS cur FROM events GROUP BY user_id) SELECT event_id FROM events JOIN s ON events.user_id IS NOT DISTINCT FROM s.user_id WHERE event_id // 500 = cur""")
 def current_sessions(spark, sf_dir):
     df = events(spark, sf_dir).select("event_id", "user_id", F.expr("event_id div 500").alias("session_id"))
     current = df.groupBy("user_id").agg(F.max("session_id").alias("session_id"))
-    return K.drop_stale_sessions(df, current, "user_id").filter("user_id is not null").select("event_id")  # the SQL joins on equal keys
+    return K.drop_stale_sessions(df, current, "user_id").select("event_id")
 
 
 @query("result_payloads", f"""WITH {UPDATES}, g AS (SELECT event_id, emo, q, ar, CASE WHEN rej THEN NULL ELSE emo END AS cand FROM u)

@@ -137,8 +137,6 @@ def replay_in_batch(series: DataFrame, model: dict, *, frame_ms: int = 20) -> Da
     updates = series_updates(
         stored.select("stream_id", "session_id", "sample_rate", "samples"), model["window_s"], model["update_interval_s"], frame_ms=frame_ms)
     scored = live_columns(score_updates(updates, model), model["classes"])
-    segmented = scored.withColumn("segment", F.expr("ts_ms div 600000"))
     smoothed = smooth_labels(
-        segmented.select("stream_id", "session_id", "segment", "ts_ms", "candidate_emotion"), ["stream_id", "session_id"], "ts_ms",
-        "candidate_emotion", segment="segment")
+        scored.select("stream_id", "session_id", "ts_ms", "candidate_emotion"), ["stream_id", "session_id"], "ts_ms", "candidate_emotion")
     return to_results(scored, smoothed)

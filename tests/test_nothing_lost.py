@@ -11,10 +11,10 @@ from sonoframe.streaming import replay, rolling
 
 
 def test_null_keys_stay(spark):
-    df = spark.createDataFrame([(None, 1, 0, 1.0), (None, 2, 0, 2.0), (5, 3, 0, 3.0)], "k long, t long, seg long, v double")
-    kept = keep_newest(df, "k", "t", 1, segment="seg").collect()
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), (5, 3, 3.0)], "k long, t long, v double")
+    kept = keep_newest(df, "k", "t", 1).collect()
     assert {(r["k"], r["t"], r["dropped_count"]) for r in kept} == {(None, 2, 1), (5, 3, 0)}
-    summary = rolling_summary(df, "k", "t", "v", 2, segment="seg").collect()
+    summary = rolling_summary(df, "k", "t", "v", 2).collect()
     assert {(r["k"], r["sample_count"], r["median"]) for r in summary} == {(None, 2, 1.5), (5, 1, 3.0)}
 
 
@@ -32,7 +32,7 @@ def test_unknown_quality_is_rejected(spark):
 
 def test_throttle_and_sessions_keep_null_keys(spark):
     df = spark.createDataFrame([(None, 0), (None, 100), (None, 600), (None, 1700), (5, 50), (5, 60)], "k long, t long")
-    assert {tuple(r) for r in throttle(df, "k", "t", 500, segment_ms=1000).collect()} == {(None, 0), (None, 600), (None, 1700), (5, 50)}
+    assert {tuple(r) for r in throttle(df, "k", "t", 500).collect()} == {(None, 0), (None, 600), (None, 1700), (5, 50)}
     rows = spark.createDataFrame([(None, "1", 1), (None, "2", 2), ("a", "1", 3)], "stream_id string, session_id string, v int")
     current = spark.createDataFrame([(None, "2"), ("a", "1")], "stream_id string, session_id string")
     assert {r["v"] for r in rolling.drop_stale_sessions(rows, current).collect()} == {2, 3}

@@ -139,13 +139,16 @@ def test_manifest_rules(spark):
 def test_ordered_helpers_on_a_hot_key(spark):
     rng = np.random.default_rng(3)
     rows = [(("hot" if rng.random() < 0.7 else f"k{rng.integers(0, 5)}"), i, float(rng.integers(0, 50))) for i in range(600)]
-    df = spark.createDataFrame(rows, "k string, pos int, v double").withColumn("seg", F.expr("pos div 50"))
+    df = spark.createDataFrame(rows, "k string, pos int, v double")
     index = {r["pos"]: r["idx"] for r in O.global_index(df, ["k", "pos"]).collect()}
     assert [p for p, _ in sorted(index.items(), key=lambda kv: kv[1])] == [p for k, p, _ in sorted(rows, key=lambda r: (r[0], r[1]))]
-    ranks = {r["pos"]: r["rn"] for r in O.keyed_rank(df, "k", "seg", "pos", "rn").collect()}
+    ranks = {r["pos"]: r["rn"] for r in O.keyed_rank(df, "k", "pos", "rn", partitions=9).collect()}
+    newest = {r["pos"]: r["rn"] for r in O.keyed_rank(df, "k", "pos", "rn", newest_first=True, partitions=9).collect()}
+    peaks = {r["pos"]: r["peak"] for r in O.carry_max(df, "k", "pos", "v", "peak", partitions=9).collect()}
     for key in {r[0] for r in rows}:
-        mine = sorted(p for k, p, _ in rows if k == key)
-        assert [ranks[p] for p in mine] == list(range(1, len(mine) + 1))
+        mine = sorted((p, v) for k, p, v in rows if k == key)
+        assert [ranks[p] for p, _ in mine] == list(range(1, len(mine) + 1)) and [newest[p] for p, _ in mine] == list(range(len(mine), 0, -1))
+        assert [peaks[p] for p, _ in mine] == [max((v for _, v in mine[:i]), default=None) for i in range(len(mine))]
     got = {r["k"]: r for r in O.exact_quantiles(df, "v", {"m": 0.5, "q": 0.95}, "k").collect()}
     for key in {r[0] for r in rows}:
         mine = [v for k, _, v in rows if k == key]
@@ -173,37 +176,50 @@ def fold_labels(labels):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 3, 1000])
-def test_smoothing_equals_the_fold_for_any_segment(spark, width):
-    rng = np.random.default_rng(width)
+def test_runs_split_a_key_of_one_instant_evenly(spark):
+    """A third of the rows are one key, all on one day: its rows still spread over runs like all others."""
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), (F.col("id") % 86_400).alias("t"), "id")
+    runs = [r["count"] for r in O.keyed_runs(df, "k", ["t", "id"], 24).groupBy("_part").count().collect()]
+    hot = [r["count"] for r in O.keyed_runs(df, "k", ["t", "id"], 24).filter("k = 0").groupBy("_grp").count().collect()]
+    assert len(hot) >= 8 and max(hot) <= max(runs) <= 2 * np.median(runs)
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 40])
+def test_smoothing_equals_the_fold_however_it_is_cut(spark, partitions):
+    rng = np.random.default_rng(partitions)
     rows = [(f"k{k}", i, None if (x := int(rng.integers(0, 5))) == 0 else "HANS"[x - 1]) for k in range(4) for i in range(60)]
-    df = spark.createDataFrame(rows, "k string, pos int, label string").withColumn("seg", F.expr(f"pos div {width}"))
-    got = {(r["k"], r["pos"]): r["smoothed"] for r in H.smooth_labels(df, "k", "pos", "label", segment="seg").collect()}
+    df = spark.createDataFrame(rows, "k string, pos int, label string")
+    got = {(r["k"], r["pos"]): r["smoothed"] for r in H.smooth_labels(df, "k", "pos", "label", partitions=partitions).collect()}
     for k in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == k]
         assert [got[(k, p)] for _, p, _ in mine] == fold_labels([x for _, _, x in mine])
 
 
-@pytest.mark.parametrize("segment", [600, 1000, 100_000])
-def test_throttle_equals_the_fold_for_any_segment(spark, segment):
-    rng = np.random.default_rng(segment)
-    rows = [(f"k{k}", int(t)) for k in range(3) for t in np.unique(rng.integers(0, 20_000, 150))]
-    df = spark.createDataFrame(rows, "k string, t long")
-    got = {(r["k"], r["t"]) for r in H.throttle(df, "k", "t", 500, segment_ms=segment).collect()}
-    for k in ("k0", "k1", "k2"):
-        last, want = None, set()
-        for _, t in sorted(r for r in rows if r[0] == k):
-            if last is None or t - last >= 500:
-                last = t
-                want.add((k, t))
-        assert {g for g in got if g[0] == k} == want
+@pytest.mark.parametrize("partitions", [None, 3, 37])
+@pytest.mark.parametrize("interval", [1, 90, 500, 50_000])
+def test_throttle_equals_the_fold_however_it_is_cut(spark, partitions, interval):
+    rng = np.random.default_rng(interval)
+    rows = [(k, int(t), i) for k, n in ((None, 900), (1, 150), (2, 40), (3, 1), (-4, 7)) for i, t in enumerate(rng.integers(0, 20_000, n))]
+    rows += [(1, 20_000 + int(t), 1_000 + i) for i, t in enumerate(rng.integers(0, 40, 300))] + [(1, None, 5_000)]
+    df = spark.createDataFrame(rows, "k long, t long, event_id long")
+    got = sorted(map(tuple, H.throttle(df, "k", "t", interval, order="event_id", partitions=partitions).collect()), key=repr)
+    want = []
+    for k in (None, 1, 2, 3, -4):
+        last = None
+        for row in sorted((r for r in rows if r[0] == k and r[1] is not None), key=lambda r: r[1:]):
+            if last is None or row[1] - last >= interval:
+                last = row[1]
+                want.append(row)
+    assert got == sorted(want, key=repr)
 
 
 def test_bounded_histories(spark):
-    df = spark.createDataFrame([("k", i, float(i)) for i in range(100)], "k string, pos int, v double").withColumn("seg", F.expr("pos div 7"))
-    row = H.rolling_summary(df, "k", "pos", "v", 3, segment="seg").first()
+    df = spark.createDataFrame([("k", i, float(i)) for i in range(100)], "k string, pos int, v double")
+    row = H.rolling_summary(df, "k", "pos", "v", 3).first()
     assert (row["sample_count"], row["retained_count"], row["median"]) == (100, 3, 98.0) and row["p95"] == pytest.approx(98.9)
-    kept = H.keep_newest(df, "k", "pos", 4, segment="seg").collect()
+    long_way = O.newest_rows(df, "k", "pos", 1_001, "r", partitions=7).filter("r <= 3")
+    assert sorted((r["pos"], r["r"]) for r in long_way.collect()) == [(97, 3), (98, 2), (99, 1)]
+    kept = H.keep_newest(df, "k", "pos", 4).collect()
     assert sorted(r["pos"] for r in kept) == [96, 97, 98, 99] and kept[0]["dropped_count"] == 96
     newest = H.latest_per_key(spark.createDataFrame([("k", 1), ("k", 2)], "k string, ts int"), "k", "ts").first()
     assert (newest["ts"], newest["replaced_count"]) == (2, 1)
