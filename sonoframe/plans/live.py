@@ -1,6 +1,6 @@
 """Gating live updates: the same column rules for batches and streams."""
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +9,7 @@ from sonoframe import settings
 from sonoframe.functions import checks as C
 from sonoframe.functions import pitch
 from sonoframe.operators import model as ML
+from sonoframe.operators import ordering as O
 from sonoframe.operators import summaries as SU
 from sonoframe.operators.frames import samples_for
 
@@ -42,16 +43,20 @@ def series_updates(
     )
 
 
+def _below(name: str, limit) -> Column:
+    """Whether a measure misses its limit; one that is missing or not a number does."""
+    return F.coalesce(F.isnan(F.col(name).cast("double")) | (F.col(name) < limit), F.lit(True))
+
+
 def _gate_reason(gates: settings.QualityGates, low_activity: str, uncertain: str) -> Column:
-    """Quality part of the cascade; NULL for an update that may be scored."""
+    """Quality part of the cascade; NULL for an update that may be scored.  Missing measures reject."""
     status = F.col("quality_status")
     return (
-        F.when(F.col("active_frame_count") == 0, "SILENCE")
-        .when((F.col("activity_ratio") < gates.min_activity_ratio)
-              | (F.col("longest_active_run") < gates.min_contiguous_active_frames), low_activity)
+        F.when(_below("active_frame_count", 1), "SILENCE")
+        .when(_below("activity_ratio", gates.min_activity_ratio) | _below("longest_active_run", gates.min_contiguous_active_frames), low_activity)
         .when(status == "LOW_QUALITY", "LOW_QUALITY")
         .when(~status.eqNullSafe("ACCEPTABLE"), uncertain)
-        .when(F.coalesce(F.col("audio_quality") < settings.LIVE_MIN_AUDIO_QUALITY, F.lit(True)), "LOW_QUALITY")
+        .when(_below("audio_quality", settings.LIVE_MIN_AUDIO_QUALITY), "LOW_QUALITY")
     )
 
 
@@ -70,9 +75,9 @@ def prediction_reason(model_status: Column) -> Column:
         (F.col("model_status") == "READY") & (F.col("calibration_status") == "CALIBRATED")
         & (F.length("model_version") > 0) & (F.length("validation_record_id") > 0) & F.col("decision_threshold").isNotNull())
     return (
-        F.when(model_status != "READY", model_status)
-        .when(F.coalesce(F.col("valid_frame_fraction"), F.lit(0.0)) < settings.MIN_VALID_FRAME_FRACTION, "INVALID_FRAME_CONTENT")
-        .when(F.col("predictor_error"), "PREDICTOR_ERROR")
+        F.when(~model_status.eqNullSafe("READY"), F.coalesce(model_status, F.lit("NOT_CONFIGURED")))
+        .when(_below("valid_frame_fraction", settings.MIN_VALID_FRAME_FRACTION), "INVALID_FRAME_CONTENT")
+        .when(F.coalesce("predictor_error", F.lit(True)), "PREDICTOR_ERROR")
         .when(~F.coalesce(calibrated, F.lit(False)), F.coalesce("rejection_status", F.lit("MODEL_NOT_CALIBRATED")))
         .when(F.col("emotion").isNull(), F.coalesce("rejection_status", F.lit("BELOW_VALIDATION_THRESHOLD")))
     )
@@ -91,8 +96,8 @@ def target_events(
 ) -> DataFrame:
     """Identity-gated cascade: quality, verifier verdict, then prediction.
 
-    ``verdict_status``/``verdict_confidence`` come from a join to the verdicts or from
-    ``with_verifier``; no verdict means the verifier is not configured.
+    ``verdict_status``/``verdict_confidence`` come from ``verdicts_as_of``, on streams from ``join_verdicts``, or
+    from ``with_verifier``; no verdict means the verifier is not configured.
     """
     verdict = F.coalesce(F.col("verdict_status"), F.lit("NOT_CONFIGURED"))
     usable = (
@@ -101,8 +106,8 @@ def target_events(
     status = F.coalesce(
         identity_quality_status(gates),
         F.when(verdict != "TARGET_ACTIVE", verdict)
-        .when(F.coalesce(F.col("verdict_confidence"), F.lit(0.0)) < min_speaker_confidence, "UNCERTAIN")
-        .when(F.col("predictor_error"), "UNCERTAIN")
+        .when(_below("verdict_confidence", min_speaker_confidence), "UNCERTAIN")
+        .when(F.coalesce("predictor_error", F.lit(True)), "UNCERTAIN")
         .when(~F.coalesce(usable, F.lit(False)), C.prediction_status()),
         F.lit("TARGET_ACTIVE"))
     out = df.withColumn("status", status)
@@ -114,6 +119,28 @@ def target_events(
     )
 
 
+def verdicts_as_of(
+    updates: DataFrame, verdicts: DataFrame, horizon_ms: int, *, keys: Sequence[str] = ("stream_id", "session_id"), ts_ms: str = "ts_ms",
+    order: Sequence[str] = (), partitions: int | None = None,
+) -> DataFrame:
+    """Updates with ``verdict_status`` and ``verdict_confidence`` of the newest verdict not newer than them and less than ``horizon_ms`` old.
+
+    ``verdicts`` has the key columns, ``ts_ms``, ``verdict_status``, ``verdict_confidence`` and the columns of ``order``, which breaks ties.
+    Both tables are put in one order per key and the last verdict is carried along, so no update meets several verdicts and a frequent key is
+    cut into runs.  Updates without a verdict, and those without a time, get NULL; missing keys are equal.
+    """
+    keys, order = list(keys), list(order)
+    rows = updates.select(*[F.col(k) for k in keys], F.col(ts_ms).alias("_at"), F.lit(1).alias("_kind"), *[F.lit(None).cast(verdicts.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)],
+                          F.struct(*updates.columns).alias("_row"), F.lit(None).cast("struct<t:long,status:string,confidence:double>").alias("_verdict"))
+    said = verdicts.select(*[F.col(k) for k in keys], F.col(ts_ms).alias("_at"), F.lit(0).alias("_kind"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                           F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"),
+                           F.struct(F.col(ts_ms).cast("long").alias("t"), F.col("verdict_status").alias("status"), F.col("verdict_confidence").cast("double").alias("confidence")).alias("_verdict"))
+    both = rows.unionByName(said.filter(F.col("_at").isNotNull()))
+    held = O.carry_last(both, keys, ["_at", "_kind", *[f"_o{i}" for i in range(len(order))]], F.col("_verdict"), "_last", partitions=partitions).filter("_kind = 1")
+    fresh = F.col("_last.t") > F.col("_at") - horizon_ms
+    return held.select("_row.*", F.when(fresh, F.col("_last.status")).alias("verdict_status"), F.when(fresh, F.col("_last.confidence")).alias("verdict_confidence"))
+
+
 def score_updates(df: DataFrame, model: Mapping, *, record_id: str = "record", status: str = "READY") -> DataFrame:
     """Measure, gate and score update windows with one model; stateless, so it also runs on a stream.
 

@@ -10,6 +10,7 @@ from sonoframe.plans import live
 from sonoframe.plans.registry import load, query, r6, rounded, s6
 from sonoframe.streaming import replay as R
 from sonoframe.streaming import rolling as K
+from sonoframe.streaming import verdicts as V
 
 
 def events(spark, sf_dir):
@@ -187,6 +188,62 @@ def target_events(spark, sf_dir):
     return rounded(df.select("event_id", "status", "emotion", "emotion_confidence", "speaker_confidence"), "emotion_confidence", "speaker_confidence")
 
 
+HORIZON = 12 * 3_600_000
+# verdicts are the errors and signups, updates all other events; a fifth of the verdicts of the first half month only come after the stream has passed them
+TARGETS = f"""{UPDATES}, {EV}, v AS (SELECT user_id, ts_ms, event_id, CASE event_id % 7 WHEN 0 THEN 'NON_TARGET' WHEN 1 THEN 'OVERLAP' ELSE 'TARGET_ACTIVE' END AS vs, (event_id % 37 / 36)::DOUBLE AS conf FROM ev WHERE event_type IN ('error', 'signup') AND NOT (__late__)),
+ m AS (SELECT e.event_id, v.vs, v.conf, row_number() OVER (PARTITION BY e.event_id ORDER BY v.ts_ms DESC, v.event_id DESC) AS place FROM ev e LEFT JOIN v ON v.user_id IS NOT DISTINCT FROM e.user_id AND v.ts_ms <= e.ts_ms AND v.ts_ms > e.ts_ms - {HORIZON} WHERE e.event_type NOT IN ('error', 'signup')),
+ g AS (SELECT event_id, emo, q, conf, CASE WHEN qs = 'LOW_QUALITY' THEN qs WHEN qs <> 'ACCEPTABLE' THEN 'UNCERTAIN' WHEN q < 0.5 THEN 'LOW_QUALITY' WHEN vs IS NULL THEN 'NOT_CONFIGURED' WHEN vs <> 'TARGET_ACTIVE' THEN vs
+  WHEN conf < 0.8 THEN 'UNCERTAIN' WHEN pe THEN 'UNCERTAIN' WHEN rej OR NOT cal THEN 'UNCERTAIN' ELSE 'TARGET_ACTIVE' END AS status FROM m JOIN u USING (event_id) WHERE place = 1)
+SELECT event_id, status, CASE WHEN status = 'TARGET_ACTIVE' THEN emo END AS emotion, {s6("CASE WHEN status = 'TARGET_ACTIVE' THEN q ELSE 0 END")} AS emotion_confidence, {s6("CASE WHEN status = 'TARGET_ACTIVE' THEN conf ELSE 0 END")} AS speaker_confidence FROM g"""
+
+
+def _updates_and_verdicts(spark, sf_dir):
+    """Updates that all pass the activity gates, and the verdicts beside them."""
+    e = F.col("event_id")
+    said = F.col("event_type").isin("error", "signup")
+    df = events(spark, sf_dir)
+    measured = measured_updates(spark, sf_dir).drop("verdict_status", "verdict_confidence").withColumns(
+        {"active_frame_count": F.lit(9), "activity_ratio": F.lit(0.9), "longest_active_run": F.lit(9)})
+    updates = measured.join(df.select("event_id", "ts", said.alias("_said")), "event_id").filter(~F.col("_said")).drop("_said")
+    verdicts = df.filter(said).select(
+        "user_id", "ts", "ts_ms", "event_id", F.when(e % 7 == 0, "NON_TARGET").when(e % 7 == 1, "OVERLAP").otherwise("TARGET_ACTIVE").alias("verdict_status"),
+        (F.pmod(e, F.lit(37)) / 36.0).alias("verdict_confidence"))
+    return updates, verdicts
+
+
+def _targets(joined):
+    out = live.target_events(joined).select("event_id", "status", "emotion", "emotion_confidence", "speaker_confidence")
+    return rounded(out, "emotion_confidence", "speaker_confidence")
+
+
+@query("target_events_as_of", "WITH " + TARGETS.replace("__late__", "false"))
+def target_events_as_of(spark, sf_dir):
+    updates, verdicts = _updates_and_verdicts(spark, sf_dir)
+    return _targets(live.verdicts_as_of(updates.drop("ts"), verdicts, HORIZON, keys=["user_id"], order=["event_id"]))
+
+
+@query("stream_target_events", "WITH " + TARGETS.replace("__late__", "event_id % 5 = 2 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)"))
+def stream_target_events(spark, sf_dir):
+    """Two streams with a watermark each; the late verdicts arrive in a second run, which goes on from the checkpoint of the first."""
+    updates, verdicts = _updates_and_verdicts(spark, sf_dir)
+    as_micros = F.timestamp_millis("ts_ms")
+    updates, verdicts = updates.withColumn("ts", as_micros), verdicts.withColumn("ts", as_micros)
+    span = load(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    late = (F.col("event_id") % 5 == 2) & (F.col("ts") < F.lit(span["a"] + (span["b"] - span["a"]) / 2))
+    far = F.timestamp_millis(F.lit(4_102_444_800_000))
+    folder = R.shared_folder(spark, "targets")
+    first, second = (R.as_stream(df, f"{folder}/{name}") for df, name in ((updates, "updates"), (verdicts.filter(~late), "verdicts")))
+    joined = V.join_verdicts(
+        first, second, "12 hours", keys=["user_id"], update_id="event_id", order="event_id", update_delay=R.slice_delay(updates), verdict_delay=R.slice_delay(verdicts))
+    targets = _targets(joined)
+    R.run_available(targets, folder + "/out", folder + "/state")
+    verdicts.filter(late).write.mode("append").parquet(f"{folder}/verdicts")
+    for df, name in ((updates, "updates"), (verdicts, "verdicts")):  # one row beyond all others closes each stream
+        df.limit(1).withColumns({"ts": far, "event_id": F.lit(-1).cast("long")}).write.mode("append").parquet(f"{folder}/{name}")
+    R.run_available(targets, folder + "/out", folder + "/state")
+    return spark.read.parquet(folder + "/out").filter("event_id >= 0")
+
+
 @query("current_sessions", """WITH s AS (SELECT user_id, max(event_id // 500) AS cur FROM events GROUP BY user_id) SELECT event_id FROM events JOIN s ON events.user_id IS NOT DISTINCT FROM s.user_id WHERE event_id // 500 = cur""")
 def current_sessions(spark, sf_dir):
     df = events(spark, sf_dir).select("event_id", "user_id", F.expr("event_id div 500").alias("session_id"))

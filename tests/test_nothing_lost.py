@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sonoframe.operators.history import keep_newest, rolling_summary, throttle
 from sonoframe.operators.mixing import assign_round_robin
 from sonoframe.operators.model import accept_windows
-from sonoframe.plans import query_events
+from sonoframe.plans import live, query_events
 from sonoframe.streaming import replay, rolling
 
 
@@ -52,3 +52,36 @@ def test_rows_without_a_time_are_counted(spark, tmp_path):
         replay.as_stream(df, str(tmp_path / "in"))
     assert [r["v"] for r in spark.read.parquet(f"{tmp_path}/in-untimed").collect()] == [2]
     assert {r["v"] for r in spark.read.parquet(f"{tmp_path}/in").collect()} == {1, 3}
+
+
+GATES = """active_frame_count int, activity_ratio double, longest_active_run int, quality_status string, audio_quality double, registry_status string,
+ valid_frame_fraction double, predictor_error boolean, model_status string, calibration_status string, model_version string, validation_record_id string,
+ decision_threshold double, rejection_status string, emotion string, confidence double, verdict_status string, verdict_confidence double"""
+PASSING = dict(zip([c.split()[0] for c in GATES.split(",")], [
+    9, 0.9, 9, "ACCEPTABLE", 0.9, "READY", 1.0, False, "READY", "CALIBRATED", "m", "v", 0.4, None, "happy", 0.9, "TARGET_ACTIVE", 0.9]))
+
+
+def test_missing_gate_inputs_reject(spark):
+    unknown = [c for c in PASSING if c not in ("rejection_status", "confidence")]
+    rows = [PASSING] + [{**PASSING, c: None} for c in unknown] + [{**PASSING, c: float("nan")} for c in ("activity_ratio", "audio_quality", "valid_frame_fraction", "verdict_confidence")]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], GATES)
+    gated = live.gate_updates(df).select("rejection_reason", "candidate_emotion", "verdict_status", "verdict_confidence", "model_status").collect()
+    assert (gated[0]["rejection_reason"], gated[0]["candidate_emotion"]) == (None, "happy")
+    for name, r in zip(unknown + ["activity_ratio", "audio_quality", "valid_frame_fraction"], gated[1:]):
+        if name not in ("model_status", "verdict_status", "verdict_confidence"):  # read by the other gate only
+            assert r["rejection_reason"] is not None and r["candidate_emotion"] is None, name
+    targets = live.target_events(df).select("status", "emotion").collect()
+    assert tuple(targets[0]) == ("TARGET_ACTIVE", "happy")
+    for name, r in zip(unknown + ["activity_ratio", "audio_quality", "valid_frame_fraction", "verdict_confidence"], targets[1:]):
+        if name not in ("registry_status", "valid_frame_fraction"):
+            assert r["status"] != "TARGET_ACTIVE" and r["emotion"] is None, name
+
+
+def test_verdicts_as_of_keeps_every_update(spark):
+    updates = spark.createDataFrame([(1, "a", 100), (2, "a", 200), (3, "a", 300), (4, None, 100), (5, "b", 100), (6, "a", None)], "id long, k string, ts_ms long")
+    verdicts = spark.createDataFrame(
+        [("a", 100, 1, "OVERLAP", 0.1), ("a", 100, 2, "TARGET_ACTIVE", 0.2), ("a", 201, 3, "NON_TARGET", 0.3), (None, 90, 4, "TARGET_ACTIVE", 0.4), ("c", 1, 5, "OVERLAP", 0.5), ("a", None, 6, "OVERLAP", 0.6)],
+        "k string, ts_ms long, n long, verdict_status string, verdict_confidence double")
+    for partitions in (None, 6):
+        found = {r["id"]: r["verdict_confidence"] for r in live.verdicts_as_of(updates, verdicts, 100, keys=["k"], order=["n"], partitions=partitions).collect()}
+        assert found == {1: 0.2, 2: None, 3: 0.3, 4: 0.4, 5: None, 6: None}

@@ -7,6 +7,7 @@ from sonoframe.plans import live
 from sonoframe.plans.query_models import valid_document
 from sonoframe.streaming import replay as R
 from sonoframe.streaming import rolling as K
+from sonoframe.streaming import verdicts as V
 
 
 def run(stream, folder, spark):
@@ -86,3 +87,22 @@ def test_latest_only_batches(spark, keys):
     seen = []
     K.latest_only(lambda d: seen.extend(d.collect()), keys, ["ts"])(spark.createDataFrame([("x", 1), ("x", 2)], "k string, ts int"), 0)
     assert [(r["ts"], r["replaced_count"]) for r in seen] == [(2, 1)]
+
+
+def test_verdicts_join_updates_once(spark, tmp_path):
+    """Newest of several, ties by id, missing keys, missing and late verdicts, and a restart from the checkpoint."""
+    ms = lambda df: df.withColumn("ts", F.timestamp_millis("t")).drop("t")
+    updates = lambda rows: ms(spark.createDataFrame(rows, "stream_id string, session_id string, t long, update_id long, note string"))
+    verdicts = lambda rows: ms(spark.createDataFrame(rows, "stream_id string, session_id string, t long, verdict_id long, verdict_status string, verdict_confidence double"))
+    updates([("a", "0", 1_000, 1, "x"), ("a", "0", 2_000, 2, "y"), (None, "0", 2_000, 3, None), ("b", "0", 2_000, 4, "z"), ("a", "1", 1_000, 5, "x"), ("c", "0", 9_000, 6, "x")]).write.parquet(str(tmp_path / "u"))
+    verdicts([("a", "0", 1_000, 1, "OVERLAP", 0.1), ("a", "0", 1_000, 2, "TARGET_ACTIVE", 0.2), ("a", "0", 1_001, 3, "NON_TARGET", 0.3), (None, "0", 1_500, 4, "TARGET_ACTIVE", 0.4),
+              ("b", "0", 2_001, 5, "OVERLAP", 0.5), ("c", "0", 9_000, 7, "TARGET_ACTIVE", 0.7)]).write.parquet(str(tmp_path / "v"))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    joined = V.join_verdicts(read("u", updates([])), read("v", verdicts([])), "1000 milliseconds", update_delay="1 second", verdict_delay="1 second")
+    run(joined, tmp_path, spark)
+    verdicts([("b", "0", 1_900, 8, "OVERLAP", 0.8)]).write.mode("append").parquet(str(tmp_path / "v"))  # long after its update is out
+    updates([("end", "0", 99_000, 9, None)]).write.mode("append").parquet(str(tmp_path / "u"))
+    verdicts([("end", "0", 99_000, 9, "OVERLAP", 0.9)]).write.mode("append").parquet(str(tmp_path / "v"))
+    found = run(joined, tmp_path, spark).collect()
+    assert sorted((r["update_id"], r["verdict_confidence"]) for r in found if r["update_id"] < 9) == [(1, 0.2), (2, 0.3), (3, 0.4), (4, None), (5, None), (6, 0.7)]
+    assert {r["update_id"]: r["note"] for r in found}[2] == "y"
