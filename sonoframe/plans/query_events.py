@@ -87,14 +87,14 @@ def stream_smoothed_labels(spark, sf_dir):
     """The stateful hysteresis over a file stream of the events, closed by end rows."""
     df = events(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("stream_id"), F.lit("0").alias("session_id"), F.timestamp_millis("ts_ms").alias("ts"),
-        "ts_ms", accepted_label().alias("label"), F.lit(False).alias("is_end"))
+        "ts_ms", "event_id", accepted_label().alias("label"), F.lit(False).alias("is_end"))
     last = df.agg(F.max("ts_ms").alias("m")).first()["m"]
     ends = df.select("stream_id", "session_id").distinct().select(
         "stream_id", "session_id", F.timestamp_millis(F.lit(last + 1)).alias("ts"), F.lit(last + 1).alias("ts_ms"),
-        F.lit(None).cast("string").alias("label"), F.lit(True).alias("is_end"))
+        F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("label"), F.lit(True).alias("is_end"))
     folder = R.shared_folder(spark, "labels")
     stream = R.as_stream(df, folder + "/in", closing=ends)
-    R.run_available(K.smooth_stream(stream, label="label", delay=R.slice_delay(df)), folder + "/out", folder + "/state")
+    R.run_available(K.smooth_stream(stream, label="label", tie="event_id", delay=R.slice_delay(df)), folder + "/out", folder + "/state")
     return spark.read.parquet(folder + "/out").drop("session_id")
 
 
@@ -108,14 +108,14 @@ def stream_rolling_windows(spark, sf_dir):
     """Rolling last-8-values windows, throttled to one a day, with keyed state over a file stream."""
     df = events(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("stream_id"), F.lit("0").alias("session_id"), F.timestamp_millis("ts_ms").alias("ts"),
-        "ts_ms", F.array(F.col("value").cast("float")).alias("samples"), F.lit(False).alias("is_end"))
+        "ts_ms", "event_id", F.array(F.col("value").cast("float")).alias("samples"), F.lit(False).alias("is_end"))
     last = df.agg(F.max("ts_ms").alias("m")).first()["m"]
     ends = df.select("stream_id", "session_id").distinct().select(
         "stream_id", "session_id", F.timestamp_millis(F.lit(last + 1)).alias("ts"), F.lit(last + 1).alias("ts_ms"),
-        F.array().cast("array<float>").alias("samples"), F.lit(True).alias("is_end"))
+        F.lit(None).cast("long").alias("event_id"), F.array().cast("array<float>").alias("samples"), F.lit(True).alias("is_end"))
     folder = R.shared_folder(spark, "windows")
     stream = R.as_stream(df, folder + "/in", closing=ends)
-    R.run_available(K.rolling_windows(stream, 8, TWO_HOURS * 12, delay=R.slice_delay(df)), folder + "/out", folder + "/state")
+    R.run_available(K.rolling_windows(stream, 8, TWO_HOURS * 12, tie="event_id", delay=R.slice_delay(df)), folder + "/out", folder + "/state")
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return spark.read.parquet(folder + "/out").select("stream_id", "ts_ms", F.size("samples").alias("n"), r6(total, 3).alias("total"))
 

@@ -32,6 +32,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "son
     return spark
 
 
+def local_folder(spark: SparkSession) -> str:
+    """A temporary folder in place of a shared one, for a local master only."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared checkpoint folder.
 
@@ -42,5 +49,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(named or local_folder(spark))
     return df.checkpoint(eager=True)

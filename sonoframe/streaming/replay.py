@@ -1,22 +1,21 @@
 """Running stored rows through the stream operators."""
 
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonoframe.operators.frames import replay_frames
+from sonoframe.session import local_folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder of the session."""
-    import tempfile
-    import uuid
-
     context = spark.sparkContext
     root = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
     if root is None:  # only without a configured cluster folder, as in tests
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = local_folder(spark)
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -34,12 +33,22 @@ def frames_with_end(series: DataFrame, frame_ms: int = 20, *, key: str = "stream
         F.col(key).cast("string").alias("stream_id"), "session_id", "sample_rate", "ts", "ts_ms", "samples", "is_end")
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> None:
-    """Process everything the source has now into Parquet and stop."""
-    query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
+    """Process everything the source has now into Parquet and stop; keyed state lives in RocksDB."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode(mode).trigger(availableNow=True).start()
+        )
+    finally:
+        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
     query.awaitTermination()
 
 

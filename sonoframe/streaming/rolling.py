@@ -1,9 +1,12 @@
 """Stateful stream operators, one state per stream key.
 
 Micro-batches may deliver rows out of order, and every fold here depends on the
-order.  So each operator holds rows back until the watermark has passed them and
-then folds them by time; rows older than the watermark are dropped by Spark.  A row
-with ``is_end`` set releases what is held and erases the state of its key.
+order.  So each operator keeps rows in a list state until the watermark has passed them,
+then a timer folds them by time and tie-break; rows older than the watermark are dropped by Spark.
+A row with ``is_end`` set releases what is held and erases the state of its key, and so does
+a timer where a key has been silent for ``erase_after_ms``.
+
+Queries over these operators need the RocksDB state store; ``replay.run_available`` sets it.
 """
 
 from collections.abc import Callable, Iterator
@@ -12,124 +15,133 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
 
+def _plain(value):
+    """The value as the state store takes it: no arrays, no NaN for a missing one."""
+    if isinstance(value, np.ndarray):
+        return value.tolist()
+    return None if isinstance(value, float) and value != value else value
 
-def _held_rows(state, batches, columns: list[str]) -> pd.DataFrame:
-    """Rows kept from earlier batches followed by the new ones, in time order."""
-    frames = [b[columns] for b in batches]
-    if state is not None:
-        frames.insert(0, pd.DataFrame(dict(zip(columns, state))))
-    if not frames:
-        return pd.DataFrame(columns=columns)
-    return pd.concat(frames, ignore_index=True).sort_values("ts_ms", kind="stable", ignore_index=True)
 
+class OrderedFold(StatefulProcessor):
+    """Fold the rows of a key in the order of ``(ts_ms, tie)`` once the watermark has passed them.
 
-def _wait(state: GroupState, rest: pd.DataFrame, watermark: int) -> None:
-    state.setTimeoutTimestamp(max(watermark + 1, int(rest["ts_ms"].iloc[0]) if len(rest) else watermark + 1))
+    ``step(state, row)`` takes the state as a tuple, None at first, and a held row ``(ts_ms, tie, value, is_end)``; it returns the new
+    state and what to emit, or None.  State per key: the fold's own value, the rows still inside the watermark delay, the last time seen.
+    """
 
+    def __init__(self, step: Callable, value_type: str, state_type: str, emitted: list[str], keys: list[str], erase_after_ms: int | None):
+        self.step, self.emitted, self.keys, self.erase_after_ms = step, emitted, keys, erase_after_ms
+        self.held_type = f"ts_ms long, tie long, value {value_type}, is_end boolean"
+        self.state_type = state_type + ", last_ts long"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_type)
+        self.value = handle.getValueState("value", self.state_type)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [tuple(r) for frame in rows for r in zip(*[frame[c].tolist() for c in ("ts_ms", "tie", "value", "is_end")])]
+        new = [(int(t), int(tie), _plain(v), bool(end)) for t, tie, v, end in new]
+        if any(end for *_, end in new):
+            yield from self._folded(key, (list(self.held.get()) if self.held.exists() else []) + new, erase=True)
+        elif new:
+            self.held.appendList(new)
+            self.handle.registerTimer(min(t for t, *_ in new))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.held.get()) if self.held.exists() else []
+        ready, rest = [r for r in rows if r[0] <= watermark], [r for r in rows if r[0] > watermark]
+        if ready:
+            if rest:
+                self.held.put(rest)
+                self.handle.registerTimer(min(r[0] for r in rest))
+            else:
+                self.held.clear()
+            yield from self._folded(key, ready)
+        elif not rest and self.erase_after_ms is not None and self.value.exists() and self.value.get()[-1] + self.erase_after_ms <= watermark:
+            self.value.clear()
+
+    def _folded(self, key, rows, erase: bool = False) -> Iterator[pd.DataFrame]:
+        state = tuple(self.value.get())[:-1] if self.value.exists() else None
+        rows, out = sorted(rows, key=lambda r: (r[0], r[3], r[1])), []
+        for row in rows:
+            state, emitted = (None, None) if row[3] else self.step(state, row)
+            if emitted is not None:
+                out.append(emitted)
+        if erase:
+            self.held.clear()
+        if state is None:
+            self.value.clear()
+        else:
+            self.value.update((*state, int(rows[-1][0])))
+            if self.erase_after_ms is not None:
+                self.handle.registerTimer(int(rows[-1][0]) + self.erase_after_ms)
+        if out:
+            columns = dict(zip(self.emitted, zip(*out)))
+            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(self.keys, key)}, **{c: list(v) for c, v in columns.items()}})
 
-def _keys(columns: list[str], row: tuple) -> dict:
-    return dict(zip(columns, row))
+    def close(self) -> None:
+        pass
+
+
+def _folded(stream: DataFrame, processor: OrderedFold, keys: list[str], ts: str, tie: str | None, value: str, output: str, delay: str) -> DataFrame:
+    tied = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
+    rows = stream.select(*keys, F.col(ts).alias("ts"), "ts_ms", F.coalesce(tied, F.lit(0).cast("long")).alias("tie"), F.col(value).alias("value"), F.coalesce("is_end", F.lit(False)).alias("is_end"))
+    return rows.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime")
 
 
 def rolling_windows(
     stream: DataFrame, window: int, interval_ms: int, *, keys: tuple[str, ...] = ("stream_id", "session_id"),
-    ts: str = "ts", delay: str = "2 seconds",
+    ts: str = "ts", tie: str | None = None, delay: str = "2 seconds", erase_after_ms: int | None = None,
 ) -> DataFrame:
     """Last ``window`` samples of each key, emitted at least ``interval_ms`` apart.
 
     Nothing is emitted before the window is full.  State per key is the window plus the
     rows still inside the watermark delay.  Input: key columns, event time ``ts``,
-    ``ts_ms``, ``samples`` and ``is_end``.
+    ``ts_ms``, ``samples`` and ``is_end``; ``tie`` orders rows of one instant.
     """
     keys = list(keys)
-    columns = ["ts_ms", "samples", "is_end"]
-    output = ", ".join(f"{k} string" for k in keys) + ", ts_ms long, samples array<float>"
-    kept = "held_ts array<long>, held_samples array<array<float>>, held_end array<boolean>, window array<float>, last_emit long"
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        rows = _held_rows(old[:3] if old else None, [] if state.hasTimedOut else batches, columns)
-        tail = np.asarray(old[3] if old else [], dtype=np.float32)
-        last = old[4] if old and old[4] >= 0 else None
-        watermark = state.getCurrentWatermarkMs()
-        ended = bool(rows["is_end"].fillna(False).any()) if len(rows) else False
-        ready = rows if ended else rows[rows["ts_ms"] <= watermark]
-        out = []
-        for now, samples, is_end in zip(ready["ts_ms"], ready["samples"], ready["is_end"]):
-            if samples is not None and len(samples):
-                tail = np.concatenate([tail, np.asarray(samples, dtype=np.float32)])[-window:]
-            if is_end:
-                tail, last = tail[:0], None
-            elif len(tail) == window and (last is None or now - last >= interval_ms):
-                last = int(now)
-                out.append((last, tail))
-        rest = rows.iloc[len(ready):]
-        if ended:
-            state.remove()
-        else:
-            state.update((
-                [int(v) for v in rest["ts_ms"]], [[float(x) for x in v] for v in rest["samples"]],
-                [bool(v) for v in rest["is_end"]], [float(x) for x in tail], -1 if last is None else last))
-            if len(rest):
-                _wait(state, rest, watermark)
-        if out:
-            yield pd.DataFrame({**{k: [v] * len(out) for k, v in _keys(keys, key).items()},
-                                "ts_ms": [o[0] for o in out], "samples": [o[1] for o in out]})
 
+    def step(state, row):
+        tail, last = state if state is not None else ([], -1)
+        now, samples = row[0], row[2]
+        if samples is not None and len(samples):
+            tail = np.concatenate([np.asarray(tail, np.float32), np.asarray(samples, np.float32)])[-window:].tolist()
+        due = len(tail) == window and (last < 0 or now - last >= interval_ms)
+        return (tail, now if due else last), ((now, tail) if due else None)
+
+    fold = OrderedFold(step, "array<float>", "tail array<float>, last_emit long", ["ts_ms", "samples"], keys, erase_after_ms)
+    output = ", ".join(f"{k} string" for k in keys) + ", ts_ms long, samples array<float>"
     # the filter makes Spark hand compact rows to whatever Arrow step follows
-    return stream.withWatermark(ts, delay).groupBy(*keys).applyInPandasWithState(
-        fold, output, kept, "append", GroupStateTimeout.EventTimeTimeout).filter(F.size("samples") == window)
+    return _folded(stream, fold, keys, ts, tie, "samples", output, delay).filter(F.size("samples") == window)
 
 
 def smooth_stream(
     stream: DataFrame, *, label: str = "candidate_emotion", keys: tuple[str, ...] = ("stream_id", "session_id"),
-    ts: str = "ts", delay: str = "2 seconds",
+    ts: str = "ts", tie: str | None = None, delay: str = "2 seconds", erase_after_ms: int | None = None,
 ) -> DataFrame:
     """Label hysteresis on a stream of updates; a NULL label resets the key's state.
 
     State per key: at most three recent labels, the shown label, and held rows.
     """
     keys = list(keys)
-    columns = ["ts_ms", "label", "is_end"]
-    output = ", ".join(f"{k} string" for k in keys) + ", ts_ms long, label string, smoothed string"
-    kept = "held_ts array<long>, held_label array<string>, held_end array<boolean>, recent array<string>, shown string"
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        rows = _held_rows(old[:3] if old else None, [] if state.hasTimedOut else batches, columns)
-        recent, shown = (list(old[3]), old[4]) if old else ([], None)
-        watermark = state.getCurrentWatermarkMs()
-        ended = bool(rows["is_end"].fillna(False).any()) if len(rows) else False
-        ready = rows if ended else rows[rows["ts_ms"] <= watermark]
-        out = []
-        for now, value, is_end in zip(ready["ts_ms"], ready["label"], ready["is_end"]):
-            if is_end:
-                recent, shown = [], None
-                continue
-            if value is None or pd.isna(value):
-                recent, shown = [], None
-            else:
-                recent = (recent + [value])[-3:]
-                shown = value if shown is None or recent.count(value) >= 2 else shown
-            out.append((int(now), None if value is None or pd.isna(value) else value, shown))
-        rest = rows.iloc[len(ready):]
-        if ended:
-            state.remove()
-        else:
-            state.update(([int(v) for v in rest["ts_ms"]], [None if pd.isna(v) else v for v in rest["label"]],
-                          [bool(v) for v in rest["is_end"]], recent, shown))
-            if len(rest):
-                _wait(state, rest, watermark)
-        if out:
-            yield pd.DataFrame({**{k: [v] * len(out) for k, v in _keys(keys, key).items()},
-                                "ts_ms": [o[0] for o in out], "label": [o[1] for o in out], "smoothed": [o[2] for o in out]})
 
-    return (
-        stream.withColumn("label", F.col(label)).withWatermark(ts, delay).groupBy(*keys)
-        .applyInPandasWithState(fold, output, kept, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    def step(state, row):
+        recent, shown = state if state is not None else ([], None)
+        if row[2] is None:
+            return ([], None), (row[0], None, None)
+        recent = [*recent, row[2]][-3:]
+        shown = row[2] if shown is None or recent.count(row[2]) >= 2 else shown
+        return (recent, shown), (row[0], row[2], shown)
+
+    fold = OrderedFold(step, "string", "recent array<string>, shown string", ["ts_ms", "label", "smoothed"], keys, erase_after_ms)
+    output = ", ".join(f"{k} string" for k in keys) + ", ts_ms long, label string, smoothed string"
+    return _folded(stream, fold, keys, ts, tie, label, output, delay)
 
 
 def drop_stale_sessions(df: DataFrame, sessions: DataFrame, key: str = "stream_id") -> DataFrame:
