@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.llm.components import components
-from sonoframe.llm.shared import attach, checked_columns, pieces, stored
+from sonoframe.llm.shared import attach, checked_columns, forget, pieces, stored
 
 SHINGLE = 8          # characters
 SIMILARITY = 0.8     # exact Jaccard similarity of the shingle sets
@@ -15,6 +15,7 @@ MIN_WORDS = 1        # every line with a word takes part
 BANDS, ROWS = 12, 4  # at similarity 0.8 all bands miss 0.2 % of the pairs, at 0.85 0.01 %
 AGREEING = 30        # of one bit from each of the 48 minima: pairs at similarity 0.8 have 43 in the mean, 6e-8 of them fewer than this; unlike lines have 24
 HELD_SHINGLES = 400_000
+DENSE = 2_048        # lines of a bucket that are compared in one task; a larger bucket is cut into parts
 PIECE = 1 << 16      # characters hashed at a time; keeps the working arrays in cache
 
 _RANDOM = np.random.default_rng(20_240_607)
@@ -125,16 +126,19 @@ def place_of() -> Column:
 
 def _bucket_rows(batches, rows_of):
     """Whole buckets of rows (key, ...) sorted by key, as column arrays; a key never spans two partitions."""
-    held = None
+    held = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        end = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if end:
-            yield from rows_of([c[:end] for c in held])
-            held = [c[end:] for c in held]
-    if held is not None and len(held[0]):
-        yield from rows_of(held)
+        end = int(np.searchsorted(new[0], new[0][-1]))
+        if end or (held and held[-1][0][-1] != new[0][0]):
+            held.append([c[:end] for c in new])
+            yield from rows_of([np.concatenate(x) for x in zip(*held)])
+            held = []
+        held.append([c[end:] for c in new])
+    if held:
+        yield from rows_of([np.concatenate(x) for x in zip(*held)])
 
 
 def _centres(bits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -171,28 +175,75 @@ def _star_pairs(batches):
     yield from _bucket_rows(batches, rows_of)
 
 
-def _cross_pairs(batches):
-    """Pairs within a bucket between different components, but for those with its centre."""
+def _unsettled(batches):
+    """Kernel: the members of buckets (key, line, root, bits) that some member of another component resembles by its bits.
+
+    In a large bucket with several components all members are taken, without looking at pairs.
+    """
 
     def rows_of(columns):
-        keys, firsts, lines, groups, bits = columns
-        left, right, alive, step = [], [], np.arange(len(keys)), 1
+        keys, lines, roots, bits = columns
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        mixed = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+        wanted = np.repeat(mixed & (sizes > DENSE), sizes)
+        alive, step = np.flatnonzero(np.repeat(mixed & (sizes <= DENSE), sizes)), 1
         while True:
             alive = alive[alive + step < len(keys)]
             alive = alive[keys[alive] == keys[alive + step]]
             if not len(alive):
                 break
             i, j = alive, alive + step
-            apart = (groups[i] != groups[j]) & (lines[i] != firsts[i]) & (lines[j] != firsts[j]) & _alike(bits[i], bits[j])
-            left.append(lines[i][apart]), right.append(lines[j][apart])
+            apart = (roots[i] != roots[j]) & _alike(bits[i], bits[j])
+            wanted[i[apart]] = wanted[j[apart]] = True
             step += 1
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[wanted]) for c in columns], ["key", "line", "root", "bits"])
 
     yield from _bucket_rows(batches, rows_of)
 
 
+def _links_within(threshold: float):
+    """Kernel: links between the components of each bucket, from rows (key, side, line, root, bits, text) sorted by bucket.
+
+    A line is compared with all later ones of other components that its bits resemble, exactly and at once; a link joins two components, so a
+    bucket gives fewer links than it has lines.  Rows of side 1 are only compared with those of side 0, 2 with all.
+    """
+
+    def rows_of(columns):
+        keys, sides, lines, roots, bits, texts = columns
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        a, b = [], []
+        for first, last in zip(starts, np.append(starts[1:], len(keys))):
+            label = np.unique(roots[first:last], return_inverse=True)[1]
+            side, print_of, known = sides[first:last], bits[first:last], {}
+            columns_of = [np.fromiter([known.setdefault(x, len(known)) for x in shingles(t)], np.int64) for t in texts[first:last]]
+            size = np.array([len(c) for c in columns_of])
+            ends = np.cumsum(size)
+            flat, flag = np.concatenate(columns_of), np.zeros(len(known), np.int64)
+            for i in range(len(label) - 1):
+                later = np.arange(i + 1, len(label))
+                other = later[(label[later] != label[i]) & ((side[later] != side[i]) | (side[later] == 2)) & _alike(np.full(len(later), print_of[i]), print_of[later])
+                              & (np.minimum(size[later], size[i]) >= threshold * np.maximum(size[later], size[i]))]
+                if not len(other):
+                    continue
+                flag[columns_of[i]] = 1
+                if len(other) * 2 > len(later):
+                    both = np.add.reduceat(flag[flat[ends[i]:]], ends[i:-1] - ends[i])[other - i - 1]
+                else:
+                    both = np.array([flag[columns_of[j]].sum() for j in other])
+                flag[columns_of[i]] = 0
+                for j in other[both >= threshold * (size[i] + size[other] - both)]:
+                    if label[j] != label[i]:
+                        a.append(lines[first + i]), b.append(lines[first + j])
+                        label[label == label[j]] = label[i]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches):
+        yield from _bucket_rows(batches, rows_of)
+
+    return run
+
+
 def shingles(line: str) -> frozenset:
     return frozenset([line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))])
 
@@ -238,22 +289,53 @@ def _lines_at(min_words: int):
     return run
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, min_words: int, threshold: float) -> DataFrame:
-    """The pairs of line classes whose texts are similar; only documents that hold one of the lines give texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+def _texts(lines: DataFrame, rows: DataFrame, classes: DataFrame, min_words: int) -> DataFrame:
+    """``line, text`` of the wanted ``line`` column; only documents that hold one of the lines give texts."""
     place = F.col("first") % _number(2**31, 11)
     at = classes.select("line", "h1", "h2", place.cast("int").alias("pos"),
                         ((F.col("first") - place) / _number(2**31, 11) - _number(2**63, 20)).cast("long").alias("at_id"))
-    wanted = stored(at.join(ends, "line").groupBy("at_id").agg(F.collect_list(F.struct("pos", "line", "h1", "h2")).alias("wanted")))
+    wanted = stored(at.join(lines.select("line").distinct(), "line").groupBy("at_id").agg(F.collect_list(F.struct("pos", "line", "h1", "h2")).alias("wanted")))
     texts = stored(attach(rows, wanted, rows.doc_id == wanted.at_id, "inner").select("text", "wanted")
                    .mapInArrow(_lines_at(min_words), "line long, text string").dropDuplicates(["line"]))
+    forget(wanted)
+    return texts
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, min_words: int, threshold: float) -> DataFrame:
+    """The pairs of line classes whose texts are similar."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("line")), rows, classes, min_words)
     a = texts.select(F.col("line").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("line").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return stored(joined.mapInArrow(_similar(threshold), "a long, b long"))
+    links = stored(joined.mapInArrow(_similar(threshold), "a long, b long"))
+    forget(texts)
+    return links
 
 
-def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+def _within_buckets(unsettled: DataFrame, rows: DataFrame, classes: DataFrame, min_words: int, threshold: float, dense: int) -> DataFrame:
+    """Links inside buckets, found where the bucket's lines and texts are together; no pair leaves a bucket.
+
+    A bucket of more than ``dense`` lines is cut into parts of about that size, and each two of its parts meet in a task of their own.
+    """
+    texts = _texts(unsettled, rows, classes, min_words)
+    whole = attach(unsettled, texts, "line", "inner")
+    sizes = stored(unsettled.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > dense))
+    parts = F.coalesce(F.ceil(F.col("n") / dense), F.lit(1)).cast("int")
+    mine, other = F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"), F.col("other")
+    cut = attach(whole, sizes, "key").withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("mine", other), F.greatest("mine", other)
+    side = F.when(F.col("mine") == other, 2).when(F.col("mine") < other, 0).otherwise(1)
+    # key, and for the parts of a large one a key made of it and its two parts
+    key = F.when(F.col("parts") > 1, F.xxhash64("key", low, high)).otherwise(F.col("key"))
+    dealt = cut.select(key.alias("key"), side.alias("side"), "line", "root", "bits", "text").repartition("key").sortWithinPartitions("key", "line")
+    links = stored(dealt.mapInArrow(_links_within(threshold), "a long, b long"))
+    forget(texts), forget(sizes)
+    return links
+
+
+def line_groups(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, threshold: float = SIMILARITY, dense: int = DENSE,
+) -> DataFrame:
     """``h1, h2, kept``: the identity of every line class of which an occurrence has to go, and the place that stays.
 
     Lines equal up to case and white space form a class; classes link at the similarity threshold, and of each linked
@@ -269,19 +351,24 @@ def line_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     pairs = stored(star.filter("key is null").select("a", "b").distinct())
     links = _verified(pairs, rows, classes, min_words, threshold)
     roots = components(links)
-    members = star.filter("key is not null").select("key", F.col("a").alias("first_line"), F.col("b").alias("line"), "bits")
-    grouped = attach(members, roots, members.line == roots.node).select("key", "first_line", "line", F.coalesce("root", "line").alias("root"), "bits")
-    rest = grouped.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    further = stored(rest.join(pairs, ["a", "b"], "left_anti"))
-    if not further.isEmpty():
-        links = _verified(further, rows, classes, min_words, threshold)
-        roots = components(roots.toDF("a", "b").unionByName(links))
+    members = star.filter("key is not null").select("key", F.col("b").alias("line"), "bits")
+    grouped = attach(members, roots, members.line == roots.node).select("key", "line", F.coalesce("root", "line").alias("root"), "bits")
+    unsettled = stored(grouped.repartition("key").sortWithinPartitions("key", "line").mapInArrow(_unsettled, "key long, line long, root long, bits long"))
+    forget(pairs), forget(links)
+    if not unsettled.isEmpty():
+        links = _within_buckets(unsettled, rows, classes, min_words, threshold, dense)
+        earlier, roots = roots, components(roots.toDF("a", "b").unionByName(links))
+        forget(earlier), forget(links)
+    forget(star), forget(unsettled)
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = stored(members.join(classes.select("line", "h1", "h2", "first"), members.node == F.col("line")).select("root", "h1", "h2", "first"))
     kept = stored(linked.groupBy("root").agg(F.min("first").alias("kept")))
     of_linked = attach(linked, kept, "root", "inner").select("h1", "h2", "kept")
     alone = classes.join(members.select(F.col("node").alias("line")), "line", "left_anti").filter("n > 1")
-    return stored(of_linked.unionByName(alone.select("h1", "h2", F.col("first").alias("kept"))))
+    groups = stored(of_linked.unionByName(alone.select("h1", "h2", F.col("first").alias("kept"))))
+    for table in (roots, linked, kept, classes):
+        forget(table)
+    return groups
 
 
 def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, threshold: float = SIMILARITY) -> DataFrame:
@@ -289,23 +376,26 @@ def removed_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     groups = line_groups(docs, id_column, text_column, min_words, threshold)
     rows = checked_columns(docs, id_column, text_column).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = attach(rows.mapInArrow(_occurrences(min_words, False), _LINE), groups, ["h1", "h2"], "inner")
-    return stored(found.filter(place_of() != F.col("kept")).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed")))
+    removed = stored(found.filter(place_of() != F.col("kept")).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed")))
+    forget(groups)
+    return removed
 
 
 def _without(batches):
     for batch in pieces(batches):
         texts = []
-        for text, removed in zip(batch.column("text").to_pylist(), batch.column("_removed").to_pylist()):
+        for text, removed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if removed:
                 gone = set(removed)
                 text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
             texts.append(text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, pa.field("text", pa.string()), pa.array(texts, pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]], batch.schema.names)
 
 
-def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with repeated and nearly repeated lines taken out of the texts, and ``_removed``, their old positions.
+def dedup_lines(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_words: int = MIN_WORDS, threshold: float = SIMILARITY, *, to: str | None = None,
+) -> DataFrame:
+    """``docs`` with repeated and nearly repeated lines taken out of the texts; with ``to``, a last column of that name holds their old positions.
 
     Of lines that are equal or similar, directly or through others, the first in the corpus stays, by document id and
     position.  Similarity is the exact Jaccard similarity of 8-character shingle sets of the lower-cased line with single spaces;
@@ -316,6 +406,10 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     that go in one go in all.  A document may end empty; no row goes.  An empty table gives an empty result, and further
     columns pass through.
     """
-    gone = removed_lines(docs, id_column, text_column, min_words, threshold).toDF("_gone_id", "_removed")
-    kept = attach(docs, gone, docs[id_column] == gone["_gone_id"]).drop("_gone_id").withColumnRenamed(text_column, "text")
-    return kept.mapInArrow(_without, kept.schema).withColumnRenamed("text", text_column)
+    gone = removed_lines(docs, id_column, text_column, min_words, threshold)
+    beside = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns if c != text_column])  # as one column, so that no name can clash
+    rows = docs.select(F.col(f"`{text_column}`").cast("string").alias("text"), F.col(f"`{id_column}`").cast("long").alias("id"), beside.alias("row"))
+    kept = attach(rows, gone, rows["id"] == gone["doc_id"]).select("text", "removed", "row")
+    cleaned = kept.mapInArrow(_without, kept.schema)
+    columns = [F.col("text").alias(c) if c == text_column else F.col("row")[c].alias(c) for c in docs.columns]
+    return cleaned.select(*columns, *([] if to is None else [F.col("removed").alias(to)]))

@@ -22,8 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the text that is left, and the positions of its lines that went."""
-    cleaned = lines.dedup_lines(_table(spark, sf_dir, "documents"))
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
+    cleaned = lines.dedup_lines(_table(spark, sf_dir, "documents"), to="removed_at")
+    removed = F.coalesce("removed_at", F.array().cast("array<int>"))
     return cleaned.select("doc_id", "text", F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
 
 

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -123,7 +124,12 @@ def test_line_dedup_edge_cases(spark):
     near = passage.replace("many", "several", 1)
     rows = [(1, f"first\n{passage}\nlast"), (2, passage), (3, f"{near}\nown words of the third document which nobody else has"), (3, f"{near}\nown words of the third document which nobody else has")]
     docs = spark.createDataFrame([(i, t, None, None, 0, "x") for i, t in rows], DOCS + ", line string").unionByName(odd(spark).drop("label", "score").withColumn("line", F.lit("y")))
-    got = [(r["doc_id"], r["text"]) for r in lines.dedup_lines(docs).collect()]
+    docs = docs.withColumns({"_removed": F.lit(1), "removed": F.lit(2), "row": F.lit("z"), "id": F.lit(3)})
+    cleaned = lines.dedup_lines(docs)
+    assert cleaned.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in cleaned.collect()]
+    other = lines.dedup_lines(docs.withColumnRenamed("text", "body").withColumn("text", F.lit("other")), text_column="body")
+    assert sorted(((r["doc_id"], r["body"]) for r in other.collect()), key=repr) == sorted(got, key=repr)
     assert len(got) == 4 + len(ODD)
     assert (1, rows[0][1]) in got and (2, "") in got and got.count((3, "own words of the third document which nobody else has")) == 2
     assert [t for i, t in got if i is None] == [ODD[8][1]] and (1, None) in got
@@ -134,7 +140,7 @@ def test_line_dedup_takes_short_lines(spark):
     short = "Licensed under the Apache License, Version 2.0."
     other = "本软件按原样提供，不附带任何明示或暗示的保证，包括适销性。"
     rows = [(1, f"ok\n{short}\n{other}"), (2, f"{short.upper()}\nown\nOK"), (3, f"{other[:-1]}！\n\n  \nok then")]
-    got = {r["doc_id"]: (r["text"], r["_removed"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: (r["text"], r["gone"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), to="gone").collect()}
     assert got == {1: (rows[0][1], None), 2: ("own", [0, 2]), 3: ("\n  \nok then", [0])}
 
 
@@ -143,10 +149,34 @@ def test_bits_let_pairs_through():
     assert lines._alike(one, two).all()
 
 
-def test_buckets_verify_across_components():
-    keys, first = np.array([5, 5, 5, 6]), np.array([1, 1, 1, 9])
-    batch = __import__("pyarrow").RecordBatch.from_arrays([np.array(x) for x in (keys, first, [1, 2, 3, 9], [1, 1, 3, 9], [0, 0, 0, 0])], list("kflgb"))
-    assert [(a, b) for out in lines._cross_pairs([batch]) for a, b in zip(*[c.to_pylist() for c in out.columns])] == [(2, 3)]
+def test_buckets_are_settled_where_they_are():
+    batch = lambda names, *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+    far = (1 << 48) - 1
+    members = batch(list("klrb"), [4, 4, 5, 5, 5, 6, 7, 7], [8, 9, 1, 2, 3, 9, 5, 6], [8, 8, 1, 1, 3, 9, 5, 6], [0, 0, 0, 0, 0, 0, 0, far])
+    found = [r for out in lines._unsettled([members.slice(0, 3), members.slice(3)]) for r in zip(*[c.to_pylist() for c in out.columns])]
+    assert [r[1] for r in found] == [1, 2, 3]  # one component, or unlike bits: nothing to compare
+    base = "the quick brown fox jumps over the lazy dog and runs away into the dark forest again"
+    texts = [base, base.replace("quick", "quack"), "completely different words stand in this other line of text here", base.replace("lazy", "hazy"), base + "!"]
+    rows = batch(list("kslrbt"), [1] * 5, [2] * 5, [10, 11, 12, 13, 14], [10, 11, 12, 13, 10], [0] * 5, texts)
+    links = [r for out in lines._links_within(0.8)([rows]) for r in zip(*[c.to_pylist() for c in out.columns])]
+    sets = [lines.shingles(t) for t in texts]
+    near = {(10 + i, 10 + j) for i in range(5) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert {tuple(sorted(x, reverse=True)) for x in links} <= near and len(links) == 2
+    assert groups_of([*links, (10, 14)], range(10, 15)) == groups_of([*near, (10, 14)], range(10, 15))
+
+
+def test_a_large_bucket_is_cut_without_losing_links(spark):
+    random = np.random.default_rng(4)
+    words = [["alpha", "beta", "gamma", "delta"][i % 4] + str(i) for i in range(40)]
+    rows = []
+    for i in range(150):  # variants of one line, many of them too unlike to link
+        own = list(words)
+        for at in random.choice(40, random.integers(1, 4), replace=False):
+            own[at] = f"w{random.integers(0, 9)}x{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, cut = ({tuple(r) for r in lines.line_groups(docs, dense=dense).collect()} for dense in (2_048, 7))
+    assert whole == cut and len(whole) > 10
 
 
 @pytest.mark.parametrize("seed", range(5))
