@@ -14,7 +14,8 @@ SIMILARITY = 0.8     # exact Jaccard similarity of the shingle sets
 MIN_WORDS = 1        # every line with a word takes part
 BANDS, ROWS = 12, 4  # at similarity 0.8 all bands miss 0.2 % of the pairs, at 0.85 0.01 %
 AGREEING = 30        # of one bit from each of the 48 minima: pairs at similarity 0.8 have 43 in the mean, 6e-8 of them fewer than this; unlike lines have 24
-HELD_SHINGLES = 400_000
+PAIRS = 512          # pairs of lines compared at a time
+FEW = 64             # up to so many lines of a bucket are compared together with those of other buckets
 DENSE = 2_048        # lines of a bucket that are compared in one task; a larger bucket is cut into parts
 PIECE = 1 << 16      # characters hashed at a time; keeps the working arrays in cache
 
@@ -205,37 +206,62 @@ def _unsettled(batches):
 def _links_within(threshold: float):
     """Kernel: links between the components of each bucket, from rows (key, side, line, root, bits, text) sorted by bucket.
 
-    A line is compared with all later ones of other components that its bits resemble, exactly and at once; a link joins two components, so a
-    bucket gives fewer links than it has lines.  Rows of side 1 are only compared with those of side 0, 2 with all.
+    A line is compared with all later ones of other components that its bits resemble, exactly and at once.  Large buckets are
+    settled line by line, and a link joins two components there, so it has fewer links than lines.  Rows of side 1 are only compared
+    with those of side 0, those of side 2 with all.
     """
 
+    def large(sides, lines, roots, bits, texts):
+        label, known = np.unique(roots, return_inverse=True)[1], {}
+        columns_of = [np.fromiter([known.setdefault(x, len(known)) for x in shingles(t)], np.int64) for t in texts]
+        size = np.array([len(c) for c in columns_of])
+        ends = np.cumsum(size)
+        flat, flag = np.concatenate(columns_of), np.zeros(len(known), np.int64)
+        for i in range(len(label) - 1):
+            later = np.arange(i + 1, len(label))
+            other = later[(label[later] != label[i]) & ((sides[later] != sides[i]) | (sides[later] == 2)) & _alike(np.full(len(later), bits[i]), bits[later])
+                          & (np.minimum(size[later], size[i]) >= threshold * np.maximum(size[later], size[i]))]
+            if not len(other):
+                continue
+            flag[columns_of[i]] = 1
+            if len(other) * 2 > len(later):
+                both = np.add.reduceat(flag[flat[ends[i]:]], ends[i:-1] - ends[i])[other - i - 1]
+            else:
+                both = np.array([flag[columns_of[j]].sum() for j in other])
+            flag[columns_of[i]] = 0
+            for j in other[both >= threshold * (size[i] + size[other] - both)]:
+                if label[j] != label[i]:
+                    yield lines[i], lines[j]
+                    label[label == label[j]] = label[i]
+
+    def small(keys, lines, roots, bits, texts):
+        alive, step, pairs = np.arange(len(keys)), 1, []
+        while True:
+            alive = alive[alive + step < len(keys)]
+            alive = alive[keys[alive] == keys[alive + step]]
+            if not len(alive):
+                break
+            i, j = alive, alive + step
+            apart = (roots[i] != roots[j]) & _alike(bits[i], bits[j])
+            pairs.append(np.stack([i[apart], j[apart]]))
+            step += 1
+        left, right = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        for at in range(0, len(left), PAIRS):
+            of, place = np.unique(np.concatenate([left[at:at + PAIRS], right[at:at + PAIRS]]), return_inverse=True)
+            i, j = place.reshape(2, -1)
+            near = similar_pairs([texts[k] for k in of], i, j, threshold)
+            yield from zip(lines[of[i[near]]], lines[of[j[near]]])
+
     def rows_of(columns):
         keys, sides, lines, roots, bits, texts = columns
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        a, b = [], []
-        for first, last in zip(starts, np.append(starts[1:], len(keys))):
-            label = np.unique(roots[first:last], return_inverse=True)[1]
-            side, print_of, known = sides[first:last], bits[first:last], {}
-            columns_of = [np.fromiter([known.setdefault(x, len(known)) for x in shingles(t)], np.int64) for t in texts[first:last]]
-            size = np.array([len(c) for c in columns_of])
-            ends = np.cumsum(size)
-            flat, flag = np.concatenate(columns_of), np.zeros(len(known), np.int64)
-            for i in range(len(label) - 1):
-                later = np.arange(i + 1, len(label))
-                other = later[(label[later] != label[i]) & ((side[later] != side[i]) | (side[later] == 2)) & _alike(np.full(len(later), print_of[i]), print_of[later])
-                              & (np.minimum(size[later], size[i]) >= threshold * np.maximum(size[later], size[i]))]
-                if not len(other):
-                    continue
-                flag[columns_of[i]] = 1
-                if len(other) * 2 > len(later):
-                    both = np.add.reduceat(flag[flat[ends[i]:]], ends[i:-1] - ends[i])[other - i - 1]
-                else:
-                    both = np.array([flag[columns_of[j]].sum() for j in other])
-                flag[columns_of[i]] = 0
-                for j in other[both >= threshold * (size[i] + size[other] - both)]:
-                    if label[j] != label[i]:
-                        a.append(lines[first + i]), b.append(lines[first + j])
-                        label[label == label[j]] = label[i]
+        sizes = np.diff(np.append(starts, len(keys)))
+        few = np.repeat((sizes <= FEW) & (sides[starts] == 2), sizes)
+        found = list(small(*[c[few] for c in (keys, lines, roots, bits, texts)]))
+        for first, last in zip(starts, starts + sizes):
+            if not few[first]:
+                found += large(*[c[first:last] for c in (sides, lines, roots, bits, texts)])
+        a, b = zip(*found) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches):
@@ -244,6 +270,45 @@ def _links_within(threshold: float):
     return run
 
 
+def similar_pairs(texts: list[str], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs of texts, given by their places (4,096 texts at most), have shingle sets of the wanted similarity.
+
+    The sets are counted over 52-bit hashes of the shingles, all texts at once; a pair within two shingles of the threshold is
+    counted again over the shingles themselves.
+    """
+    if not len(left):
+        return np.zeros(0, bool)
+    padded = [t.ljust(SHINGLE, "\0") for t in texts]
+    chars = np.frombuffer(("".join(padded) + "\0" * SHINGLE).encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashes, width = chars.astype(np.uint64) * _MIX[0], 1
+    while width < SHINGLE:
+        hashes = hashes[:-width] * _MIX[1] + hashes[width:]
+        hashes ^= hashes >> np.uint64(31)
+        width *= 2
+    lengths = np.array([len(t) for t in padded])
+    whole = np.repeat(lengths - SHINGLE + 1 + np.cumsum(lengths) - lengths, lengths)  # where the next text would be entered
+    at = np.arange(lengths.sum())
+    within = at < whole
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)[within] << np.uint64(52)
+    sets = np.sort(owner | (hashes[:len(at)][within] * _MIX[2] >> np.uint64(12)))
+    sets = sets[np.concatenate([[True], sets[1:] != sets[:-1]])]
+    size = np.bincount((sets >> np.uint64(52)).astype(np.int64), minlength=len(texts))
+    first = np.cumsum(size) - size
+    swap = size[left] > size[right]
+    one, two = np.where(swap, right, left), np.where(swap, left, right)
+    ends = np.cumsum(size[one])
+    place = np.arange(ends[-1]) + np.repeat(first[one] - (ends - size[one]), size[one])
+    wanted = (sets[place] & np.uint64((1 << 52) - 1)) | (np.repeat(two, size[one]).astype(np.uint64) << np.uint64(52))
+    hit = sets[np.minimum(np.searchsorted(sets, wanted), len(sets) - 1)] == wanted
+    both = np.add.reduceat(hit.astype(np.int64), ends - size[one])
+    over = both - threshold * (size[left] + size[right] - both)
+    near = over >= 0
+    for k in np.flatnonzero(np.abs(over) <= 4):  # a shingle more or less in both sets moves this by two at most
+        a, b = shingles(texts[left[k]]), shingles(texts[right[k]])
+        near[k] = len(a & b) >= threshold * (len(a) + len(b) - len(a & b))
+    return near
+
+
 def shingles(line: str) -> frozenset:
     return frozenset([line[i:i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))])
 
@@ -252,22 +317,15 @@ def _similar(threshold: float):
     """Kernel: keep the pairs (a, b, text_a, text_b) whose shingle sets reach the threshold."""
 
     def run(batches):
-        known, held = {}, 0  # shingle sets of lines that are likely to come again
-        for batch in pieces(batches):
-            a, b = [], []
-            for x, y, s, t in zip(*[c.to_pylist() for c in batch.columns]):
-                if held > HELD_SHINGLES:
-                    known.clear()
-                    held = 0
-                for line, text in ((x, s), (y, t)):
-                    if line not in known:
-                        known[line] = shingles(text)
-                        held += len(known[line])
-                one, two = known[x], known[y]
-                both = len(one & two)
-                if both >= threshold * (len(one) + len(two) - both):
-                    a.append(x), b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for batch in pieces(batches, PAIRS):
+            a, b, text_a, text_b = [c.to_pylist() for c in batch.columns]
+            place, texts = {}, []
+            for line, text in zip(a + b, text_a + text_b):
+                if line not in place:
+                    place[line] = len(texts)
+                    texts.append(text)
+            near = similar_pairs(texts, np.array([place[x] for x in a], np.int64), np.array([place[x] for x in b], np.int64), threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return run
 

@@ -149,7 +149,7 @@ def test_bits_let_pairs_through():
     assert lines._alike(one, two).all()
 
 
-def test_buckets_are_settled_where_they_are():
+def test_buckets_are_settled_where_they_are(monkeypatch):
     batch = lambda names, *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
     far = (1 << 48) - 1
     members = batch(list("klrb"), [4, 4, 5, 5, 5, 6, 7, 7], [8, 9, 1, 2, 3, 9, 5, 6], [8, 8, 1, 1, 3, 9, 5, 6], [0, 0, 0, 0, 0, 0, 0, far])
@@ -158,13 +158,35 @@ def test_buckets_are_settled_where_they_are():
     base = "the quick brown fox jumps over the lazy dog and runs away into the dark forest again"
     texts = [base, base.replace("quick", "quack"), "completely different words stand in this other line of text here", base.replace("lazy", "hazy"), base + "!"]
     rows = batch(list("kslrbt"), [1] * 5, [2] * 5, [10, 11, 12, 13, 14], [10, 11, 12, 13, 10], [0] * 5, texts)
-    links = [r for out in lines._links_within(0.8)([rows]) for r in zip(*[c.to_pylist() for c in out.columns])]
+    for few in (64, 2):
+        monkeypatch.setattr(lines, "FEW", few)
+        links = [r for out in lines._links_within(0.8)([rows]) for r in zip(*[c.to_pylist() for c in out.columns])]
+        compare(links, texts)
+
+
+def compare(links, texts):
     sets = [lines.shingles(t) for t in texts]
     near = {(10 + i, 10 + j) for i in range(5) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    assert {tuple(sorted(x, reverse=True)) for x in links} <= near and len(links) == 2
+    assert {tuple(sorted(x, reverse=True)) for x in links} <= near and len(links) >= 2
     assert groups_of([*links, (10, 14)], range(10, 15)) == groups_of([*near, (10, 14)], range(10, 15))
 
 
+def test_pairs_compared_at_once_equal_sets():
+    random = np.random.default_rng(6)
+    texts = ["", "a", "aé本", "x" * 3_000, "本软件按原样提供，不附带任何明示或暗示的保证"]
+    for _ in range(60):
+        base = list(random.choice(list("abcdé 本"), random.integers(1, 120)))
+        texts += ["".join(base)]
+        for _ in range(random.integers(0, 4)):
+            base[random.integers(0, len(base))] = random.choice(list("xyz"))
+            texts.append("".join(base))
+    left, right = map(np.array, zip(*[(i, j) for i in range(len(texts)) for j in range(i)]))
+    sets = [lines.shingles(t) for t in texts]
+    want = [len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(left, right)]
+    assert lines.similar_pairs(texts, left, right, 0.8).tolist() == want and sum(want) > 20
+    assert len(lines.similar_pairs([], np.zeros(0, np.int64), np.zeros(0, np.int64), 0.8)) == 0
+
+
 def test_a_large_bucket_is_cut_without_losing_links(spark):
     random = np.random.default_rng(4)
     words = [["alpha", "beta", "gamma", "delta"][i % 4] + str(i) for i in range(40)]
