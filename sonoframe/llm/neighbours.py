@@ -131,4 +131,4 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, factor: float = FACT
                     start.add(at + i, seed_ids[j], (away + slack(queries[at:at + 512], seeds))[i, j])
             block = spark.sparkContext.broadcast((query_ids, queries, start.bound))
             found.append(index.mapInArrow(_search(block, k, factor), FOUND))
-    return ranked(reduce(DataFrame.unionByName, found), k, F.min("score"))
+    return ranked(reduce(DataFrame.unionByName, found), k)

@@ -9,19 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe.llm.shared import stored
-from sonoframe.llm.vectors import FOUND, SEEDS, Best, collected, matrix, query_blocks, ranked, valid_vectors
+from sonoframe.llm.vectors import SEEDS, Best, collected, matrix, query_blocks, ranked, valid_vectors
 
 HEAD = 16          # rotated components summed before the residual bound is asked
 PIECE = 2_048      # candidates compared at a time
 EXACT = 2.0**52    # products below are exact in double precision
+PRODUCTS = "query_id long, vec_id long, score long"
+
+
+def _floor(x: Column) -> Column:
+    """Floor of a double as a double; one of 2^52 and more is whole, and may be beyond every long."""
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(F.least(F.greatest(x, F.lit(-1e308)), F.lit(1e308)))
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole-number vectors, exact; beyond double precision by Python integers, held to 64 bits."""
+    """Inner products of whole-number vectors as 64-bit integers, exact; beyond double precision by Python integers, held to 63 bits and sign."""
     if np.linalg.norm(a, axis=1).max(initial=0) * np.linalg.norm(b, axis=1).max(initial=0) < EXACT:
-        return a @ b.T
+        return np.rint(a @ b.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-    return np.clip(whole(a) @ whole(b).T, -(2**63), 2**63 - 1)
+    return np.clip(whole(a) @ whole(b).T, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 def _gram(batches):
@@ -42,7 +48,8 @@ def _added(rows: pd.DataFrame) -> pd.DataFrame:
 def rotation(rows: DataFrame) -> np.ndarray:
     """Right singular vectors of all vectors, strongest first, from sums added up by partition; dimensions squared in size."""
     sums = rows.select("v").mapInArrow(_gram, "i int, sums array<double>").groupBy("i").applyInPandas(_added, "i int, sums array<double>").orderBy("i").collect()
-    return np.linalg.eigh(np.array([r["sums"] for r in sums]))[1][:, ::-1]
+    sums = np.array([r["sums"] for r in sums])
+    return np.linalg.eigh(sums)[1][:, ::-1] if np.isfinite(sums).all() else np.eye(len(sums))
 
 
 def _search(block, k: int):
@@ -51,24 +58,26 @@ def _search(block, k: int):
     def run(batches):
         query_ids, queries, turned, bound = block.value
         q_head, q_rest, q_norm = turned[:, :HEAD], np.linalg.norm(turned[:, HEAD:], axis=1), np.linalg.norm(queries, axis=1)
-        best = Best(len(queries), k, bound)
+        best = Best(len(queries), k, bound, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, PIECE):
                 batch = whole.slice(at, PIECE)
                 ids, v, z = batch.column(0).to_numpy(), matrix(batch.column(1)), matrix(batch.column(2))
                 norms = np.linalg.norm(v, axis=1)
                 slack = 1e-9 * q_norm * norms.max() + 1e-9
-                live = np.flatnonzero(q_norm * norms.max() + slack >= -best.bound)
+                live = np.flatnonzero(~(q_norm * norms.max() + slack < -best.bound))  # what no double can tell stays in
                 upper = q_head[live] @ z[:, :HEAD].T + np.outer(q_rest[live], np.linalg.norm(z[:, HEAD:], axis=1)) + slack[live][:, None]
-                may = upper >= -best.bound[live][:, None]
+                may = ~(upper < -best.bound[live][:, None])
                 may &= ids[None, :] != query_ids[live][:, None]
                 rows, columns = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
                 if not len(rows):
                     continue
                 scores = exact_products(queries[live[rows]], v[columns])
-                i, j = np.nonzero(may[np.ix_(rows, columns)] & (scores >= -best.bound[live[rows]][:, None]))
-                best.add(live[rows][i], ids[columns][j], -scores[i, j].astype(float))
-        yield best.batch(query_ids, -1.0)
+                least = -best.bound[live[rows]]
+                least = least - 1e-12 * np.where(np.isfinite(least), np.abs(least), 0)  # a bound is rounded to a double, scores are not
+                i, j = np.nonzero(may[np.ix_(rows, columns)] & (scores >= least[:, None]))
+                best.add(live[rows][i], ids[columns][j], -scores[i, j])
+        yield best.batch(query_ids, -1)
 
     return run
 
@@ -92,12 +101,12 @@ def top_products(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 2
 
     Null and empty vectors and those with null or non-finite components take no part, nor do rows with a null id.  Vectors only meet
     vectors of their size.  Ties go to the smaller id.  Rows that repeat an id count once, with the best score, and are no
-    candidates of their own id.  Scores stop at the ends of 64 bits.  An empty table gives an empty result; further columns
+    candidates of their own id.  Scores are exact in 64 bits and stop at their ends.  An empty table gives an empty result; further columns
     are not carried.
     """
     spark = rows.sparkSession
-    valid = valid_vectors(rows, id_column, vector_column, keep_zero=True).withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
-    found = [spark.createDataFrame([], FOUND)]
+    valid = valid_vectors(rows, id_column, vector_column, keep_zero=True).withColumn("v", F.transform("v", lambda x: _floor(x * scale)))
+    found = [spark.createDataFrame([], PRODUCTS)]
     for (size,) in valid.select(F.size("v")).distinct().collect():
         same = valid.filter(F.size("v") == size)
         turn = rotation(same)
@@ -106,11 +115,11 @@ def top_products(rows: DataFrame, is_query: Column, k: int = 5, scale: float = 2
         index = stored(dealt.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id"))
         seed_ids, seeds = collected(index.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v"))
         for query_ids, queries in query_blocks(index, is_query):
-            start = Best(len(queries), k, np.full(len(queries), np.inf))
+            start = Best(len(queries), k, np.full(len(queries), np.inf), np.int64)
             for at in range(0, len(queries), 512):
                 scores = exact_products(queries[at:at + 512], seeds)
                 i, j = np.nonzero(seed_ids[None, :] != query_ids[at:at + 512][:, None])
-                start.add(at + i, seed_ids[j], -scores[i, j].astype(float))
+                start.add(at + i, seed_ids[j], -scores[i, j])
             block = spark.sparkContext.broadcast((query_ids, queries, queries @ turn, start.bound))
-            found.append(index.select("vec_id", "v", "z").mapInArrow(_search(block, k), FOUND))
-    return ranked(reduce(DataFrame.unionByName, found), k, F.max("score")).withColumn("score", F.col("score").cast("long"))
+            found.append(index.select("vec_id", "v", "z").mapInArrow(_search(block, k), PRODUCTS))
+    return ranked(reduce(DataFrame.unionByName, found), k, largest_first=True)

@@ -39,11 +39,14 @@ def query_blocks(rows: DataFrame, is_query: Column):
 
 
 class Best:
-    """The k best (score, id) of every query so far, small scores first; an id counts once for a query."""
+    """The k best (score, id) of every query so far, small scores first; an id counts once for a query.
 
-    def __init__(self, n: int, k: int, bound: np.ndarray):
+    Scores are kept in the type given, ``bound`` as a double: whole scores beyond 2^53 are ordered exactly, their bounds are not.
+    """
+
+    def __init__(self, n: int, k: int, bound: np.ndarray, kind=np.float64):
         self.k, self.bound = k, bound.copy()
-        self.ids, self.s, self.n = np.zeros((n, k), np.int64), np.zeros((n, k)), np.zeros(n, np.int64)
+        self.ids, self.s, self.n = np.zeros((n, k), np.int64), np.zeros((n, k), kind), np.zeros(n, np.int64)
 
     def _held(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         there = np.arange(self.k) < self.n[rows][:, None]
@@ -69,7 +72,7 @@ class Best:
         full = rank == self.k - 1
         self.bound[q[full]] = np.minimum(self.bound[q[full]], s[full])
 
-    def batch(self, query_ids, sign: float) -> pa.RecordBatch:
+    def batch(self, query_ids, sign: int) -> pa.RecordBatch:
         q, ids, s = self._held(np.arange(len(self.n)))
         return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(sign * s)], ["query_id", "vec_id", "score"])
 
@@ -77,10 +80,9 @@ class Best:
 FOUND = "query_id long, vec_id long, score double"
 
 
-def ranked(found: DataFrame, k: int, best: Column) -> DataFrame:
+def ranked(found: DataFrame, k: int, *, largest_first: bool = False) -> DataFrame:
     """The k best of what the tasks found, at most k rows a query from each; ties to the smaller id."""
-    found = found.groupBy("query_id", "vec_id").agg(best.alias("score"))
-    largest_first = best._jc.toString().startswith("max")
+    found = found.groupBy("query_id", "vec_id").agg((F.max if largest_first else F.min)("score").alias("score"))
     order = F.desc("score") if largest_first else F.asc("score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -171,6 +171,22 @@ def compare(links, texts):
     assert groups_of([*links, (10, 14)], range(10, 15)) == groups_of([*near, (10, 14)], range(10, 15))
 
 
+@pytest.mark.parametrize("power", [52, 53, 59, 61, 80])
+def test_top_products_are_exact_beyond_doubles(spark, power):
+    """Products that differ in the last places only, with ties, against Python integers."""
+    random = np.random.default_rng(power)
+    half = 2.0 ** (power // 2 - 8)
+    rows = [(i, [half, half * 2 ** (power % 2), 1.0 / 256, float(random.integers(-6, 6)) / 256]) for i in range(200)] + [(900, [1e300, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [int(x * 256) if abs(x) > 1 else int(np.floor(x * 256)) for x in v] for i, v in rows}
+    held = lambda s: max(min(s, 2**63 - 1), 1 - 2**63)
+    want = set()
+    for q in range(0, 200, 50):
+        best = sorted((-held(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:5]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in topk.top_products(df, (F.col("vec_id") % 50 == 0) & (F.col("vec_id") < 200)).collect()} == want
+
+
 def test_pairs_compared_at_once_equal_sets():
     random = np.random.default_rng(6)
     texts = ["", "a", "aé本", "x" * 3_000, "本软件按原样提供，不附带任何明示或暗示的保证"]
