@@ -23,7 +23,7 @@ def judged(df: DataFrame, classes: Sequence[str], threshold: float) -> DataFrame
         df.withColumn("confidence", P.confidence("scores"))
         .withColumn("predicted", P.pick_class("scores", classes))
         .withColumn("accepted", F.coalesce(F.col("eligible"), F.lit(False)) & (F.col("confidence") >= threshold))
-        .withColumn("correct", F.col("predicted") == F.col("label"))
+        .withColumn("correct", F.col("predicted").eqNullSafe(F.col("label")) & F.col("label").isNotNull())  # an unknown truth is not met
     )
 
 
@@ -36,13 +36,13 @@ def selective_metrics(df: DataFrame, classes: Sequence[str], threshold: float, b
         (accepted / F.count("*")).alias("coverage"), (1.0 - accepted / F.count("*")).alias("rejection_rate"),
         errors.alias("accepted_error_count"),
         F.when(accepted > 0, errors / accepted).alias("accepted_error_rate"),
-        F.count_if(~F.col("label").isin(*classes)).alias("unsupported_truth_count"),
+        F.count_if(F.coalesce(~F.col("label").isin(*classes), F.lit(True))).alias("unsupported_truth_count"),
     )
 
 
 def unsupported(df: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows whose truth is outside the model's classes."""
-    return df.groupBy(*by).agg(F.count_if(~F.col("label").isin(*classes)).alias("unsupported_truth_count"))
+    return df.groupBy(*by).agg(F.count_if(F.coalesce(~F.col("label").isin(*classes), F.lit(True))).alias("unsupported_truth_count"))
 
 
 def cells(df: DataFrame, classes: Sequence[str], threshold: float, by: Sequence[str] = ()) -> DataFrame:
@@ -200,12 +200,12 @@ def aggregate_recordings(
         F.min("speaker_id").alias("speaker_id"), F.max("speaker_id").alias("_speaker2"),
         F.bool_or("eligible").alias("eligible"), F.count("*").alias("windows"),
         *[m.alias(f"_p{i}") for i, m in enumerate(means)])
-    single = (F.col("label") == F.col("_label2")) & (F.col("speaker_id") == F.col("_speaker2"))
+    single = F.col("label").eqNullSafe(F.col("_label2")) & F.col("speaker_id").eqNullSafe(F.col("_speaker2"))
     scores = F.array(*[F.coalesce(f"_p{i}", F.lit(1.0 / len(classes))) for i in range(len(classes))])
     out = grouped.withColumn("scores", scores)
     if strict:
-        out = out.withColumn("label", F.when(single, F.col("label")).otherwise(
-            F.raise_error(F.lit("one source recording must have one label and one speaker")).cast("string")))
+        # a filter, which no projection can prune
+        out = out.filter(F.when(single, F.lit(True)).otherwise(F.raise_error(F.lit("one source recording must have one label and one speaker")).cast("boolean")))
     else:
         out = out.withColumn("consistent", single)
     return out.drop("_label2", "_speaker2", *[f"_p{i}" for i in range(len(classes))])

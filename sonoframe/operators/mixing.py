@@ -234,28 +234,38 @@ def _number(value):
 # --- augmentation --------------------------------------------------------------------------
 def augment(
     train: DataFrame, *, order: Sequence[str] | str, seed: int = 42, snr_db: Sequence[float] = (),
-    backgrounds: DataFrame | None = None, background_snr_db: Sequence[float] = (), rooms: DataFrame | None = None,
+    backgrounds: DataFrame | None = None, background_snr_db: Sequence[float] = (), rooms: DataFrame | None = None, impossible: str = "raise",
 ) -> DataFrame:
     """Training rows plus their noisy copies, with ``augmentation`` naming each copy.
 
     ``backgrounds`` has ``noise_type, source_idx, source_samples``; ``rooms`` has
     ``source_idx, source_samples``.  Sources are dealt round robin in the order of
     the training rows.  Call it on the training split only.  Runs jobs.
+
+    A mix that is impossible, for silence, broken samples or unequal rates (``sample_rate`` beside ``source_rate``, where both are there),
+    fails the job, as an experiment on fewer copies than asked for would be another one.  With ``impossible="reject"`` such copies stay
+    with NULL samples and ``MIX_INVALID`` in the last column ``reason``, to be counted and left out.
     """
+    if impossible not in ("raise", "reject"):
+        raise ValueError("impossible mixes are raised or rejected")
     for value in (*snr_db, *background_snr_db):
         if not SNR_RANGE_DB[0] <= value <= SNR_RANGE_DB[1]:
             raise ValueError("augmentation SNR must be within [-20, 60] dB")
     keys = [order] if isinstance(order, str) else list(order)
     columns = [*train.columns, "augmentation"]
     parts = [train.withColumn("augmentation", F.lit("original"))]
+
+    def copied(df: DataFrame, mixed: Column, name: Column) -> DataFrame:
+        if "source_rate" in df.columns and "sample_rate" in df.columns:
+            mixed = F.when(F.col("source_rate").eqNullSafe(F.col("sample_rate")), mixed)
+        return df.withColumn("samples", mixed).withColumn("augmentation", name).select(*columns)
+
     if snr_db:
         indexed = train.join(global_index(train.select(*keys), keys, "row_index"), keys)
         grid = [(f"{v:g}dB", "white", float(v), None, i) for i, v in enumerate(snr_db)]
         noisy = with_conditions(indexed, grid).withColumn(
             "_seed", F.lit(seed) + 1009 * (F.col("rir_index") + 1) + F.col("row_index"))
-        parts.append(
-            noisy.withColumn("samples", mix("white", "samples", None, "level_db", "_seed"))
-            .withColumn("augmentation", F.col("condition")).select(*columns))
+        parts.append(copied(noisy, mix("white", "samples", None, "level_db", "_seed"), F.col("condition")))
     if background_snr_db:
         kinds = [] if backgrounds is None else [
             r["noise_type"] for r in backgrounds.groupBy("noise_type").agg(F.count("*").alias("n")).orderBy("noise_type").collect()]
@@ -265,15 +275,19 @@ def augment(
             paired = assign_round_robin(train, backgrounds.filter(F.col("noise_type") == kind).drop("noise_type"), keys)
             grid = [(f"{kind}@{v:g}dB", "background", float(v), None, None) for v in background_snr_db]
             noisy = with_conditions(paired, grid)
-            parts.append(
-                noisy.withColumn("samples", mix("background", "samples", "source_samples", "level_db"))
-                .withColumn("augmentation", F.col("condition")).select(*columns))
+            parts.append(copied(noisy, mix("background", "samples", "source_samples", "level_db"), F.col("condition")))
     if rooms is not None:
         paired = assign_round_robin(train, rooms, keys)
-        parts.append(
-            paired.withColumn("samples", mix("reverb", "samples", "source_samples"))
-            .withColumn("augmentation", F.lit("reverb")).select(*columns))
-    out = parts[0]
+        parts.append(copied(paired, mix("reverb", "samples", "source_samples"), F.lit("reverb")))
+    out, copies = parts[0], None
     for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        copies = part if copies is None else copies.unionByName(part)
+    if impossible == "reject":
+        reason = F.when(F.col("samples").isNull(), "MIX_INVALID").alias("reason")
+        out = out.select("*", F.lit(None).cast("string").alias("reason"))
+        copies = None if copies is None else copies.select("*", reason)
+    elif copies is not None:
+        # a filter, which no projection can prune
+        copies = copies.filter(F.when(F.col("samples").isNotNull(), F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("impossible mix: "), F.col("augmentation"))).cast("boolean")))
+    return out if copies is None else out.unionByName(copies)

@@ -108,6 +108,9 @@ def scale(df: DataFrame, features: Sequence[str], means: Sequence[float], scales
     return df.withColumns({f: (F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(features, means, scales)})
 
 
+MAX_LOGISTIC_ROUNDS = 200
+
+
 # --- fitting --------------------------------------------------------------------------------
 def _summed(table: DataFrame, partial, size: int) -> np.ndarray:
     """Element-wise sum of one ``size``-long vector per Arrow batch, added up on the cluster."""
@@ -133,7 +136,8 @@ def fit_squared_hinge(
     ``table`` has ``x ARRAY<DOUBLE>``, ``y`` (class index) and ``w`` (weight).  The
     objective is strictly convex and smooth, so Newton steps reach the one optimum
     in a few rounds; a round is one pass that sums a gradient and a (features + 1)
-    squared matrix per class, for all classes together.
+    squared matrix per class, for all classes together.  The weights returned meet the
+    gradient condition ``tol``; a fit that does not get there raises.
     """
     d = n_features + 1
     width = d * d + d + 1
@@ -174,6 +178,8 @@ def fit_squared_hinge(
             settled = settled and np.linalg.norm(gradient) <= tol * max(1.0, loss[k])
         if settled:
             break
+    else:
+        raise RuntimeError(f"the linear machines did not settle in {max_rounds} rounds; scale the features or lower C")
     return weights[:, :-1], weights[:, -1]
 
 
@@ -201,8 +207,10 @@ def fit_linear(
             return weights.tolist(), intercepts.tolist()
         total = table.agg(F.sum("w")).first()[0]
         fitted = LogisticRegression(
-            labelCol="y", weightCol="w", family="multinomial", regParam=1.0 / (c * total), standardization=False, maxIter=200, tol=1e-7,
+            labelCol="y", weightCol="w", family="multinomial", regParam=1.0 / (c * total), standardization=False, maxIter=MAX_LOGISTIC_ROUNDS, tol=1e-7,
         ).fit(table.select(array_to_vector("x").alias("features"), "y", "w"))
+        if fitted.summary.totalIterations >= MAX_LOGISTIC_ROUNDS:
+            raise RuntimeError(f"the logistic model did not settle in {MAX_LOGISTIC_ROUNDS} rounds; scale the features or lower C")
         return fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist()
     finally:
         table.unpersist()
@@ -215,7 +223,7 @@ def fit_calibrator(
     """(slopes, intercepts) of one sigmoid per class on validation margins.  Runs jobs.
 
     Newton steps on the penalised log loss.  A round is one aggregation with six plain
-    sums per class, for all classes together.
+    sums per class, for all classes together.  A fit that does not meet ``tol`` raises.
     """
     counts = {r[label]: r["n"] for r in validation.groupBy(label).agg(F.count("*").alias("n")).collect()}
     rows = sum(counts.values())
@@ -251,6 +259,8 @@ def fit_calibrator(
             settled = settled and np.abs(gradient).max() <= tol * rows
         if settled:
             break
+    else:
+        raise RuntimeError(f"the calibration did not settle in {max_rounds} rounds")
     return values[:, 0].tolist(), values[:, 1].tolist()
 
 

@@ -69,14 +69,16 @@ def prepared(spark, sf_dir):
     return M.with_digest(df.withColumn("split", F.lower(F.trim("split"))), "text").drop("text")
 
 
-@query("row_validation", f"""WITH {MANIFEST}, x AS (SELECT file_sha256 FROM man WHERE file_sha256 <> '' AND emotion NOT IN ('', 'DIS') GROUP BY 1 HAVING count(DISTINCT emotion) > 1)
+@query("row_validation", f"""WITH {MANIFEST}, x AS (SELECT file_sha256 FROM man WHERE file_sha256 <> '' AND split <> 'dev' AND trim(path) <> '' AND speaker_id <> '' AND emotion NOT IN ('', 'DIS') AND doc_id IN (SELECT doc_id FROM labels) GROUP BY 1 HAVING count(DISTINCT emotion) > 1)
 SELECT doc_id, CASE WHEN split = 'dev' THEN 'bad_split' WHEN trim(path) = '' THEN 'empty_path' WHEN speaker_id = '' THEN 'missing_speaker_or_recording' WHEN emotion = '' THEN 'empty_label'
  WHEN emotion = 'DIS' THEN 'unmapped_label' WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'missing_file' WHEN file_sha256 IN (SELECT file_sha256 FROM x) THEN 'conflicting_content' END AS violation FROM man""")
 def row_validation(spark, sf_dir):
     df = prepared(spark, sf_dir)
     present = load(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("file_exists")).distinct()
-    clash = M.content_conflicts(df).select("file_sha256", F.lit(True).alias("content_conflict"))  # over all labelled rows
-    df = df.join(present, "doc_id", "left").join(clash, "file_sha256", "left").fillna(False, ["file_exists", "content_conflict"])
+    df = df.join(present, "doc_id", "left").fillna(False, ["file_exists"])
+    passed = M.validate_rows(df).filter("violation is null")  # conflicts are sought among rows that are good so far
+    clash = M.content_conflicts(passed).select("file_sha256", F.lit(True).alias("content_conflict"))
+    df = df.join(clash, "file_sha256", "left").fillna(False, ["content_conflict"])
     return M.validate_rows(df).select("doc_id", "violation")
 
 

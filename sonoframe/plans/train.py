@@ -128,11 +128,13 @@ def train_profiles(
         copies = X.augment(
             originals.select(*keys, "label", "split", "sample_rate", "samples"), order=keys, seed=seed, snr_db=snr_db,
             backgrounds=backgrounds, background_snr_db=background_snr_db, rooms=rooms).filter("augmentation <> 'original'")
-        noisy = plain_features(copies, cfg)
+        noisy = plain_features(copies, cfg).drop("samples").persist(StorageLevel.MEMORY_AND_DISK)
         # white-noise copies are checked for frame validity; background and reverb copies are not
         white = F.col("augmentation").isin(*[f"{v:g}dB" for v in snr_db])
-        noisy = noisy.filter(~white | (F.col("valid_frame_fraction") >= settings.MIN_VALID_FRAME_FRACTION))
-        train = train.unionByName(noisy.select(*keys, "label", "split", *settings.FULL_FEATURES))
+        valid = ~white | (F.col("valid_frame_fraction") >= settings.MIN_VALID_FRAME_FRACTION)
+        lost = noisy.filter(~valid).withColumn("reason", F.lit("AUGMENT_INVALID_FRAME_CONTENT"))
+        rejected = rejected.unionByName(MT.reason_counts(lost, by=["split"]))
+        train = train.unionByName(noisy.filter(valid).select(*keys, "label", "split", *settings.FULL_FEATURES))
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         left = {r["split"]: set(r["labels"]) for r in base.groupBy("split").agg(F.collect_set("label").alias("labels")).collect()}
