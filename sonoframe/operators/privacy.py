@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonoframe import settings
+from sonoframe.operators.ordering import sized_join
+from sonoframe.session import checkpoint
 
 FINDING = ("scope", "kind", "path", "line", "commit")
 
@@ -66,17 +68,23 @@ def has_private_keys(document, keys: Sequence[str] = settings.PUBLIC_SPEAKER_KEY
     return F.coalesce(F.arrays_overlap(json_keys(document), wanted), F.lit(False))
 
 
+REPORT_PREFIXES = ("reports/", "models/")
+_REPORT_KIND = "speaker_identifiers_in_report"
+
+
 def scan_json_keys(
     df: DataFrame, path: str, text: str, *, scope: str = "current", commit: str | None = None,
-    keys: Sequence[str] = settings.PUBLIC_SPEAKER_KEYS, prefixes: Sequence[str] = ("reports/", "models/"),
+    keys: Sequence[str] = settings.PUBLIC_SPEAKER_KEYS, prefixes: Sequence[str] = REPORT_PREFIXES,
 ) -> DataFrame:
     """Published JSON documents that carry identifier keys at any depth."""
+    hits = df.filter(_published(path, prefixes)).filter(has_private_keys(text, keys))
+    return _finding(hits, F.lit(_REPORT_KIND), F.lit(None), scope, path, commit)
+
+
+def _published(path, prefixes: Sequence[str]) -> Column:
     normal = normal_path(path)
     published = normal.endswith(".json")
-    if prefixes:
-        published = published & _starts_any(normal, prefixes)
-    hits = df.filter(published).filter(has_private_keys(text, keys))
-    return _finding(hits, F.lit("speaker_identifiers_in_report"), F.lit(None), scope, path, commit)
+    return published & _starts_any(normal, prefixes) if prefixes else published
 
 
 def normal_path(path) -> Column:
@@ -154,12 +162,22 @@ def scan_files(files: DataFrame, *, scope: str = "current", path: str = "path",
 
 
 def scan_versions(df: DataFrame, path: str, text: str, commit: str) -> DataFrame:
-    """Findings over every stored version of every path (scope ``history``)."""
-    return (
-        scan_text(df, path, text, scope="history", commit=commit)
-        .unionByName(scan_json_keys(df, path, text, scope="history", commit=commit))
-        .unionByName(classify_paths(df, path, scope="history", commit=commit))
-    )
+    """Findings over every stored version of every path (scope ``history``).
+
+    Each distinct content is scanned once, by its digest; what was found is stored, narrow rows without any text, and joined
+    back to all versions with that content.  The join is salted where the findings are too many to broadcast, so a content shared by a third of
+    the versions does not land in one task.  Paths are judged by themselves.
+    """
+    named = df.select(path, commit, F.col(text).alias("_text")).withColumn("_digest", F.sha2("_text", 256))
+    contents = named.groupBy("_digest").agg(F.first("_text").alias("_text"))
+    # the kind of a JSON finding is settled by its path later; here only whether its content has such keys
+    lines = contents.select("_digest", F.posexplode(text_lines("_text")).alias("_pos", "_line")).select(
+        "_digest", (F.col("_pos") + 1).alias("_at"), F.explode(line_kinds("_line")).alias("_kind"))
+    keyed = contents.filter(has_private_keys("_text")).select("_digest", F.lit(None).cast("int").alias("_at"), F.lit(_REPORT_KIND).alias("_kind"))
+    found = checkpoint(lines.unionByName(keyed))
+    hits = sized_join(named.drop("_text"), found, "_digest").filter((F.col("_kind") != _REPORT_KIND) | _published(path, REPORT_PREFIXES))
+    return _finding(hits, F.col("_kind"), F.col("_at"), "history", path, commit).unionByName(
+        classify_paths(df, path, scope="history", commit=commit))
 
 
 def summarise_findings(findings: DataFrame) -> DataFrame:

@@ -36,13 +36,25 @@ def page_findings(spark, sf_dir):
     return V.scan_text(spread(load(spark, sf_dir, "pages").select("url", "html")), "url", "html")
 
 
-VERSIONS = f"cl AS MATERIALIZED {lines_sql('conversations', 'conv_id', 'text', ', turn')}"
-VERSION_FINDINGS = found_sql("cl", "history", ", lpad(turn::VARCHAR, 4, '0') AS commit")
+# turns of conversations, and documents as versions of few paths; a fifth of those are one of two JSON reports
+VERSIONS = f"""vt AS (SELECT conv_id::VARCHAR AS path, text, lpad(turn::VARCHAR, 4, '0') AS commit FROM conversations UNION ALL
+ SELECT CASE doc_id % 5 WHEN 0 THEN 'reports/' || source || '.json' WHEN 1 THEN 'recordings/' || source || '.txt' WHEN 2 THEN source || '/progress.md' ELSE 'docs/' || source || '.txt' END,
+  CASE WHEN doc_id % 15 = 0 THEN '{{"a": [{{"Speaker-ID": 1}}]}}' WHEN doc_id % 5 = 0 THEN '{{"note": "\\"speaker_id\\": 1"}}' ELSE text END, lpad(doc_id::VARCHAR, 9, '0') FROM documents),
+ cl AS MATERIALIZED {lines_sql('vt', 'path', 'text', ', commit')}"""
+VERSION_FINDINGS = found_sql("cl", "history", ", commit") + """
+ UNION ALL SELECT 'history', 'speaker_identifiers_in_report', path, NULL, commit FROM vt WHERE path LIKE 'reports/%' AND text LIKE '%Speaker-ID%'
+ UNION ALL SELECT 'history', 'private_artifact_tracked', path, NULL, commit FROM vt WHERE path LIKE 'recordings/%'
+ UNION ALL SELECT 'history', 'internal_file_tracked', path, NULL, commit FROM vt WHERE path LIKE '%/progress.md'"""
 
 
 def versions(spark, sf_dir):
-    return spread(load(spark, sf_dir, "conversations")).select(
+    turns = spread(load(spark, sf_dir, "conversations")).select(
         F.col("conv_id").cast("string").alias("path"), "text", F.lpad(F.col("turn").cast("string"), 4, "0").alias("commit"))
+    m, named = F.pmod("doc_id", F.lit(5)), lambda before, after: F.concat(F.lit(before), F.col("source"), F.lit(after))
+    path = F.when(m == 0, named("reports/", ".json")).when(m == 1, named("recordings/", ".txt")).when(m == 2, named("", "/progress.md")).otherwise(named("docs/", ".txt"))
+    text = F.when(F.pmod("doc_id", F.lit(15)) == 0, '{"a": [{"Speaker-ID": 1}]}').when(m == 0, '{"note": "\\"speaker_id\\": 1"}').otherwise(F.col("text"))
+    docs = spread(load(spark, sf_dir, "documents")).select(path.alias("path"), text.alias("text"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("commit"))
+    return turns.unionByName(docs)
 
 
 @query("version_findings", f"WITH {VERSIONS} {VERSION_FINDINGS}")
