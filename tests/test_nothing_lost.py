@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonoframe.operators.history import keep_newest, rolling_summary, throttle
-from sonoframe.operators.mixing import assign_round_robin
+from sonoframe.operators import metrics, model, privacy
+from sonoframe.operators.mixing import assign_round_robin, augment
 from sonoframe.operators.model import accept_windows
 from sonoframe.plans import live, query_events
 from sonoframe.streaming import replay, rolling
@@ -85,3 +86,43 @@ def test_verdicts_as_of_keeps_every_update(spark):
     for partitions in (None, 6):
         found = {r["id"]: r["verdict_confidence"] for r in live.verdicts_as_of(updates, verdicts, 100, keys=["k"], order=["n"], partitions=partitions).collect()}
         assert found == {1: 0.2, 2: None, 3: 0.3, 4: 0.4, 5: None, 6: None}
+
+
+def test_impossible_mixes_do_not_pass(spark):
+    rows = [(1, "a", 8000, [0.1, -0.2, 0.3, 0.1]), (2, "b", 8000, [0.0, 0.0, 0.0, 0.0])]
+    train = spark.createDataFrame(rows, "id long, label string, sample_rate int, samples array<float>")
+    with pytest.raises(Exception, match="impossible mix"):
+        augment(train, order="id", snr_db=(10.0,)).groupBy("label").count().collect()
+    marked = augment(train, order="id", snr_db=(10.0,), impossible="reject").collect()
+    assert {(r["id"], r["augmentation"], r["reason"]) for r in marked} == {(1, "original", None), (2, "original", None), (1, "10dB", None), (2, "10dB", "MIX_INVALID")}
+    rooms = spark.createDataFrame([(0, 16000, [1.0, 0.4])], "source_idx int, source_rate int, source_samples array<float>")
+    with pytest.raises(Exception, match="impossible mix: reverb"):
+        augment(train.filter("id = 1"), order="id", rooms=rooms).count()
+
+
+def test_fits_that_do_not_settle_raise(spark):
+    rows = [([float(i % 7), float(i % 5)], i % 2, 1.0) for i in range(60)]
+    table = spark.createDataFrame(rows, "x array<double>, y int, w double")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        model.fit_squared_hinge(table, 2, 2, max_rounds=1)
+    margins = spark.createDataFrame([("a" if i % 3 else "b", [float(i % 4), float(i % 5)]) for i in range(40)], "label string, margins array<double>")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        model.fit_calibrator(margins, ["a", "b"], max_rounds=1)
+
+
+def test_unknown_truth_is_an_error_and_recordings_agree(spark):
+    df = spark.createDataFrame([(None, [0.9, 0.1], True), ("a", [0.9, 0.1], True)], "label string, scores array<double>, eligible boolean")
+    row = metrics.selective_metrics(df, ["a", "b"], 0.5).first()
+    assert (row["accepted_count"], row["accepted_error_count"], row["unsupported_truth_count"]) == (2, 1, 1)
+    windows = spark.createDataFrame([("d", "r", "a", "s", [1.0, 0.0], True), ("d", "r", "b", "s", [1.0, 0.0], True)],
+                                    "dataset_id string, recording_id string, label string, speaker_id string, scores array<double>, eligible boolean")
+    with pytest.raises(Exception, match="one label and one speaker"):
+        metrics.aggregate_recordings(windows, ["a", "b"]).select("windows").collect()
+
+
+def test_a_shared_content_is_found_in_all_its_versions(spark):
+    secret = "name someone@example.org\nnothing"
+    rows = [(f"f{i % 3}.txt", secret if i % 3 else "clean", f"{i:03d}") for i in range(30)] + [("reports/a.json", '{"x": {"speaker_id": 1}}', "100"), ("other/a.json", '{"x": {"speaker_id": 1}}', "101"), ("a.wav", None, "102")]
+    found = privacy.scan_versions(spark.createDataFrame(rows, "path string, text string, commit string"), "path", "text", "commit").collect()
+    assert {(r["path"], r["commit"], r["line"]) for r in found if r["line"] is not None} == {(f"f{i % 3}.txt", f"{i:03d}", 1) for i in range(30) if i % 3}
+    assert {(r["kind"], r["path"]) for r in found if r["line"] is None} == {("speaker_identifiers_in_report", "reports/a.json"), ("private_artifact_tracked", "a.wav")}
