@@ -1,5 +1,7 @@
 """Packing token pieces into fixed sequences by minimum bin slack (operator 3)."""
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -12,70 +14,63 @@ LENGTH = 2048
 END = 1                       # id closing every document
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 512                  # remainders that compete for a sequence; bounds a task's memory, drops nothing
-CACHED_WORDS = 400_000        # encoded words kept per task, in two halves
+LONGEST_SPACE = 256           # white space from here on is left to the tokenizer itself, whose split does not backtrack
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: how byte-level files cut texts
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes, from a byte-level tokenizer file.
 
-    The tokenizer splits before each space and at a single line end, so texts whose white space is single spaces and line
-    ends are put together from cached words; other texts go to the tokenizer whole.  New words are encoded in one text and cut apart
-    where a token begins with the space or is the line end.  The cache has two halves: when the younger one is full it
-    becomes the older one, and words met again move up, so that frequent words stay.
+    A plain byte-level BPE file is read into ``tiktoken``, which merges the adjacent pair whose joined bytes are the token of the
+    lowest rank.  That is the file's own list of merges as long as every token is what the file makes of the token's bytes alone: then
+    of the two-part states of a token only the one in the list is ever met.  Tokens for which this fails cannot occur and are
+    left out.  Texts with an added token or a long run of white space, and all texts of other kinds of files, go to ``tokenizers``.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    def __init__(self, path: str):
+        import json
         import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import re
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.half = Tokenizer.from_file(path), max(1, cached // 2)
-        self.other_space = re.compile(r"[^\S \n]")
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.line_end = self._encode(["\n"])[0].tobytes()
-        space = self.tokenizer.id_to_token(int(self._encode([" "])[0][0]))
-        vocabulary = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _by_word(self, text: str) -> bool:
-        return not (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-                    or self.other_space.search(text))
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that all begin with the space, or of which none does."""
-        if not words:
-            return
-        spaced = words[0][0] == " "
-        ids = self._encode([("" if spaced else "\n").join(words)])[0]
-        cuts = np.flatnonzero(self.begins[ids] if spaced else ids == np.frombuffer(self.line_end, "<u4")[0])
-        starts, ends = (cuts, np.append(cuts[1:], len(ids))) if spaced else (np.append(0, cuts + 1), np.append(cuts, len(ids)))
-        if len(starts) == len(words):
-            data = ids.tobytes()
-            self.words.update((w, data[4 * a:4 * b]) for w, a, b in zip(words, starts.tolist(), ends.tolist()))
-        else:                       # a tokenizer that joins or cuts words otherwise
-            self.words.update((w, x.tobytes()) for w, x in zip(words, self._encode(words)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[line.replace(" ", "\0 ").split("\0") for line in t.split("\n")] if "\0" not in t and self._by_word(t) else None for t in texts]
-        if len(self.words) > self.half:
-            self.words, self.older = {}, self.words
-        unseen = set().union(*(line for lines in split if lines for line in lines)).difference(self.words)
-        new = unseen.difference(self.older)
-        self.words.update((w, self.older[w]) for w in unseen - new)
-        self._learn([w for w in new if w[0] == " "])
-        self._learn([w for w in new if w[0] != " "])
-        word = self.words.__getitem__
-        whole = iter(self._encode([t for t, lines in zip(texts, split) if lines is None]))
-        return [next(whole).tobytes() if lines is None else self.line_end.join([b"".join(map(word, line)) for line in lines]) for lines in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        self.fast = self._merger(parts)
+        added = [re.escape(t["content"]) for t in parts.get("added_tokens", ())]
+        self.other = re.compile("|".join([*added, rf"\s{{{LONGEST_SPACE}}}"]))
+
+    def _merger(self, parts: dict):
+        model, split = parts["model"], parts.get("pre_tokenizer") or {}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if (model.get("type") != "BPE" or odd or parts.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space")
+                or not split.get("use_regex", True)):
+            return None
+        import tiktoken
+
+        joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        order = [model["vocab"][t] for t in joined]
+        letters = _byte_letters()
+        if any(a >= b for a, b in zip(order, order[1:])) or any(model["vocab"].get(c, order[0]) >= order[0] for c in letters):
+            return None             # ids are no ranks
+        tokenize = self.tokenizer.model.tokenize
+        ranks = {bytes(letters[c] for c in t): model["vocab"][t] for t in (*letters, *joined) if len(tokenize(t)) == 1}
+        return tiktoken.Encoding("byte_level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or self.other.search(text):
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return np.array(array("I", self.fast.encode_ordinary(text)), "<u4").tobytes()
+
+
+def _byte_letters() -> dict[str, int]:
+    """Bytes by the letters that stand for them in byte-level files: visible Latin-1 letters are themselves, others follow from U+0100."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted(set(range(256)) - set(visible))
+    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
 def fill(counts: np.ndarray, capacity: int) -> list[int]:
@@ -159,9 +154,8 @@ def _packed(path: str | None, capacity: int, end: int, window: int):
 
         closing = np.array([end], "<u4").tobytes()
         for part in pieces(batches, 64):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
-                ids += closing
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids = encoder.encode(text or "") + closing
                 total = len(ids) // 4
                 whole = total // capacity * capacity
                 place([(doc, s, ids[4 * s:4 * (s + capacity)], total)] for s in range(0, whole, capacity))

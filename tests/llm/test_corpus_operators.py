@@ -308,6 +308,23 @@ def test_packing_round_trip(spark):
     assert len(packing.pack(odd(spark)).select("doc_id").distinct().collect()) == len({i for i, _ in ODD}) and packing.pack(empty(spark)).count() == 0
 
 
+def test_encoder_gives_the_ids_of_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    encoder, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.fast is not None
+    random = np.random.default_rng(11)
+    odd_parts = ["don't", "I'LL", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x00", "\u00a0", "\u2003", "\u3000", "\x85", "\u200b", "日本語", "é", "e\u0301", "123", "½", "…",
+                 "<|endoftext|>", "<|endoftext", "🙂", "ﬁ", "ab" * 40, "!" * 30, " " * 300, "the", " tion", "'", "'s", "\ufeff", "İ", "ǅ"]
+    texts = ["".join(random.choice(odd_parts, random.integers(0, 12))) for _ in range(5_000)]
+    texts += [f"a{c} {c}1{c}2 .{c}! {c}{c}\n{c}" for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000, 7), *range(0x10000, 0x20000, 31)])]
+    texts += ["a" * 300_000, "ab " * 100_000, " " * 100_000 + "x", "\n" * 50_000]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:50]
+
+
 def test_packing_digest(spark):
     row = queries.op3_packing(spark, SF).orderBy("doc_id", "start").first()
     ids = next(r["ids"] for r in packing.pack(documents(spark)).collect() if (r["doc_id"], r["start"]) == (row["doc_id"], row["start"]))
