@@ -1,11 +1,7 @@
 """Scans: audio files, labelled and noise manifests, corpus tables, model documents."""
 
-import io
-import wave
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,57 +10,16 @@ from sonoframe.functions import checks as C
 from sonoframe.operators import manifest as M
 from sonoframe.operators.model import MODEL_SCHEMA
 from sonoframe.operators.ordering import sized_join
-
-AUDIO_SCHEMA = "path string, sample_rate int, samples array<float>, file_sha256 string, error string"
-
-
-def decode_pcm(content: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and mono float32 samples of an uncompressed PCM file."""
-    with wave.open(io.BytesIO(content)) as stream:
-        if stream.getcomptype() != "NONE":
-            raise ValueError("only uncompressed PCM is supported")
-        channels, width, rate = stream.getnchannels(), stream.getsampwidth(), stream.getframerate()
-        data = stream.readframes(stream.getnframes())
-    if channels < 1 or rate < 1 or len(data) % (width * channels):
-        raise ValueError("the frame data is incomplete or the header is invalid")
-    if width == 1:
-        values = (np.frombuffer(data, np.uint8).astype(np.float32) - 128.0) / 128.0
-    elif width in (2, 4):
-        values = np.frombuffer(data, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-    elif width == 3:
-        wide = np.zeros((len(data) // 3, 4), np.uint8)
-        wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)  # value sits in the upper three bytes
-        values = (wide.reshape(-1).view("<i4") >> 8).astype(np.float32) / 8388608.0
-    else:
-        raise ValueError("unsupported sample width")
-    return rate, values.reshape(-1, channels).mean(axis=1, dtype=np.float32) if channels > 1 else values
-
-
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for content in batch["content"]:
-            try:
-                rows.append((*decode_pcm(content), None))
-            except (ValueError, EOFError, wave.Error) as error:
-                rows.append((None, None, f"{type(error).__name__}: {error}"))
-        decoded = pd.DataFrame(rows, columns=["sample_rate", "samples", "error"])
-        decoded["sample_rate"] = decoded["sample_rate"].astype("Int32")
-        yield pd.concat([batch[["path", "file_sha256"]].reset_index(drop=True), decoded], axis=1)[
-            ["path", "sample_rate", "samples", "file_sha256", "error"]]
+from sonoframe.sources.audio import AudioFiles
 
 
 def scan_audio(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
     """``path, sample_rate, samples, file_sha256, error`` of every PCM file below a folder.
 
-    A file that cannot be decoded keeps its row with ``error`` set; it never fails the job.
-    Files of zero bytes give no row, because Spark's file scan leaves them out.
+    A file that cannot be decoded, or has no bytes, keeps its row with ``error`` set; it never fails the job.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-        .select("path", "content", C.content_digest("content").alias("file_sha256"))
-    )
-    return files.mapInPandas(_decode, AUDIO_SCHEMA)
+    spark.dataSource.register(AudioFiles)
+    return spark.read.format("audio_files").option("pattern", pattern).load(path)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -137,9 +92,10 @@ def scan_noise_manifest(spark: SparkSession, path: str, audio: DataFrame, base:
         F.when(~F.coalesce(F.col("noise_type").isin(*settings.NOISE_TYPES), F.lit(False)), "unsupported_noise_type")
         .when(F.coalesce(F.col("listed_path"), F.lit("")) == "", "empty_path")
         .when(F.col("source_sha256").isNull(), "missing_file"))
-    # at most a few sources per type: a source list is a hand-made table
-    place = F.row_number().over(Window.partitionBy("noise_type").orderBy("_row")) - 1
-    return joined.withColumn("violation", bad).withColumn("source_idx", place.cast("int")).drop("_row", "listed_path")
+    # at most a few sources per type: a source list is a hand-made table; good rows are numbered apart, without gaps
+    judged = joined.withColumn("violation", bad)
+    place = F.row_number().over(Window.partitionBy("noise_type", F.col("violation").isNull()).orderBy("_row")) - 1
+    return judged.withColumn("source_idx", place.cast("int")).drop("_row", "listed_path")
 
 
 def noise_source_counts(sources: DataFrame) -> DataFrame:

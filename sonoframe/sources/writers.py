@@ -15,8 +15,8 @@ def write_windows(df: DataFrame, path: str, partition: str = "split") -> None:
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """Manifest CSV with the fixed column order."""
-    df.select(*settings.MANIFEST_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    """Manifest CSV with the fixed column order; quotes are doubled, as ``scan_manifest`` reads them."""
+    df.select(*settings.MANIFEST_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def _has_non_finite(column: Column, dtype: T.DataType) -> Column:

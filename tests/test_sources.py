@@ -12,6 +12,7 @@ from sonoframe import settings
 from sonoframe.operators import model as ML
 from sonoframe.plans.query_models import valid_document
 from sonoframe.plans.train import save_models
+from sonoframe.sources import audio
 from sonoframe.sources import readers as R
 from sonoframe.sources import writers as W
 
@@ -44,6 +45,34 @@ def test_scan_audio_widths_channels_and_bad_files(spark, tmp_path):
     assert rows["bad.wav"]["error"] and rows["bad.wav"]["samples"] is None
 
 
+def test_audio_source_keeps_empty_files_and_cuts_partitions(spark, tmp_path):
+    assert R.scan_audio(spark, str(tmp_path)).count() == 0
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "none.wav").write_bytes(b"")
+    (tmp_path / "cut.wav").write_bytes(b"RIFF\x10")
+    (tmp_path / "notes.txt").write_text("no audio")
+    write_wav(tmp_path / "silent.wav", b"")
+    df = spark.range(40).select(
+        F.concat(F.lit("r"), "id").alias("name"), F.lit(8000).alias("sample_rate"), F.array(F.lit(-2.0), F.col("id") / 64, F.lit(1.0)).cast("array<float>").alias("samples"))
+    assert audio.write_audio(df.repartition(3), str(tmp_path / "deep")) == 40
+    for most in ("1", "200000", "100000000"):
+        found = spark.read.format("audio_files").option("partitionBytes", most).load(str(tmp_path))
+        rows = {os.path.basename(r["path"]): r for r in found.collect()}
+        assert len(rows) == 43 and rows["r7.wav"]["samples"] == pytest.approx([-1.0, 7 / 64, 32767 / 32768])
+        assert rows["none.wav"]["error"].startswith("EOFError") and rows["none.wav"]["file_sha256"] == "" and rows["none.wav"]["samples"] is None
+        assert rows["cut.wav"]["error"] and rows["silent.wav"]["samples"] == [] and rows["silent.wav"]["error"] is None
+    assert spark.read.format("audio_files").option("partitionBytes", "1").load(str(tmp_path)).rdd.getNumPartitions() == 43
+    for width in (1, 2, 3, 4):
+        rate, values = audio.decode_pcm(audio.encode_pcm(np.array([-1.0, -0.5, 0.0, 0.25, 1.0]), 100, width))
+        assert rate == 100 and values[:4].tolist() == [-1.0, -0.5, 0.0, 0.25] and values[4] == pytest.approx(1.0, abs=2.0 ** (1 - 8 * width))
+
+
+def test_manifest_round_trip_keeps_quotes(spark, tmp_path):
+    row = ("a.wav", "sad", "s", 'r, "1"', "d", 'r, "1"', "", "train")
+    W.write_manifest(spark.createDataFrame([row], ", ".join(f"{c} string" for c in settings.MANIFEST_COLUMNS)), str(tmp_path / "m"))
+    assert R.scan_manifest(spark, str(tmp_path / "m")).first()["recording_id"] == 'r, "1"'
+
+
 def test_scan_manifest_applies_every_rule(spark, tmp_path):
     for name, hz in (("a", 180), ("b", 180), ("c", 260)):
         write_wav(tmp_path / f"{name}.wav", pcm16(tone(hz, 0.1)))
