@@ -7,6 +7,7 @@ from sonoframe.functions import series as S
 from sonoframe.operators import mixing as X
 from sonoframe.operators import model as ML
 from sonoframe.plans import evaluate as EV
+from sonoframe.plans import live as LV
 from sonoframe.plans import train as TR
 from sonoframe.plans.query_series import RMS, audio_length, half_quiet, series
 from sonoframe.plans.registry import block_total, block_total_sql, load, query, r6, rounded, s6, spread
@@ -243,3 +244,40 @@ def trained_and_evaluated(spark, sf_dir):
     models, _ = TR.train_profiles(windows, order="vec_id", profiles=("simple",))
     result = EV.evaluate_conditions(windows.filter("split = 'test'"), models["simple"], order="vec_id", snr_db=(20.0,), sir_db=(6.0,))
     return result["metrics"]
+
+
+# --- plug-ins -------------------------------------------------------------------------------
+QUARTER = block_total_sql("embedding", 0, 16), block_total_sql("embedding", 1, 16), block_total_sql("embedding", 2, 16), block_total_sql("embedding", 3, 16)
+
+
+def loudest_quarter(matrix):
+    """A user's predictor: the class of the largest quarter total; refuses rows that begin below -0.2."""
+    if (matrix[:, 0] < -0.2).any():
+        raise ValueError("out of range")
+    totals = matrix.astype("float64").reshape(len(matrix), 4, -1).sum(axis=2)
+    return [settings.EMOTIONS[i] for i in totals.argmax(axis=1)], 1 / (1 + abs(totals.sum(axis=1)))
+
+
+@query("plugged_predictor", f"""WITH q AS (SELECT vec_id, embedding[1] AS first, [{", ".join(QUARTER)}] AS t FROM embeddings)
+SELECT vec_id, first < -0.2::FLOAT AS failed, CASE WHEN NOT first < -0.2::FLOAT THEN {list(settings.EMOTIONS)}[list_position(t, list_max(t))] END AS emotion,
+ {s6('CASE WHEN first < -0.2::FLOAT THEN 0.0 ELSE 1 / (1 + abs(list_sum(t))) END')} AS confidence FROM q""")
+def plugged_predictor(spark, sf_dir):
+    """A user's predictor over every series; rows it fails on are rejected alone, whatever shares their batch."""
+    found = LV.with_predictor(series(spark, sf_dir), loudest_quarter, "samples")
+    return found.select("vec_id", F.col("prediction.predictor_error").alias("failed"), F.col("prediction.emotion").alias("emotion"), r6("prediction.confidence").alias("confidence"))
+
+
+def by_level(samples):
+    """A user's verifier: by level, with a confidence beyond 1 for some, and failing on rows that begin below -0.2."""
+    if samples[0] < -0.2:
+        raise ValueError("out of range")
+    total = float(samples.astype("float64").sum())
+    return ("TARGET_ACTIVE" if total >= 0 else "NON_TARGET"), abs(total)
+
+
+@query("plugged_verifier", f"""WITH q AS (SELECT vec_id, embedding[1] < -0.2::FLOAT AS failed, {QUARTER[0]} + {QUARTER[1]} + {QUARTER[2]} + {QUARTER[3]} AS t FROM embeddings)
+SELECT vec_id, CASE WHEN failed OR abs(t) > 1 THEN 'UNCERTAIN' WHEN t >= 0 THEN 'TARGET_ACTIVE' ELSE 'NON_TARGET' END AS verdict_status,
+ {s6('CASE WHEN failed OR abs(t) > 1 THEN 0.0 ELSE abs(t) END')} AS verdict_confidence FROM q""")
+def plugged_verifier(spark, sf_dir):
+    """A user's verifier over every series; failures and impossible answers are uncertain."""
+    return LV.with_verifier(series(spark, sf_dir), by_level).select("vec_id", "verdict_status", r6("verdict_confidence").alias("verdict_confidence"))

@@ -281,3 +281,12 @@ def first_other(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(
         "doc_id", F.col("lang").alias("dataset_id"), F.col("source").alias("speaker_id"), rec.alias("recording_id"))
     return X.first_other(d, "doc_id").select("doc_id", "other")
+
+
+@query("preassigned_split", """WITH c AS (SELECT c_nationkey AS group_id, c_mktsegment AS label, ['train', 'validation', 'test'][c_nationkey % 3 + 1] AS split FROM customer)
+SELECT split, label, count(*) AS records, count(DISTINCT group_id) AS groups FROM c GROUP BY ALL""")
+def preassigned_split(spark, sf_dir):
+    """Customers that bring a split by nation: checked for names, group conflicts, empty subsets and classes, then counted."""
+    split = F.element_at(F.array(*[F.lit(s) for s in settings.SPLITS]), (F.pmod("c_nationkey", F.lit(3)) + 1).cast("int"))
+    df = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group_id"), F.col("c_mktsegment").alias("label"), split.alias("split"))
+    return G.preassigned_split(df).groupBy("split", "label").agg(F.count("*").alias("records"), F.countDistinct("group_id").alias("groups"))
