@@ -118,10 +118,14 @@ def _features() -> list:
 
 
 class LicenceModel:
-    """Fitted pipeline, calibration of its chance of any licence, and the word pairs of the templates by family."""
+    """Fitted pipeline, calibration of its chance of any licence, and the word pairs of the templates by family.
+
+    ``pairs`` are those of all templates together; their number is fixed by the published texts, not by any table.
+    """
 
     def __init__(self, pipeline: PipelineModel, calibration, templates: DataFrame):
         self.pipeline, self.calibration, self.templates = pipeline, calibration, templates
+        self.pairs = sorted(r["pair"] for r in templates.select(F.explode(F.flatten("templates")).alias("pair")).distinct().collect())
 
 
 def fit_licences(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", background: int = BACKGROUND) -> LicenceModel:
@@ -170,14 +174,18 @@ def _pairs(words: Column) -> Column:
 def find_licences(docs: DataFrame, model: LicenceModel, id_column: str = "doc_id", text_column: str = "text", least: float = 0.5, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, paragraph, family, score, similarity`` of every paragraph that is licence text.
 
-    All windows of all paragraphs of the whole texts are classified; the calibrated chance of a known family has to reach
+    All windows of all paragraphs of the whole texts are judged: the calibrated chance of a known family has to reach
     ``least``, and the word pairs shared with a template of the predicted family, as a part of the smaller of both, ``similarity``.
+    A window without any pair of any template cannot reach a similarity above 0, so it is not classified.
     A paragraph gives its surest window; ties go to the first family by name.
 
     Null and empty texts give nothing, and a null id its paragraphs under null.  Rows that repeat an id are put together, so a
     paragraph position counts once.  An empty table gives an empty result; further columns are not carried.
     """
-    scored = model.pipeline.transform(paragraphs(docs, id_column, text_column)).select(
+    windows = paragraphs(docs, id_column, text_column)
+    if similarity > 0:
+        windows = windows.filter(F.exists(_pairs(F.col("words")), lambda pair: pair.isin(model.pairs)))
+    scored = model.pipeline.transform(windows).select(
         "doc_id", "paragraph", "words", "family", (1 - vector_to_array("probability")[model.unknown]).alias("chance"))
     likely = model.calibration.transform(scored.filter(F.col("family") != UNKNOWN)).filter(F.col("score") >= least)
     own = _pairs(F.col("words"))

@@ -474,3 +474,18 @@ def test_neighbours_of_long_copies_are_exact(spark):
     for q in (0, 1, 301, 595):
         want = [i for _, i in sorted((float(np.sqrt(((of[q] - v) ** 2).sum())), i) for i, v in rows if i != q)[:10]]
         assert [r["vec_id"] for r in got if r["query_id"] == q] == want
+
+
+def test_windows_without_template_pairs_are_not_licences(spark):
+    docs = documents(spark)
+    model = licences.fit_licences(docs)
+    assert len(model.pairs) == len(set(model.pairs)) > 1_000
+    judged = licences.paragraphs(docs)
+    own = licences._pairs(F.col("words"))
+    every = model.pipeline.transform(judged).select(
+        "doc_id", "paragraph", "words", "family", (1 - F.element_at(licences.vector_to_array("probability"), model.unknown + 1)).alias("chance"))
+    likely = model.calibration.transform(every.filter(F.col("family") != licences.UNKNOWN)).filter("score >= 0.5").withColumn("pairs", own)
+    templates = {r["family"]: [set(t) for t in r["templates"]] for r in model.templates.collect()}
+    plain = {(r["doc_id"], r["paragraph"]) for r in likely.collect()
+             if any(len(t & set(r["pairs"])) >= 0.5 * max(1, min(len(t), len(r["pairs"]))) for t in templates.get(r["family"], ()))}
+    assert plain and plain == {(r["doc_id"], r["paragraph"]) for r in licences.find_licences(docs, model).collect()}
