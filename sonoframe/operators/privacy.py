@@ -49,23 +49,41 @@ def scan_text(df: DataFrame, path: str, text: str, *, scope: str = "current", co
 
 
 def json_keys(document) -> Column:
-    """Normalised object keys at any depth of a JSON text; NULL when it is not JSON.
+    """Normalised object keys at any depth of a JSON text; NULL when it is not JSON or an object repeats a key.
 
-    A string token followed by a colon is a key and nothing else is, so one
-    left-to-right tokenisation finds every key at every depth.
+    The parsed value is opened level by level: objects give their keys and values, lists their elements, until nothing is
+    left to open.  There are never more levels than opening brackets, and a step without anything to open costs nothing.
     """
     d = _col(document)
-    tokens = F.regexp_extract_all(d, F.lit(r'("(?:[^"\\]|\\.)*+")\s*+(:?)'), F.lit(0))
-    names = F.transform(
-        F.filter(tokens, lambda t: t.endswith(":")),
-        lambda t: F.lower(F.replace(F.get(F.from_json(F.concat(
-            F.lit("["), F.regexp_replace(t, r"\s*:$", ""), F.lit("]")), "array<string>"), F.lit(0)), F.lit("-"), F.lit("_"))))
-    return F.when(F.try_parse_json(d).isNotNull(), names)
+    value = F.try_parse_json(d)
+
+    def opened(values, kind: str) -> Column:
+        return F.filter(F.transform(values, lambda v: F.try_variant_get(v, "$", kind)), lambda v: v.isNotNull())
+
+    def deeper(so_far, _):
+        objects, lists = opened(so_far["open"], "map<string,variant>"), opened(so_far["open"], "array<variant>")
+        return F.when(F.size(so_far["open"]) == 0, so_far).otherwise(F.struct(
+            F.concat(so_far["names"], F.flatten(F.transform(objects, F.map_keys))).alias("names"),
+            F.concat(F.flatten(F.transform(objects, F.map_values)), F.flatten(lists)).alias("open")))
+
+    start = F.struct(F.array().cast("array<string>").alias("names"), F.array(value).alias("open"))
+    levels = F.sequence(F.lit(0), F.length(F.regexp_replace(d, r"[^\[{]", "")))
+    names = F.aggregate(levels, start, deeper, lambda end: end["names"])
+    return F.when(value.isNotNull(), F.transform(names, lambda name: F.lower(F.replace(name, F.lit("-"), F.lit("_")))))
 
 
 def has_private_keys(document, keys: Sequence[str] = settings.PUBLIC_SPEAKER_KEYS) -> Column:
+    """Whether a JSON text has one of the keys at any depth.
+
+    Where an object repeats a key, its values cannot be told apart, and the text is judged as a whole: it counts if it
+    holds one of the keys in quotes, or an escaped character that might hide one.
+    """
+    d = _col(document)
     wanted = F.array(*[F.lit(k) for k in keys])
-    return F.coalesce(F.arrays_overlap(json_keys(document), wanted), F.lit(False))
+    plain = F.lower(F.replace(d, F.lit("-"), F.lit("_")))
+    named = F.exists(wanted, lambda k: F.contains(plain, F.concat(F.lit('"'), k, F.lit('"')))) | F.contains(plain, F.lit("\\u"))
+    repeats = F.try_parse_json(d).isNull() & F.get_json_object(d, "$").isNotNull()
+    return F.coalesce(F.arrays_overlap(json_keys(d), wanted), repeats & named, F.lit(False))
 
 
 REPORT_PREFIXES = ("reports/", "models/")

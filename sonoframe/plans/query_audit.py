@@ -126,9 +126,9 @@ def text_kinds(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", V.text_kind(content).alias("kind"))
 
 
-@query("json_key_findings", """SELECT event_id::VARCHAR AS path FROM events WHERE event_id % 7 IN (1, 3, 5)""")
+@query("json_key_findings", """SELECT event_id::VARCHAR AS path FROM events WHERE event_id % 7 IN (1, 3, 5, 6)""")
 def json_key_findings(spark, sf_dir):
-    """Event properties wrapped in nested documents; identifier keys at several depths."""
+    """Event properties wrapped in nested documents; identifier keys at several depths, escaped ones and beside repeated ones."""
     m = F.pmod("event_id", F.lit(7))
     wrap = lambda before, after: F.concat(F.lit(before), F.col("props"), F.lit(after))
     text = (
@@ -137,7 +137,8 @@ def json_key_findings(spark, sf_dir):
         .when(m == 3, wrap('[[{"speaker\\u005fname" : ', "}]]"))
         .when(m == 4, wrap('{"speaker_id": ', ""))
         .when(m == 5, wrap('{"x": {"y": {"z": {"per_speaker_recording_aggregated": ', "}}}}"))
-        .otherwise(F.col("props")))
+        .when(m == 6, wrap('{"k": ', ', "k": {"Speaker-ID": 2}}'))
+        .otherwise(wrap('{"k": ', ', "k": [2]}')))
     df = load(spark, sf_dir, "events").select("event_id", text.alias("doc"))
     return df.filter(V.has_private_keys("doc")).select(F.col("event_id").cast("string").alias("path"))
 

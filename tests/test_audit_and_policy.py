@@ -37,7 +37,9 @@ def test_findings_locate_but_never_show(spark):
 
 def test_nested_keys(spark):
     docs = {'{"a": [{"Speaker-ID": 1}]}': True, '{"a": "speaker_id"}': False, '{"a": "\\"speaker_id\\": 1"}': False, "[]": False,
-            '[[{"x": {"test_speaker_ids" : []}}]]': True, '{"speaker_id": ': False, '{"a": ":", "b": {"per_speaker_recording_aggregated": 1}}': True}
+            '[[{"x": {"test_speaker_ids" : []}}]]': True, '{"speaker_id": ': False, '{"a": ":", "b": {"per_speaker_recording_aggregated": 1}}': True,
+            '{"speaker\\u005fid": [null, 1.5e3]}': True, "[" * 300 + '{"speaker_id": 1}' + "]" * 300: True, '{"k": 1, "k": {"Speaker-ID": 2}}': True,
+            '{"k": 1, "k": {"other": "speaker_id,"}}': False, '{"k": 1, "k": {"speaker\\u005fid": 2}}': True, "null": False, "speaker_id": False}
     df = spark.createDataFrame([(d,) for d in docs], "d string")
     assert {r["d"]: r["h"] for r in df.select("d", V.has_private_keys("d").alias("h")).collect()} == docs
 

@@ -55,6 +55,24 @@ def test_long_chain_is_one_group(spark):
     assert [r["root"] for r in roots] == ["00000"]
 
 
+@pytest.mark.parametrize("edges_at_once", [7, 1 << 18])
+def test_a_hub_contracts_inside_tasks(spark, monkeypatch, edges_at_once):
+    monkeypatch.setattr(G, "_EDGES", edges_at_once)
+    random = np.random.default_rng(5)
+    pairs = [("hub", f"n{i:04d}") for i in range(600)] + [(f"n{random.integers(0, 900):04d}", f"n{random.integers(0, 900):04d}") for _ in range(500)]
+    want = {n: n for p in pairs for n in p}
+    for _ in range(len(want)):
+        before = dict(want)
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+        if before == want:
+            break
+    edges = spark.createDataFrame(pairs, "a string, b string").repartition(8)
+    assert {r["node"]: r["root"] for r in G.smallest_reachable(edges).collect()} == want
+    inside = edges.mapInArrow(G._contracted, "u string, v string")
+    assert all(r["v"] < r["u"] for r in inside.collect())
+
+
 def split_table(spark, speakers=25):
     labels = settings.EMOTIONS
     rows = [(s * 8 + i, "d", f"s{s:02d}", f"r{s}-{i}", f"r{s}-{i}", "", f"p{s}-{i}", "", labels[(s + i) % 4], "") for s in range(speakers) for i in range(8)]
