@@ -1,4 +1,8 @@
-"""The corpus pipeline: toxicity, line dedup, SimHash near-dedup, mixing to target weights, packing."""
+"""The corpus pipeline: toxicity, line dedup, SimHash near-dedup, mixing to target weights, packing.
+
+Every stage takes null ids, texts and sources, empty and very long texts, repeated rows, empty tables and further columns under any name, which
+pass through all stages but the last.  The stages say what becomes of such rows.
+"""
 
 import uuid
 
@@ -10,28 +14,41 @@ from sonoframe.llm.shared import shared_folder
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the trained scorer calls toxic go; learning follows the rule of its query."""
+    """Documents that the trained scorer calls toxic go; learning follows the rule of its query.
+
+    Null and empty texts get the score of a text without words, equal texts the same score, whatever their ids.
+    """
     model = toxicity.fit_on_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score_toxicity(docs, model, to="_toxicity").filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    score, taken = "_toxicity", {c.lower() for c in docs.columns}
+    while score in taken:
+        score += "_"
+    return toxicity.score_toxicity(docs, model, to=score).filter(F.col(score) < 0.5).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines leave the texts; every document stays, with its new length."""
+    """Repeated and nearly repeated lines leave the texts; every document stays, with its new length.
+
+    Null texts stay null, and a document may end empty; rows without an id keep all lines.  Rows of several texts under one id lose a
+    position together.
+    """
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies the document with the smallest id stays."""
+    """Of each group of near-copies the document with the smallest id stays, and one of its repeated rows; so does each row without an id.
+
+    Null and blank texts are copies of each other.
+    """
     return simhash.keep_one_per_component(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources uses it."""
+    """Every document as often as the mix of sources uses it; a null source is a source, and texts without words come as often as their whole source."""
     return mixing.mixed_documents(docs).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents in sequences."""
+    """Token pieces of the documents in sequences; a null or empty text is its closing token alone."""
     return packing.pack(docs)
 
 
@@ -47,7 +64,7 @@ ORACLE_SQL = None  # a trained scorer, sketches and a byte-pair encoder are beyo
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents, each written and reread before the next."""
+    """Apply all stages to the documents, each written and reread before the next; an empty table gives an empty result."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
