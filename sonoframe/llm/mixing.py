@@ -124,11 +124,20 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     length is a subset-sum problem over the (length, count) table, which has a row per distinct length.  Which documents of a length are used is drawn
     by a seeded hash of id and text, so reruns agree.
 
-    Null texts count 0 words, and so do empty ones; neither is used.  A null source is a source of its own, last in order.  Rows that repeat an id
+    Null texts count 0 words, and so do empty ones; they take nothing, and ``times`` is what the whole source is used.  A null source is a source of its own, last in order.  Rows that repeat an id
     are documents of their own; if they are equal, which of them is used once more makes no difference.  An
     empty table gives an empty result; further columns are not carried.
     """
-    chance = F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+    return _mix(docs, id_column, text_column, source_column, weights, most, total_share, seed, window).drop("chance")
+
+
+def _chance(id_column: str, text_column: str, seed: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+
+
+def _mix(docs: DataFrame, id_column: str, text_column: str, source_column: str, weights, most: int, total_share: float, seed: str, window: int) -> DataFrame:
+    """The rows of ``mix`` with the ``chance`` that id and text give a document."""
+    chance = _chance(id_column, text_column, seed)
     sized = stored(docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{source_column}`").alias("source"),
                                word_count(F.col(f"`{text_column}`")).alias("size"), chance.alias("chance")))
     lengths = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -155,16 +164,30 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     cut = placed.filter("before < extra and before + held > extra").withColumn("more", (F.col("before") + rank <= F.col("extra")).cast("long"))
     whole = placed.filter("before >= extra or before + held <= extra").withColumn("more", (F.col("before") < F.col("extra")).cast("long"))
     plain = joined.filter("extra <= 0 or extra >= n").withColumn("more", (F.col("extra") > 0).cast("long"))
-    out = ["doc_id", "source", "size", "source_size", "target", "whole", "more"]
+    out = ["doc_id", "source", "size", "source_size", "target", "whole", "more", "chance"]
     both = plain.select(out).unionByName(whole.select(out)).unionByName(cut.select(out))
     return both.withColumn("times", F.col("whole") + F.col("more")).withColumn("taken", F.col("times") * F.col("size")).drop("whole", "more")
 
 
-def mixed_documents(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix uses it, columns as they were.
+def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", *, weights=WEIGHTS,
+                    most: int = MOST, total_share: float = 1.0, seed: str = SEED, window: int = WINDOW) -> DataFrame:
+    """``docs`` with every row as often as the mix uses it, columns as they were, under any name.
 
-    Rows that repeat an id share its uses evenly only if they are equal; otherwise each id uses the most that one of its rows has.
+    Rows are told apart by id, text and source.  Rows equal in all three share their uses evenly, what is left over by a hash of the whole row, so
+    reruns agree.  Null and empty texts have no words; they come as often as their whole source does.  A null source or id is one of its own.  Very long texts are taken
+    whole or not at all.  An empty table gives an empty result.
     """
-    times = stored(mix(docs, id_column, **options).filter("times > 0").groupBy("doc_id").agg(F.max("times").alias("_times")).withColumnRenamed("doc_id", "_mixed_id"))
-    used = attach(docs, times, F.col(f"`{id_column}`").eqNullSafe(F.col("_mixed_id")), "inner")
-    return used.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_mixed_id", "_times", "_copy")
+    uses = _mix(docs, id_column, text_column, source_column, weights, most, total_share, seed, window)
+    names = {"doc_id": "mixed_id", "source": "mixed_source", "chance": "mixed_chance"}
+    uses = stored(uses.groupBy(*names).agg(F.sum("times").alias("uses"), F.count("*").alias("rows")).filter("uses > 0").withColumnsRenamed(names))
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])  # as one column, so that no name can clash
+    rows = docs.select(row.alias("row"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{source_column}`").alias("source"), _chance(id_column, text_column, seed).alias("chance"))
+    same = F.col("id").eqNullSafe(F.col("mixed_id")) & F.col("source").eqNullSafe(F.col("mixed_source")) & (F.col("chance") == F.col("mixed_chance"))
+    used = attach(rows, uses, same, "inner")
+    times = used.select("row", F.col("uses").alias("times"))
+    if not uses.filter("rows > 1").isEmpty():
+        rank = F.row_number().over(Window.partitionBy("id", "source", "chance").orderBy(F.xxhash64(F.to_json("row"))))
+        shared = used.filter("rows > 1").withColumn("rank", rank).select("row", F.expr("uses div rows + if(rank <= uses % rows, 1, 0)").alias("times"))
+        times = used.filter("rows = 1").select("row", F.col("uses").alias("times")).unionByName(shared)
+    copies = times.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return copies.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -35,7 +35,7 @@ def _fingerprints(batches):
     for batch in pieces(batches):
         texts = batch.column(1).cast(pa.binary())
         prints = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), prints], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), prints, *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def _near(keys, prints):
@@ -94,6 +94,23 @@ def _links(batches):
         yield linked(len(keys))
 
 
+def _with_components(rows: DataFrame, *beside: str) -> DataFrame:
+    """``doc_id, fp``, the long columns named ``beside``, ``component_id`` and ``root``, the fingerprint that names the component, of (id, text, ...) rows."""
+    prints = stored(rows.mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in ("doc_id", "fp", *beside))))
+    first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    variants = first.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("v")).select(
+        F.expr(f"(cast(v as long) << 32) | (shiftrightunsigned(fp, v div {WIDTH} * {WIDTH}) & 4294967295L & ~shiftleft(1L, v % {WIDTH}))").alias("key"), "fp")
+    links = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
+    roots = components(links)
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    linked = stored(members.join(first, members.node == first.fp).select("fp", "root", "first"))
+    smallest = stored(linked.groupBy("root").agg(F.min("first").alias("smallest")))
+    named = attach(linked.select("fp", "root"), smallest, "root", "inner").select(F.col("fp").alias("linked_fp"), "root", "smallest")
+    components_of = stored(first.join(named, first.fp == F.col("linked_fp"), "left").select(
+        "fp", F.when(F.col("linked_fp").isNull(), F.col("first")).otherwise(F.col("smallest")).alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return attach(prints, components_of, "fp").select("doc_id", "fp", *beside, "component_id", "root")
+
+
 def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` of every row: documents linked by fingerprints at 3 or fewer differing bits.
 
@@ -101,31 +118,34 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text_column:
     keys, a 32-bit half with one bit masked; two fingerprints within 3 bits share a half up to one bit and so meet under a key,
     where the whole distance is verified.  Nothing is capped.
 
-    Null and blank texts have the fingerprint zero and link to each other like any other.  Rows that repeat an id stay
-    separate rows with the same component.  A null id keeps its fingerprint and gets its component's smallest id, null
+    Null and blank texts have the fingerprint zero and link to each other like any other; very long texts count whole.  Rows that repeat
+    an id stay separate rows.  A null id keeps its fingerprint and gets its component's smallest id, null
     if it has none.  An empty table gives an empty result; further columns are not carried.
     """
     rows = checked_columns(docs, id_column, text_column).select(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
-    prints = stored(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
-    first = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    variants = first.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("v")).select(
-        F.expr(f"(cast(v as long) << 32) | (shiftrightunsigned(fp, v div {WIDTH} * {WIDTH}) & 4294967295L & ~shiftleft(1L, v % {WIDTH}))").alias("key"), "fp")
-    links = variants.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
-    roots = components(links)
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = stored(members.join(first, members.node == first.fp).select("fp", "root", "first"))
-    smallest = stored(linked.groupBy("root").agg(F.min("first").alias("smallest")))
-    named = attach(linked.select("fp", "root"), smallest, "root", "inner").select(F.col("fp").alias("linked_fp"), "smallest")
-    components_of = stored(first.join(named, first.fp == F.col("linked_fp"), "left").select(
-        "fp", F.when(F.col("linked_fp").isNull(), F.col("first")).otherwise(F.col("smallest")).alias("component_id")))
-    return attach(prints, components_of, "fp").select("doc_id", "fp", "component_id")
+    return _with_components(rows).drop("root")
 
 
 def keep_one_per_component(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; columns stay.
+    """``docs`` with one row of every component, that with the smallest id; columns stay.
 
-    Rows that repeat the kept id all stay, and so do rows without an id, which no other row can stand for.
+    Rows are told apart by id and text.  Of rows of one component that repeat its smallest id, the one with the smallest hash of its
+    text stays, and of equal texts one row; a row whose id also belongs to a near-copy stays if its own text is near no other.
+    Rows without an id stay, as no other row can stand for them.  Null, blank and very long texts are compared like any other, an empty
+    table gives an empty result, and further columns pass through under any name.
     """
-    found = simhash_components(docs, id_column, text_column)
-    dropped = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped_id")).distinct())
-    return attach(docs, dropped, docs[id_column] == dropped["_dropped_id"], "left_anti")
+    number, text = F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string")
+    digest = F.xxhash64(text).alias("digest")
+    found = stored(_with_components(docs.select(number, text.alias("text"), digest), "digest"))
+    dropped = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), number, digest)  # as one column, so that no name can clash
+    kept = attach(rows, dropped, (F.col("id") == F.col("gone_id")) & (F.col("digest") == F.col("gone_digest")), "left_anti")
+    smallest = found.filter("doc_id = component_id")
+    repeated = stored(smallest.groupBy("doc_id", "root").agg(F.count("*").alias("n"), F.min("digest").alias("least")).filter("n > 1").drop("n"))
+    if not repeated.isEmpty():
+        named = stored(attach(smallest.select("doc_id", "root", "digest"), repeated, ["doc_id", "root"], "inner").select(
+            F.col("doc_id").alias("same_id"), F.col("digest").alias("same_digest"), (F.col("digest") == F.col("least")).alias("stays")).distinct())
+        marked = attach(kept, named, (F.col("id") == F.col("same_id")) & (F.col("digest") == F.col("same_digest")))
+        one = marked.filter("stays").groupBy("id", "digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = marked.filter("stays is null").select("row").unionByName(one.select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

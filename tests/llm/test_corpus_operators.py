@@ -489,3 +489,50 @@ def test_windows_without_template_pairs_are_not_licences(spark):
     plain = {(r["doc_id"], r["paragraph"]) for r in likely.collect()
              if any(len(t & set(r["pairs"])) >= 0.5 * max(1, min(len(t), len(r["pairs"]))) for t in templates.get(r["family"], ()))}
     assert plain and plain == {(r["doc_id"], r["paragraph"]) for r in licences.find_licences(docs, model).collect()}
+
+
+def test_rows_that_repeat_an_id_lose_no_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    own = " ".join(f"own{i}" for i in range(50))
+    rows = [(1, " ".join(words), "a"), (1, " ".join(words), "a"), (2, " ".join(words), "b"), (2, own, "b"), (3, own + " " + own, "c"),
+            (4, "one text of four", "d"), (4, "quite another thing altogether", "d"), (None, " ".join(words), None), (6, None, "e"), (6, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(0) for c in ("row", "id", "digest", "root", "gone_id", "stays")})
+    kept = simhash.keep_one_per_component(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    prints = [simhash.fingerprint(t.encode() if t else None) for _, t, _ in rows]
+    linked = groups_of([(a, b) for a in range(len(rows)) for b in range(a) if ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 3], range(len(rows)))
+    assert len(got) == len({linked[i] for i, r in enumerate(rows) if r[0] is not None}) + 1
+    assert got.count((1, rows[0][1])) == 1 and (2, own) in got and (4, rows[5][1]) in got and (4, rows[6][1]) in got and (2, rows[0][1]) not in got
+    assert (None, rows[0][1]) in got and len([d for d, _ in got if d == 6]) == 1
+    again = simhash.keep_one_per_component(docs.repartition(7)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, kept.collect()))
+    assert simhash.keep_one_per_component(docs.limit(0)).count() == 0
+
+
+def test_mixed_rows_that_repeat_an_id(spark):
+    rows = [(1, "a b c", "s", 1), (1, "a b c", "s", 2), (1, "d e f g h", "s", 3), (1, "a b c", "t", 4), (2, None, "t", 5), (None, "x y", None, 6), (3, "k " * 9, "t", 7), (4, "", None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("_times", "times", "row", "uses", "rows", "chance", "copy")})
+    for weights in ((1, 2, 3), (3, 1)):
+        planned = mixing.mix(docs, weights=weights).collect()
+        mixed = mixing.mixed_documents(docs, weights=weights)
+        assert mixed.columns == docs.columns
+        got = mixed.collect()
+        for source in ("s", "t", None):
+            size = lambda r: len((r["text"] or "").split())
+            assert sum(size(r) for r in got if r["source"] == source) == sum(r["taken"] for r in planned if r["source"] == source)
+        uses = [sum(r["n_chars"] == n for r in got) for n in (1, 2)]
+        assert abs(uses[0] - uses[1]) <= 1
+        assert sorted(map(repr, mixing.mixed_documents(docs.repartition(5), weights=weights).collect())) == sorted(map(repr, got))
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_pipeline_stages_take_odd_tables(spark):
+    rows = odd(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    for docs in (rows, empty(spark), rows.withColumns({"row": F.lit(1), "_toxicity": F.lit("x"), "removed": F.lit(2)})):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert name == "packing" or out.columns == docs.columns
+            assert got if docs is rows else len(got) >= 0
+            assert name != "line_dedup" or len(got) == docs.count()
