@@ -53,11 +53,12 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str =
 
 
 def as_stream(df: DataFrame, folder: str, *, closing: DataFrame | None = None, slices: int = 3) -> DataFrame:
-    """Write rows as consecutive time slices and read them back as a stream, file by file.
+    """Write rows as consecutive time slices and read them back as a stream, about a slice in each micro-batch.
 
     Slices are written one after the other, so the file source lists them in time
-    order, and the closing rows come last.  Files of one slice may be read in any
-    order: use a watermark delay of at least one slice length, as returned by
+    order, and the closing rows come last.  However many files a slice has, the micro-batches are as
+    many as the slices, and one for the closing rows.  Files of one slice may be read in any
+    order, and a micro-batch may reach into the next slice: use a watermark delay of at least one slice length, as returned by
     ``slice_delay``.  Rows without a time have no place in a stream: they go to
     ``<folder>-untimed`` as Parquet, and a warning tells how many they are.
     """
@@ -74,7 +75,9 @@ def as_stream(df: DataFrame, folder: str, *, closing: DataFrame | None = None, s
         df.filter(F.col("ts").isNotNull() if i == 0 and slices == 1 else part).write.mode("append").parquet(folder)
     if closing is not None:
         closing.select(*df.columns).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = len(spark.read.schema(df.schema).parquet(folder).inputFiles())
+    batches = slices + (closing is not None)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(folder)
 
 
 def slice_delay(df: DataFrame, slices: int = 3) -> str:

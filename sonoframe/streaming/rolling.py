@@ -1,4 +1,4 @@
-"""Stateful stream operators, one state per stream key.
+"""Stateful stream operators, one fold per stream key.
 
 Micro-batches may deliver rows out of order, and every fold here depends on the
 order.  So each operator keeps rows in a list state until the watermark has passed them,
@@ -9,6 +9,7 @@ a timer where a key has been silent for ``erase_after_ms``.
 Queries over these operators need the RocksDB state store; ``replay.run_available`` sets it.
 """
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,78 +27,107 @@ def _plain(value):
 
 
 class OrderedFold(StatefulProcessor):
-    """Fold the rows of a key in the order of ``(ts_ms, tie)`` once the watermark has passed them.
+    """Fold the rows of each key in the order of ``(ts_ms, tie)`` once the watermark has passed them.
 
-    ``step(state, row)`` takes the state as a tuple, None at first, and a held row ``(ts_ms, tie, value, is_end)``; it returns the new
+    ``step(state, row)`` takes the state as a tuple, None at first, and a row ``(ts_ms, tie, value, is_end)``; it returns the new
     state and what to emit, or None.  State per key: the fold's own value, the rows still inside the watermark delay, the last time seen.
+    Every access to the state is a round trip from Python that costs far more than a row does, so the state store holds the
+    keys by buckets: one pickled entry for all rows that a micro-batch brings a bucket, and one for the values of all its keys.
     """
 
-    def __init__(self, step: Callable, value_type: str, state_type: str, emitted: list[str], keys: list[str], erase_after_ms: int | None):
+    def __init__(self, step: Callable, emitted: list[str], keys: list[str], erase_after_ms: int | None):
         self.step, self.emitted, self.keys, self.erase_after_ms = step, emitted, keys, erase_after_ms
-        self.held_type = f"ts_ms long, tie long, value {value_type}, is_end boolean"
-        self.state_type = state_type + ", last_ts long"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", self.held_type)
-        self.value = handle.getValueState("value", self.state_type)
+        self.handle, self.done = handle, set()
+        self.held = handle.getListState("held", "rows binary")
+        self.value = handle.getValueState("value", "folds binary")
+
+    def _rows(self) -> list[tuple]:
+        """Held rows ``(key, ts_ms, tie, value, is_end)``."""
+        return [r for entry in self.held.get() for r in pickle.loads(entry[0])] if self.held.exists() else []
+
+    def _hold(self, rows: list[tuple], put: bool = False) -> None:
+        if rows:
+            entry = (pickle.dumps(rows),)
+            self.held.put([entry]) if put else self.held.appendValue(entry)
+            self.handle.registerTimer(min(r[1] for r in rows))
+        elif put:
+            self.held.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for frame in rows for r in zip(*[frame[c].tolist() for c in ("ts_ms", "tie", "value", "is_end")])]
-        new = [(int(t), int(tie), _plain(v), bool(end)) for t, tie, v, end in new]
-        if any(end for *_, end in new):
-            yield from self._folded(key, (list(self.held.get()) if self.held.exists() else []) + new, erase=True)
-        elif new:
-            self.held.appendList(new)
-            self.handle.registerTimer(min(t for t, *_ in new))
+        names = [*self.keys, "ts_ms", "tie", "value", "is_end"]
+        n = len(self.keys)
+        new = [r for frame in rows for r in zip(*[frame[c].tolist() for c in names])]
+        new = [(tuple(map(_plain, r[:n])), int(r[n]), int(r[n + 1]), _plain(r[n + 2]), bool(r[n + 3])) for r in new]
+        ended = {r[0] for r in new if r[4]}
+        if ended:
+            rows = self._rows() + new
+            self._hold([r for r in rows if r[0] not in ended], put=True)
+            yield from self._folded([r for r in rows if r[0] in ended])
+        else:
+            self._hold(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if key in self.done:  # the first timer of a bucket has done what all its expired ones ask for
+            return
+        self.done.add(key)
         watermark = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.held.get()) if self.held.exists() else []
-        ready, rest = [r for r in rows if r[0] <= watermark], [r for r in rows if r[0] > watermark]
+        rows = self._rows()
+        ready, rest = [r for r in rows if r[1] <= watermark], [r for r in rows if r[1] > watermark]
         if ready:
-            if rest:
-                self.held.put(rest)
-                self.handle.registerTimer(min(r[0] for r in rest))
-            else:
-                self.held.clear()
-            yield from self._folded(key, ready)
-        elif not rest and self.erase_after_ms is not None and self.value.exists() and self.value.get()[-1] + self.erase_after_ms <= watermark:
-            self.value.clear()
+            self._hold(rest, put=True)
+        yield from self._folded(ready, watermark, {r[0] for r in rest})
 
-    def _folded(self, key, rows, erase: bool = False) -> Iterator[pd.DataFrame]:
-        state = tuple(self.value.get())[:-1] if self.value.exists() else None
-        rows, out = sorted(rows, key=lambda r: (r[0], r[3], r[1])), []
+    def _folded(self, rows: list[tuple], watermark: int | None = None, waiting: set | None = None) -> Iterator[pd.DataFrame]:
+        """Fold rows that are due; with a watermark, erase the keys that are silent and wait for nothing."""
+        folds = pickle.loads(self.value.get()[0]) if self.value.exists() else {}  # key to state and last time
+        by_key, out, erased = {}, [], False
         for row in rows:
-            state, emitted = (None, None) if row[3] else self.step(state, row)
-            if emitted is not None:
-                out.append(emitted)
-        if erase:
-            self.held.clear()
-        if state is None:
+            by_key.setdefault(row[0], []).append(row[1:])
+        for key, own in by_key.items():
+            own.sort(key=lambda r: (r[0], r[3], r[1]))
+            state = folds.pop(key, (None, None))[0]
+            for row in own:
+                state, emitted = (None, None) if row[3] else self.step(state, row)
+                if emitted is not None:
+                    out.append((*key, *emitted))
+            if state is not None:
+                folds[key] = (state, own[-1][0])
+        if self.erase_after_ms is not None:
+            if watermark is not None:
+                silent = [k for k, (_, last) in folds.items() if last + self.erase_after_ms <= watermark and k not in waiting]
+                erased = any([folds.pop(k) for k in silent])
+            if folds and (rows or erased):
+                self.handle.registerTimer(max(min(last for _, last in folds.values()) + self.erase_after_ms, (watermark or 0) + 1))
+        if not folds:
             self.value.clear()
-        else:
-            self.value.update((*state, int(rows[-1][0])))
-            if self.erase_after_ms is not None:
-                self.handle.registerTimer(int(rows[-1][0]) + self.erase_after_ms)
+        elif rows or erased:
+            self.value.update((pickle.dumps(folds),))
         if out:
-            columns = dict(zip(self.emitted, zip(*out)))
-            yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(self.keys, key)}, **{c: list(v) for c, v in columns.items()}})
+            yield pd.DataFrame({c: list(v) for c, v in zip([*self.keys, *self.emitted], zip(*out))})
 
     def close(self) -> None:
         pass
 
 
-def _folded(stream: DataFrame, processor: OrderedFold, keys: list[str], ts: str, tie: str | None, value: str, output: str, delay: str) -> DataFrame:
+BUCKETS = 512  # of keys in the state store; all rows of a bucket inside the watermark delay are in one task's memory when they are folded
+
+
+def _folded(
+    stream: DataFrame, processor: OrderedFold, keys: list[str], ts: str, tie: str | None, value: str, output: str, delay: str, buckets: int,
+) -> DataFrame:
     tied = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
-    rows = stream.select(*keys, F.col(ts).alias("ts"), "ts_ms", F.coalesce(tied, F.lit(0).cast("long")).alias("tie"), F.col(value).alias("value"), F.coalesce("is_end", F.lit(False)).alias("is_end"))
-    return rows.withWatermark("ts", delay).groupBy(*keys).transformWithStateInPandas(
+    rows = stream.select(
+        F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), *[F.col(k).cast("string").alias(k) for k in keys], F.col(ts).alias("ts"), "ts_ms",
+        F.coalesce(tied, F.lit(0).cast("long")).alias("tie"), F.col(value).alias("value"), F.coalesce("is_end", F.lit(False)).alias("is_end"))
+    return rows.withWatermark("ts", delay).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime")
 
 
 def rolling_windows(
     stream: DataFrame, window: int, interval_ms: int, *, keys: tuple[str, ...] = ("stream_id", "session_id"),
-    ts: str = "ts", tie: str | None = None, delay: str = "2 seconds", erase_after_ms: int | None = None,
+    ts: str = "ts", tie: str | None = None, delay: str = "2 seconds", erase_after_ms: int | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Last ``window`` samples of each key, emitted at least ``interval_ms`` apart.
 
@@ -115,15 +145,15 @@ def rolling_windows(
         due = len(tail) == window and (last < 0 or now - last >= interval_ms)
         return (tail, now if due else last), ((now, tail) if due else None)
 
-    fold = OrderedFold(step, "array<float>", "tail array<float>, last_emit long", ["ts_ms", "samples"], keys, erase_after_ms)
+    fold = OrderedFold(step, ["ts_ms", "samples"], keys, erase_after_ms)
     output = ", ".join(f"{k} string" for k in keys) + ", ts_ms long, samples array<float>"
     # the filter makes Spark hand compact rows to whatever Arrow step follows
-    return _folded(stream, fold, keys, ts, tie, "samples", output, delay).filter(F.size("samples") == window)
+    return _folded(stream, fold, keys, ts, tie, "samples", output, delay, buckets).filter(F.size("samples") == window)
 
 
 def smooth_stream(
     stream: DataFrame, *, label: str = "candidate_emotion", keys: tuple[str, ...] = ("stream_id", "session_id"),
-    ts: str = "ts", tie: str | None = None, delay: str = "2 seconds", erase_after_ms: int | None = None,
+    ts: str = "ts", tie: str | None = None, delay: str = "2 seconds", erase_after_ms: int | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Label hysteresis on a stream of updates; a NULL label resets the key's state.
 
@@ -139,9 +169,9 @@ def smooth_stream(
         shown = row[2] if shown is None or recent.count(row[2]) >= 2 else shown
         return (recent, shown), (row[0], row[2], shown)
 
-    fold = OrderedFold(step, "string", "recent array<string>, shown string", ["ts_ms", "label", "smoothed"], keys, erase_after_ms)
+    fold = OrderedFold(step, ["ts_ms", "label", "smoothed"], keys, erase_after_ms)
     output = ", ".join(f"{k} string" for k in keys) + ", ts_ms long, label string, smoothed string"
-    return _folded(stream, fold, keys, ts, tie, label, output, delay)
+    return _folded(stream, fold, keys, ts, tie, label, output, delay, buckets)
 
 
 def drop_stale_sessions(df: DataFrame, sessions: DataFrame, key: str = "stream_id") -> DataFrame:

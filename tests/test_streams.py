@@ -106,3 +106,30 @@ def test_verdicts_join_updates_once(spark, tmp_path):
     found = run(joined, tmp_path, spark).collect()
     assert sorted((r["update_id"], r["verdict_confidence"]) for r in found if r["update_id"] < 9) == [(1, 0.2), (2, 0.3), (3, 0.4), (4, None), (5, None), (6, 0.7)]
     assert {r["update_id"]: r["note"] for r in found}[2] == "y"
+
+
+def test_micro_batches_do_not_grow_with_the_files(spark, tmp_path):
+    df = spark.range(90).select("id", F.timestamp_millis(F.col("id") * 1000).alias("ts")).repartition(6)
+    stream = R.as_stream(df, str(tmp_path / "in"), closing=df.limit(1))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) <= 4
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 91
+
+
+def test_keys_of_one_bucket_are_folded_apart(spark, tmp_path):
+    """Keys that share a state entry, a missing one among them; an end row, a silent key and a late row touch their own key only."""
+    schema = "stream_id string, session_id string, ts_ms long, candidate_emotion string, is_end boolean"
+    timed = lambda rows: spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_millis("ts_ms")).coalesce(1)
+    batches = [
+        [(k, "0", 1_000, v, False) for k, v in (("a", "x"), ("b", "y"), (None, "z"))] + [("a", "0", 9_000, "y", False)],
+        [("b", "0", 9_000, "x", False), ("b", "0", 9_001, None, True), (None, "0", 2_000, "x", False), (None, "0", 9_500, "x", False), ("c", "0", 500, "late", False)],
+        [("a", "0", 30_000, "y", False), ("b", "0", 30_000, "x", False), (None, "0", 30_000, "z", False)],
+        [(k, "0", 60_000, None, True) for k in ("a", "b", None)]]
+    for rows in batches:
+        timed(rows).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(timed(rows).schema).parquet(str(tmp_path / "in"))
+        out = run(K.smooth_stream(stream, delay="7 seconds", erase_after_ms=15_000, buckets=1), tmp_path, spark)
+    found = {(r["stream_id"], r["ts_ms"]): r["smoothed"] for r in out.collect()}
+    assert found == {("a", 1_000): "x", ("a", 9_000): "x", ("a", 30_000): "y", ("b", 1_000): "y", ("b", 9_000): "y", ("b", 30_000): "x",
+                     (None, 1_000): "z", (None, 9_500): "z", (None, 30_000): "z"}
