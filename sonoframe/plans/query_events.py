@@ -149,12 +149,12 @@ def stream_sliding_activity(spark, sf_dir):
 
 
 # --- gate cascades on synthetic measures derived from events --------------------------------------
-def measured_updates(spark, sf_dir):
-    """Quality and prediction columns computed from each event, to drive the cascades."""
+def measured_updates(spark, sf_dir, *more):
+    """Quality and prediction columns computed from each event, to drive the cascades, and further columns of the event."""
     e, v = F.col("event_id"), F.col("value")
     unit = F.least(v / 100.0, F.lit(1.0))
     return events(spark, sf_dir).select(
-        "event_id", "user_id", "ts_ms", F.pmod(e, F.lit(13)).cast("int").alias("active_frame_count"),
+        "event_id", "user_id", "ts_ms", *more, F.pmod(e, F.lit(13)).cast("int").alias("active_frame_count"),
         (F.pmod(e, F.lit(10)) / 10.0).alias("activity_ratio"), F.pmod(e, F.lit(17)).cast("int").alias("longest_active_run"),
         F.when(e % 11 == 0, "LOW_QUALITY").when(e % 11 == 1, "UNCERTAIN").otherwise("ACCEPTABLE").alias("quality_status"),
         unit.alias("audio_quality"), F.when(e % 19 == 0, "INVALID").when(e % 19 == 1, "UNCALIBRATED").otherwise("READY").alias("registry_status"),
@@ -202,9 +202,9 @@ def _updates_and_verdicts(spark, sf_dir):
     e = F.col("event_id")
     said = F.col("event_type").isin("error", "signup")
     df = events(spark, sf_dir)
-    measured = measured_updates(spark, sf_dir).drop("verdict_status", "verdict_confidence").withColumns(
+    measured = measured_updates(spark, sf_dir, "ts", said.alias("_said")).drop("verdict_status", "verdict_confidence").withColumns(
         {"active_frame_count": F.lit(9), "activity_ratio": F.lit(0.9), "longest_active_run": F.lit(9)})
-    updates = measured.join(df.select("event_id", "ts", said.alias("_said")), "event_id").filter(~F.col("_said")).drop("_said")
+    updates = measured.filter(~F.col("_said")).drop("_said")
     verdicts = df.filter(said).select(
         "user_id", "ts", "ts_ms", "event_id", F.when(e % 7 == 0, "NON_TARGET").when(e % 7 == 1, "OVERLAP").otherwise("TARGET_ACTIVE").alias("verdict_status"),
         (F.pmod(e, F.lit(37)) / 36.0).alias("verdict_confidence"))

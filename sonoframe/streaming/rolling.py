@@ -26,6 +26,10 @@ def _plain(value):
     return None if isinstance(value, float) and value != value else value
 
 
+def _by_time(row: tuple):
+    return row[0], row[3], row[1]
+
+
 class OrderedFold(StatefulProcessor):
     """Fold the rows of each key in the order of ``(ts_ms, tie)`` once the watermark has passed them.
 
@@ -35,7 +39,8 @@ class OrderedFold(StatefulProcessor):
     keys by buckets: one pickled entry for all rows that a micro-batch brings a bucket, and one for the values of all its keys.
     """
 
-    def __init__(self, step: Callable, emitted: list[str], keys: list[str], erase_after_ms: int | None):
+    def __init__(self, step: Callable, emitted: list[str], keys: list[str], erase_after_ms: int | None, order: Callable = _by_time):
+        self.order = order
         self.step, self.emitted, self.keys, self.erase_after_ms = step, emitted, keys, erase_after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -86,7 +91,7 @@ class OrderedFold(StatefulProcessor):
         for row in rows:
             by_key.setdefault(row[0], []).append(row[1:])
         for key, own in by_key.items():
-            own.sort(key=lambda r: (r[0], r[3], r[1]))
+            own.sort(key=self.order)
             state = folds.pop(key, (None, None))[0]
             for row in own:
                 state, emitted = (None, None) if row[3] else self.step(state, row)

@@ -133,3 +133,18 @@ def test_keys_of_one_bucket_are_folded_apart(spark, tmp_path):
     found = {(r["stream_id"], r["ts_ms"]): r["smoothed"] for r in out.collect()}
     assert found == {("a", 1_000): "x", ("a", 9_000): "x", ("a", 30_000): "y", ("b", 1_000): "y", ("b", 9_000): "y", ("b", 30_000): "x",
                      (None, 1_000): "z", (None, 9_500): "z", (None, 30_000): "z"}
+
+
+def test_verdict_join_meets_the_newest_verdict_alone(spark, tmp_path):
+    """Many verdicts inside the horizon make no pairs: no stream-stream join, and carried values keep their types and microseconds."""
+    at = lambda df: df.withColumn("ts", F.timestamp_micros("t")).drop("t")
+    updates = at(spark.createDataFrame([("a", 1, 5_000_001, 0.1, [1.5, None], None), ("a", 1, 5_000_001, 0.1, [1.5, None], None), ("a", 2, 4_999_999, float("nan"), None, "é\"")], "k string, u long, t long, x double, l array<double>, s string"))
+    verdicts = at(spark.createDataFrame([("a", i, 1_000 * i, f"v{i}", i / 7) for i in range(5_001)], "k string, v long, t long, verdict_status string, verdict_confidence double"))
+    far = F.timestamp_micros(F.lit(10**12))
+    for df, name in ((updates, "u"), (verdicts, "v")):
+        df.unionByName(df.limit(1).withColumn("ts", far)).write.parquet(str(tmp_path / name))
+    read = lambda name, df: spark.readStream.schema(df.schema).parquet(str(tmp_path / name))
+    joined = V.join_verdicts(read("u", updates), read("v", verdicts), "10 seconds", keys=["k"], update_id="u", order="v")
+    assert "StreamingSymmetricHashJoin" not in joined._jdf.queryExecution().toString() and "Join" not in joined._jdf.queryExecution().toString()
+    rows = [r for r in run(joined, tmp_path, spark).collect() if r["ts"].year == 1970 and r["ts"].day == 1]
+    assert sorted((r["u"], r["verdict_status"], r["verdict_confidence"], r["ts"].microsecond, r["l"], r["s"]) for r in rows) == [(1, "v5000", 5000 / 7, 1, [1.5, None], None), (2, "v4999", 4999 / 7, 999_999, None, 'é"')]
