@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonoframe.session import bounded_batches
 from sonoframe.settings import FrameSettings
 
 _MEASURES = "struct<valid:array<boolean>,frame_rms:array<double>,frame_zcr:array<double>,f0:array<double>,periodicity:array<double>>"
@@ -128,6 +129,7 @@ def measure_frames(
     range counts as voiced with 0 Hz, as the published features do; pass
     ``out_of_range_as_zero=False`` to treat it as unvoiced instead.
     """
+    bounded_batches(df.sparkSession)
     rate = cfg.sample_rate
     frame, hop = frame_samples(rate, cfg.frame_ms), frame_samples(rate, cfg.hop_ms)
 
@@ -161,6 +163,7 @@ def measure_quality(
     values equal those of ``quality_features``.  Use it for audio-length series,
     where one pass over the Arrow buffers beats interpreted lambdas.
     """
+    bounded_batches(df.sparkSession)
     rate = cfg.sample_rate
     size = frame_samples(rate, round(cfg.frame_ms))
 

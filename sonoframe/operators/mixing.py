@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sonoframe.functions.pitch import _list_parts
 from sonoframe.functions import series as S
 from sonoframe.operators.ordering import global_index, sized_join
+from sonoframe.session import bounded_batches
 
 SNR_RANGE_DB = (-20.0, 60.0)
 SIR_RANGE_DB = (-30.0, 30.0)
@@ -209,22 +210,27 @@ def mix(kind, samples="samples", other=None, level_db=None, seed=None) -> Column
 
 def mix_white_noise(df: DataFrame, snr_db, seed, *, samples: str = "samples") -> DataFrame:
     """Add seeded white noise at an exact signal-to-noise ratio."""
-    return df.withColumn(samples, mix("white", samples, None, _number(snr_db), _number(seed)))
+    return _replaced(df, samples, mix("white", samples, None, _number(snr_db), _number(seed)))
 
 
 def mix_background(df: DataFrame, other: str, snr_db, *, samples: str = "samples") -> DataFrame:
     """Add a tiled background at a signal-to-noise ratio."""
-    return df.withColumn(samples, mix("background", samples, other, _number(snr_db)))
+    return _replaced(df, samples, mix("background", samples, other, _number(snr_db)))
 
 
 def mix_interferer(df: DataFrame, other: str, sir_db, *, samples: str = "samples") -> DataFrame:
     """Add a second voice at a signal-to-interferer ratio of levels."""
-    return df.withColumn(samples, mix("voice", samples, other, _number(sir_db)))
+    return _replaced(df, samples, mix("voice", samples, other, _number(sir_db)))
 
 
 def apply_reverb(df: DataFrame, room: str, *, samples: str = "samples") -> DataFrame:
     """Convolve with an impulse response; length and level are kept."""
-    return df.withColumn(samples, mix("reverb", samples, room))
+    return _replaced(df, samples, mix("reverb", samples, room))
+
+
+def _replaced(df: DataFrame, samples: str, mixed: Column) -> DataFrame:
+    bounded_batches(df.sparkSession)
+    return df.withColumn(samples, mixed)
 
 
 def _number(value):
@@ -251,6 +257,7 @@ def augment(
     for value in (*snr_db, *background_snr_db):
         if not SNR_RANGE_DB[0] <= value <= SNR_RANGE_DB[1]:
             raise ValueError("augmentation SNR must be within [-20, 60] dB")
+    bounded_batches(train.sparkSession)
     keys = [order] if isinstance(order, str) else list(order)
     columns = [*train.columns, "augmentation"]
     parts = [train.withColumn("augmentation", F.lit("original"))]

@@ -14,6 +14,19 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "128",
 }
 
+# Bytes of an Arrow batch where rows hold samples or whole texts; Spark's own limit of 10,000 rows lets a batch grow with the partition.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session end at ``BATCH_BYTES``, unless its owner has set a number of bytes.
+
+    Spark reads the limit when it plans a job, so it stays set.  Results do not depend on it.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "sonoframe") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""

@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import series_frame, spoken, tone
 from pyspark.sql import functions as F
 
 from sonoframe.functions import scores as P
+from sonoframe.functions.pitch import measure_frames, measure_quality
 from sonoframe.operators import metrics as MT
 from sonoframe.operators import mixing as X
 from sonoframe.operators import model as ML
@@ -219,3 +221,24 @@ def test_plug_in_points_fail_closed(spark):
     assert live.with_verifier(audio).first()["verdict_status"] == "NOT_CONFIGURED"
     assert live.with_verifier(audio, lambda x: ("TARGET_ACTIVE", 0.9)).first()["verdict_confidence"] == pytest.approx(0.9)
     assert live.with_verifier(audio, lambda x: 1 / 0).first()["verdict_status"] == "UNCERTAIN"
+
+
+@pytest.mark.parametrize("step", [measure_quality, measure_frames, lambda df: X.mix_white_noise(df, 10.0, 7)])
+def test_batches_of_audio_length_rows_are_bounded_by_bytes(spark, step):
+    """Whatever number of rows the session allows, as Spark's own 10,000 rows of 24,000 samples are 960 MB."""
+    rows, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(rows)
+
+    @F.arrow_udf("long")
+    def together(samples: pa.Array) -> pa.Array:
+        return pa.array([len(samples)] * len(samples), pa.int64())
+
+    try:
+        spark.conf.set(rows, "10000"), spark.conf.unset(limit)
+        df = step(spark.range(0, 200, 1, 1).select(F.expr("transform(sequence(1, 24000), x -> cast(sin(x) as float))").alias("samples")))
+        assert df.select(together("samples").alias("n")).agg(F.max("n")).first()[0] <= 64
+        spark.conf.set(limit, "123456")
+        step(df.select("samples"))
+        assert spark.conf.get(limit) == "123456"  # the owner's own stays
+    finally:
+        spark.conf.set(rows, usual), spark.conf.unset(limit)
