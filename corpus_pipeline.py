@@ -4,6 +4,7 @@ Every stage takes null ids, texts and sources, empty and very long texts, repeat
 pass through all stages but the last.  The stages say what becomes of such rows.
 """
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.llm import lines, mixing, packing, simhash, toxicity
 from sonoframe.llm.shared import shared_folder
+from sonoframe.session import bounded_batches
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +54,24 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [
+def _bounded(stage):
+    """The stage with Arrow batches of whole texts limited in bytes, in the JVM and in Python, however long the texts are."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _bounded(stage)) for name, stage in (
     ("toxicity", reject_toxic),
     ("line_dedup", drop_repeated_lines),
     ("near_dedup", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
-]
+)]
 
 ORACLE_SQL = None  # a trained scorer, sketches and a byte-pair encoder are beyond SQL; tests compare with brute force
 

@@ -464,6 +464,36 @@ def test_pipeline_stage_by_stage(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id", "start", "ids").count() > 0
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES if name in ("line_dedup", "packing")])
+def test_pipeline_stages_bound_batches_by_bytes(spark, name):
+    rows, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(rows)
+    try:
+        spark.conf.set(rows, "10000"), spark.conf.unset(limit)
+        dict(corpus_pipeline.STAGES)[name](spark, empty(spark), SF)
+        texts = spark.range(0, 200, 1, 1).select(F.expr("repeat('word ', 20000)").alias("text"))
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert sizes.agg(F.max("n")).first()[0] <= 64  # 4 MB of 100,000 bytes each
+    finally:
+        spark.conf.set(rows, usual), spark.conf.unset(limit)
+
+
+def test_lines_compare_without_case_and_white_space():
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    assert not any(c.isprintable() for c in spaces if c != " ")
+    for line in ["", " ", "a", " a  b ", "ΑΣ", "ΑΣ Β", "İx", "\ud800 a", "\u200bq w", *[f"{c}A{c}b c{c}{c}" for c in spaces]]:
+        for least in (0, 1, 3):
+            words = line.lower().split()
+            assert lines.comparable(line, least) == (" ".join(words) if len(words) >= least else None)
+
+
+def test_sketches_see_the_shingles_of_one_line_only():
+    texts = ["a", "abcdefgh", "é" * 9, "abcdefghi" * 40_000, "short", "one line and another", "abcdefgh"]
+    together = lines.band_keys(texts)
+    assert (together == np.concatenate([lines.band_keys([t]) for t in texts])).all() and (together[1] == together[6]).all()
+    assert lines.band_keys([]).shape == (0, lines.BANDS + 1)
+
+
 def test_neighbours_of_long_copies_are_exact(spark):
     random = np.random.default_rng(8)
     centre = random.normal(0, 30_000, 24)
