@@ -17,7 +17,7 @@ AGREEING = 30        # of one bit from each of the 48 minima: pairs at similarit
 PAIRS = 512          # pairs of lines compared at a time
 FEW = 64             # up to so many lines of a bucket are compared together with those of other buckets
 DENSE = 2_048        # lines of a bucket that are compared in one task; a larger bucket is cut into parts
-PIECE = 1 << 16      # characters hashed at a time; keeps the working arrays in cache
+PIECE = 1 << 18      # characters hashed at a time; keeps the working arrays in cache
 
 _RANDOM = np.random.default_rng(20_240_607)
 _FACTORS = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -30,8 +30,9 @@ _LINE = "doc_id long, pos int, h1 long, h2 long"
 
 def comparable(line: str, min_words: int) -> str | None:
     """The line in lower case with single spaces; None if it is too short to take part."""
-    words = line.lower().split()
-    return " ".join(words) if len(words) >= min_words else None
+    line = line.lower()
+    line = " ".join(line.split()) if "  " in line or not line.isprintable() else line.strip()  # white space but the space is not printable
+    return line if (line.count(" ") + 1 if line else 0) >= min_words else None
 
 
 def _identity(line: str) -> bytes:
@@ -59,13 +60,17 @@ def _piece_keys(lines: list[str]) -> np.ndarray:
         hashes ^= hashes >> np.uint32(15)
         width *= 2
     ends = np.cumsum([len(x) for x in lines])
-    cuts = np.stack([np.concatenate([[0], ends[:-1]]), ends - SHINGLE + 1], axis=1).ravel()
+    whole = np.ones(ends[-1], bool)  # where a shingle lies in one line
+    for k in range(1, SHINGLE):
+        whole[ends - k] = False
+    hashes = hashes[:len(whole)][whole]
+    starts = np.concatenate([[0], ends[:-1] - np.arange(1, len(lines)) * (SHINGLE - 1)])
     minima = np.empty((BANDS * ROWS, len(lines)), np.uint32)
     work = np.empty_like(hashes)
     for k in range(BANDS * ROWS):
         np.multiply(hashes, _FACTORS[k], out=work)
         work += _OFFSETS[k]
-        minima[k] = np.minimum.reduceat(work, cuts)[::2]
+        np.minimum.reduceat(work, starts, out=minima[k])
     keys = np.zeros((BANDS, len(lines)), np.uint64)
     for r in range(ROWS):
         keys = (keys ^ minima[r::ROWS].astype(np.uint64)) * _MIX[r]
