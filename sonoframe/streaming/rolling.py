@@ -1,12 +1,12 @@
 """Stateful stream operators, one fold per stream key.
 
 Micro-batches may deliver rows out of order, and every fold here depends on the
-order.  So each operator keeps rows in a list state until the watermark has passed them,
-then a timer folds them by time and tie-break; rows older than the watermark are dropped by Spark.
+order.  So each operator keeps rows in its state until the watermark has passed them,
+then folds them by time and tie-break; rows older than the watermark are dropped by Spark.
 A row with ``is_end`` set releases what is held and erases the state of its key, and so does
-a timer where a key has been silent for ``erase_after_ms``.
+a timeout where a key has been silent for ``erase_after_ms``.
 
-Queries over these operators need the RocksDB state store; ``replay.run_available`` sets it.
+``replay.run_available`` runs queries over these operators with RocksDB as the state store.
 """
 
 import pickle
@@ -16,11 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def _plain(value):
-    """The value as the state store takes it: no arrays, no NaN for a missing one."""
+    """The value without arrays, and without NaN for a missing one."""
     if isinstance(value, np.ndarray):
         return value.tolist()
     return None if isinstance(value, float) and value != value else value
@@ -30,64 +30,58 @@ def _by_time(row: tuple):
     return row[0], row[3], row[1]
 
 
-class OrderedFold(StatefulProcessor):
+class OrderedFold:
     """Fold the rows of each key in the order of ``(ts_ms, tie)`` once the watermark has passed them.
 
     ``step(state, row)`` takes the state as a tuple, None at first, and a row ``(ts_ms, tie, value, is_end)``; it returns the new
     state and what to emit, or None.  State per key: the fold's own value, the rows still inside the watermark delay, the last time seen.
-    Every access to the state is a round trip from Python that costs far more than a row does, so the state store holds the
-    keys by buckets: one pickled entry for all rows that a micro-batch brings a bucket, and one for the values of all its keys.
+    Spark hands rows and state over by buckets of keys: a bucket's rows come as slices of Arrow batches, and its state is one
+    pickled entry for the rows that each micro-batch has brought, the first time among them, one entry for the values of all its keys,
+    and the time when the first of these has been silent for long enough.
     """
 
+    STATE = "held array<binary>, first long, folds binary, erase long"
+
     def __init__(self, step: Callable, emitted: list[str], keys: list[str], erase_after_ms: int | None, order: Callable = _by_time):
         self.order = order
         self.step, self.emitted, self.keys, self.erase_after_ms = step, emitted, keys, erase_after_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.done = handle, set()
-        self.held = handle.getListState("held", "rows binary")
-        self.value = handle.getValueState("value", "folds binary")
-
-    def _rows(self) -> list[tuple]:
-        """Held rows ``(key, ts_ms, tie, value, is_end)``."""
-        return [r for entry in self.held.get() for r in pickle.loads(entry[0])] if self.held.exists() else []
-
-    def _hold(self, rows: list[tuple], put: bool = False) -> None:
-        if rows:
-            entry = (pickle.dumps(rows),)
-            self.held.put([entry]) if put else self.held.appendValue(entry)
-            self.handle.registerTimer(min(r[1] for r in rows))
-        elif put:
-            self.held.clear()
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = [*self.keys, "ts_ms", "tie", "value", "is_end"]
-        n = len(self.keys)
-        new = [r for frame in rows for r in zip(*[frame[c].tolist() for c in names])]
-        new = [(tuple(map(_plain, r[:n])), int(r[n]), int(r[n + 1]), _plain(r[n + 2]), bool(r[n + 3])) for r in new]
+    def _rows(self, frame: pd.DataFrame) -> Iterator[tuple]:
+        """Rows ``(key, ts_ms, tie, value, is_end)`` of a frame."""
+        keys = zip(*[map(_plain, frame[k].tolist()) for k in self.keys])
+        rest = [frame[c].tolist() for c in ("ts_ms", "tie", "value", "is_end")]
+        return zip(keys, rest[0], rest[1], map(_plain, rest[2]), rest[3])
+
+    def __call__(self, bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, first, packed, erase = state.get if state.exists else ([], None, None, None)
+        held, watermark = list(held), state.getCurrentWatermarkMs()
+        new = [r for frame in frames for r in self._rows(frame)]
         ended = {r[0] for r in new if r[4]}
-        if ended:
-            rows = self._rows() + new
-            self._hold([r for r in rows if r[0] not in ended], put=True)
-            yield from self._folded([r for r in rows if r[0] in ended])
-        else:
-            self._hold(new)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if key in self.done:  # the first timer of a bucket has done what all its expired ones ask for
-            return
-        self.done.add(key)
-        watermark = timerValues.getCurrentWatermarkInMs()
-        rows = self._rows()
-        ready, rest = [r for r in rows if r[1] <= watermark], [r for r in rows if r[1] > watermark]
-        if ready:
-            self._hold(rest, put=True)
-        yield from self._folded(ready, watermark, {r[0] for r in rest})
-
-    def _folded(self, rows: list[tuple], watermark: int | None = None, waiting: set | None = None) -> Iterator[pd.DataFrame]:
-        """Fold rows that are due; with a watermark, erase the keys that are silent and wait for nothing."""
-        folds = pickle.loads(self.value.get()[0]) if self.value.exists() else {}  # key to state and last time
-        by_key, out, erased = {}, [], False
+        first = min([r[1] for r in new] + ([] if first is None else [first]), default=None)
+        if ended or any(t is not None and t <= watermark for t in (first, erase)):
+            folds = pickle.loads(packed) if packed is not None else {}  # key to state and last time
+            due, rest = [], []
+            for row in [r for entry in held for r in pickle.loads(entry)] + new:
+                (due if row[1] <= watermark or row[0] in ended else rest).append(row)
+            out = self._folded(due, folds, watermark, {r[0] for r in rest})
+            if out:
+                yield pd.DataFrame({c: list(v) for c, v in zip([*self.keys, *self.emitted], zip(*out))})
+            held, new, first = [], rest, min((r[1] for r in rest), default=None)
+            packed = pickle.dumps(folds) if folds else None
+            erase = min(last for _, last in folds.values()) + self.erase_after_ms if folds and self.erase_after_ms is not None else None
+        if new:
+            held.append(pickle.dumps(new))
+        if held or packed is not None:
+            state.update((held, first, packed, erase))
+            times = [t for t in (first, erase) if t is not None]
+            if times:  # a timeout comes when the watermark is beyond its time
+                state.setTimeoutTimestamp(max(min(times) - 1, watermark + 1, 1))
+        elif state.exists:
+            state.remove()
+
+    def _folded(self, rows: list[tuple], folds: dict, watermark: int, waiting: set) -> list[tuple]:
+        """Fold rows that are due into ``folds``; erase the keys that are silent and wait for nothing."""
+        by_key, out = {}, []
         for row in rows:
             by_key.setdefault(row[0], []).append(row[1:])
         for key, own in by_key.items():
@@ -100,34 +94,28 @@ class OrderedFold(StatefulProcessor):
             if state is not None:
                 folds[key] = (state, own[-1][0])
         if self.erase_after_ms is not None:
-            if watermark is not None:
-                silent = [k for k, (_, last) in folds.items() if last + self.erase_after_ms <= watermark and k not in waiting]
-                erased = any([folds.pop(k) for k in silent])
-            if folds and (rows or erased):
-                self.handle.registerTimer(max(min(last for _, last in folds.values()) + self.erase_after_ms, (watermark or 0) + 1))
-        if not folds:
-            self.value.clear()
-        elif rows or erased:
-            self.value.update((pickle.dumps(folds),))
-        if out:
-            yield pd.DataFrame({c: list(v) for c, v in zip([*self.keys, *self.emitted], zip(*out))})
-
-    def close(self) -> None:
-        pass
+            for key in [k for k, (_, last) in folds.items() if last + self.erase_after_ms <= watermark and k not in waiting]:
+                del folds[key]
+        return out
+
+
+def folded_by_bucket(rows: DataFrame, fold: OrderedFold, output: str) -> DataFrame:
+    """The fold over rows with a watermark and a ``_bucket``."""
+    return rows.groupBy("_bucket").applyInPandasWithState(
+        lambda bucket, frames, state: fold(bucket, frames, state), output, OrderedFold.STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 BUCKETS = 512  # of keys in the state store; all rows of a bucket inside the watermark delay are in one task's memory when they are folded
 
 
 def _folded(
-    stream: DataFrame, processor: OrderedFold, keys: list[str], ts: str, tie: str | None, value: str, output: str, delay: str, buckets: int,
+    stream: DataFrame, fold: OrderedFold, keys: list[str], ts: str, tie: str | None, value: str, output: str, delay: str, buckets: int,
 ) -> DataFrame:
     tied = F.lit(0).cast("long") if tie is None else F.col(tie).cast("long")
     rows = stream.select(
         F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), *[F.col(k).cast("string").alias(k) for k in keys], F.col(ts).alias("ts"), "ts_ms",
         F.coalesce(tied, F.lit(0).cast("long")).alias("tie"), F.col(value).alias("value"), F.coalesce("is_end", F.lit(False)).alias("is_end"))
-    return rows.withWatermark("ts", delay).groupBy("_bucket").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime")
+    return folded_by_bucket(rows.withWatermark("ts", delay), fold, output)
 
 
 def rolling_windows(
@@ -146,7 +134,7 @@ def rolling_windows(
         tail, last = state if state is not None else ([], -1)
         now, samples = row[0], row[2]
         if samples is not None and len(samples):
-            tail = np.concatenate([np.asarray(tail, np.float32), np.asarray(samples, np.float32)])[-window:].tolist()
+            tail = [*tail, *samples][-window:]
         due = len(tail) == window and (last < 0 or now - last >= interval_ms)
         return (tail, now if due else last), ((now, tail) if due else None)
 

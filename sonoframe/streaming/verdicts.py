@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sonoframe.streaming.rolling import BUCKETS, OrderedFold
+from sonoframe.streaming.rolling import BUCKETS, OrderedFold, folded_by_bucket
 
 # carried columns pass the fold as JSON, so they keep their types; times keep their microseconds
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -63,8 +63,7 @@ def join_verdicts(
     silent = updates.sparkSession.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {horizon})").first()[0]
     fold = OrderedFold(_newest, ["row", "said"], [f"key{n}" for n in range(len(keys))], int(silent) + 1, _verdicts_first)
     output = ", ".join([*[f"key{n} string" for n in range(len(keys))], "row string", "said string"])
-    found = both.groupBy("_bucket").transformWithStateInPandas(
-        statefulProcessor=fold, outputStructType=output, outputMode="Append", timeMode="EventTime").select(
+    found = folded_by_bucket(both, fold, output).select(
         F.from_json("row", update_type, JSON).alias("_row"), F.from_json("said", said_type, JSON).alias("_said"))
     rest = [c for c in updates.columns if c not in (*keys, ts, update_id)]
     return found.select(*[F.col("_row")[c].alias(c) for c in (*keys, ts, update_id, *rest)], "_said.verdict_status", "_said.verdict_confidence")

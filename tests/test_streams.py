@@ -148,3 +148,19 @@ def test_verdict_join_meets_the_newest_verdict_alone(spark, tmp_path):
     assert "StreamingSymmetricHashJoin" not in joined._jdf.queryExecution().toString() and "Join" not in joined._jdf.queryExecution().toString()
     rows = [r for r in run(joined, tmp_path, spark).collect() if r["ts"].year == 1970 and r["ts"].day == 1]
     assert sorted((r["u"], r["verdict_status"], r["verdict_confidence"], r["ts"].microsecond, r["l"], r["s"]) for r in rows) == [(1, "v5000", 5000 / 7, 1, [1.5, None], None), (2, "v4999", 4999 / 7, 999_999, None, 'é"')]
+
+
+def test_a_bucket_is_one_entry_of_state(spark, tmp_path):
+    """Rows reach the fold as slices of Arrow batches, with the whole state of their bucket beside them: no entries for held rows, values and timers."""
+    rows = [(f"k{i % 50}", "0", 100 * i, [float(i)], False) for i in range(1, 3_001)]
+    df = frames(spark, rows)
+    ends = frames(spark, [(f"k{i}", "0", 999_000, [], True) for i in range(50)])
+    windows = K.rolling_windows(R.as_stream(df, str(tmp_path / "in"), closing=ends), 4, 20_000, delay=R.slice_delay(df), buckets=3)
+    assert "TransformWithState" not in windows._jdf.queryExecution().toString()
+    query = windows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(held) == 3 and held[-1] == 0
+    want = {(f"k{k}", t, (t / 100 - 150, t / 100 - 100, t / 100 - 50, t / 100)) for k in range(50) for t in range(15_000 + 100 * (k or 50), 300_001, 20_000)}
+    out = [(r["stream_id"], r["ts_ms"], tuple(r["samples"])) for r in spark.read.schema(windows.schema).parquet(str(tmp_path / "out")).collect()]
+    assert len(out) == len(want) and set(out) == want
