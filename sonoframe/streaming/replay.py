@@ -5,6 +5,7 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sonoframe.operators.frames import replay_frames
 from sonoframe.session import local_folder
@@ -33,23 +34,29 @@ def frames_with_end(series: DataFrame, frame_ms: int = 20, *, key: str = "stream
         F.col(key).cast("string").alias("stream_id"), "session_id", "sample_rate", "ts", "ts_ms", "samples", "is_end")
 
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# counting the rows of the state would look every key up once more at each put and removal
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> None:
-    """Process everything the source has now into Parquet and stop; keyed state lives in RocksDB."""
+def run_available(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> StreamingQuery:
+    """Process everything the source has now into Parquet and stop; keyed state lives in RocksDB.  Returns the ended query."""
     conf = stream.sparkSession.conf
-    before = conf.get(STATE_STORE, None)
-    conf.set(STATE_STORE, ROCKSDB)
+    before = {name: conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        conf.set(name, value)
     try:
         query = (
             stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
             .outputMode(mode).trigger(availableNow=True).start()
         )
     finally:
-        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
     query.awaitTermination()
+    return query
 
 
 def as_stream(df: DataFrame, folder: str, *, closing: DataFrame | None = None, slices: int = 3) -> DataFrame:

@@ -164,3 +164,16 @@ def test_a_bucket_is_one_entry_of_state(spark, tmp_path):
     want = {(f"k{k}", t, (t / 100 - 150, t / 100 - 100, t / 100 - 50, t / 100)) for k in range(50) for t in range(15_000 + 100 * (k or 50), 300_001, 20_000)}
     out = [(r["stream_id"], r["ts_ms"], tuple(r["samples"])) for r in spark.read.schema(windows.schema).parquet(str(tmp_path / "out")).collect()]
     assert len(out) == len(want) and set(out) == want
+
+
+def test_state_store_counts_no_rows(spark, tmp_path):
+    """Windows are put and removed without a look-up for the number of rows; the session keeps its settings, and the rows equal the batch."""
+    df = spark.createDataFrame([("ab"[i % 2], 1_000 * i, float(i)) for i in range(1, 60)], "stream_id string, t long, energy_rms double").withColumn("ts", F.timestamp_millis("t"))
+    far = df.limit(1).withColumns({"ts": F.timestamp_millis(F.lit(9_000_000)), "stream_id": F.lit("end")})
+    sliding = lambda d: K.sliding_activity(d, threshold=30.0, window="20 seconds", slide="10 seconds", delay="21 seconds")
+    before = {name: spark.conf.get(name, None) for name in R.STATE_STORE}
+    query = R.run_available(sliding(R.as_stream(df, str(tmp_path / "in"), closing=far)), str(tmp_path / "out"), str(tmp_path / "state"))
+    seen = [p["stateOperators"][0] for p in query.recentProgress]
+    assert sum(o["numRowsUpdated"] for o in seen) > 0 and {o["numRowsTotal"] for o in seen} == {0}
+    assert before == {name: spark.conf.get(name, None) for name in R.STATE_STORE}
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).filter("stream_id <> 'end'").collect())) == sorted(map(tuple, sliding(df).collect()))
